@@ -1,0 +1,115 @@
+"""Dense solvers for one system a group, run with applyInPandas: the groups are spread by Spark.
+
+A system is a symmetric matrix A (pairs of inputs), B (outputs by inputs) and C; T solves
+(A + kappa I) T = B, Sigma sums T squared, and U/C = 1 - (kappa Sigma + B.T) / C for an exact solve.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+
+def cholesky(a: np.ndarray, b: np.ndarray, kappa: float) -> np.ndarray:
+    """T of every output; a matrix that isn't positive definite gets its lowest eigenvalue added to the diagonal."""
+    m = a + kappa * np.eye(len(a))
+    try:
+        low = np.linalg.cholesky(m)
+    except np.linalg.LinAlgError:
+        m = m + (abs(np.linalg.eigvalsh(m)[0]) + 1e-16) * np.eye(len(a))
+        low = np.linalg.cholesky(m)
+    return np.linalg.solve(low.T, np.linalg.solve(low, b.T)).T
+
+
+def eigen(a: np.ndarray, b: np.ndarray, kappa: float) -> np.ndarray:
+    values, vectors = np.linalg.eigh(a)
+    return (b @ vectors / (values + kappa)) @ vectors.T
+
+
+def conjugate_gradient(a: np.ndarray, b: np.ndarray, rtol: float = 1.5e-3, rounds: int = 30) -> np.ndarray:
+    """Of all outputs at once; an output stops moving when its residual is small."""
+    x, r = np.zeros_like(b), b.copy()
+    p, rho = r.copy(), (r * r).sum(axis=1)
+    stop = rtol**2 * rho
+    for _ in range(rounds):
+        go = rho > stop
+        if not go.any():
+            break
+        ap = p[go] @ a
+        step = rho[go] / (p[go] * ap).sum(axis=1)
+        x[go] += step[:, None] * p[go]
+        r[go] -= step[:, None] * ap
+        new = (r[go] * r[go]).sum(axis=1)
+        p[go] = r[go] + (new / rho[go])[:, None] * p[go]
+        rho[go] = new
+    return x
+
+
+def bisect_kappa(a: np.ndarray, b: np.ndarray, c: float, low: float, high: float, target: float, most: float, rounds: int = 13) -> np.ndarray:
+    """Kappa of every output by geometric bisection: down while U/C exceeds the target and Sigma is below its limit."""
+    values, vectors = np.linalg.eigh(a)
+    q = (b @ vectors) ** 2
+    kappa, factor = np.full(len(b), np.sqrt(low * high)), np.sqrt(high / low)
+    for _ in range(rounds):
+        den = values[None, :] + kappa[:, None]
+        sigma = (q / den**2).sum(axis=1)
+        leak = 1 - ((den + kappa[:, None]) / den**2 * q).sum(axis=1) / c
+        factor = np.sqrt(factor)
+        kappa = np.where((leak > target) & (sigma < most), kappa / factor, kappa * factor)
+    return kappa
+
+
+def system(points: pd.DataFrame, sigma: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
+    """Gaussian overlaps of the points with each other and with the point at the centre and one beside it."""
+    xy = points[["x", "y"]].to_numpy(float)
+    out = np.array([[3.5, 3.5], [4.5, 3.5]])
+    of = lambda p, q: np.exp(-((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2) / (4 * sigma**2))
+    return of(xy, xy), of(out, xy)
+
+
+def check_group(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
+    """Agreement of the kernels on one group's system."""
+    a, b = system(points)
+    kappa = 1e-2
+    t = cholesky(a, b, kappa)
+    e = eigen(a, b, kappa)
+    g = conjugate_gradient(a + kappa * np.eye(len(a)), b, 1e-10, 4 * len(a))
+    sigma = (t * t).sum(axis=1)
+    leak = 1 - (kappa * sigma + (b * t).sum(axis=1))
+    full = 1 + np.einsum("oi,ij,oj->o", t, a, t) - 2 * (b * t).sum(axis=1)
+    found = bisect_kappa(a, b, 1.0, 1e-6, 1.0, 0.05, 1e9)
+    row = {
+        "grp": key[0], "n": len(points), "cholesky_ok": bool(np.allclose(t @ (a + kappa * np.eye(len(a))), b, atol=1e-8)), "eigen_ok": bool(np.allclose(e, t, atol=1e-7)),
+        "cg_ok": bool(np.allclose(g, t, atol=1e-5)), "leakage_ok": bool(np.allclose(leak, full, atol=1e-8)), "bisect_ok": bool(((found >= 1e-6 * 0.99) & (found <= 1.01)).all()),
+    }
+    return pd.DataFrame([row])
+
+
+CHECK_SCHEMA = "grp long, n long, cholesky_ok boolean, eigen_ok boolean, cg_ok boolean, leakage_ok boolean, bisect_ok boolean"
+
+
+def adaptive_moments(v: np.ndarray, side: int = 8, rounds: int = 50) -> tuple[float, float, float, float, bool]:
+    """(sigma, e1, e2, amplitude, converged) of a stamp by fixed-point iteration of a Gaussian weight."""
+    y, x = np.divmod(np.arange(side * side), side)
+    w = np.maximum(v, 0)
+    if w.sum() <= 0:
+        return 0.0, 0.0, 0.0, 0.0, False
+    m = np.array([2.0, 0.0, 2.0])
+    cx, cy = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
+    for _ in range(rounds):
+        det = m[0] * m[2] - m[1] ** 2
+        if det <= 1e-6:
+            return 0.0, 0.0, 0.0, 0.0, False
+        dx, dy = x - cx, y - cy
+        k = w * np.exp(-0.5 * (m[2] * dx * dx - 2 * m[1] * dx * dy + m[0] * dy * dy) / det)
+        total = k.sum()
+        if total <= 1e-12:
+            return 0.0, 0.0, 0.0, 0.0, False
+        new = 2 * np.array([(k * dx * dx).sum(), (k * dx * dy).sum(), (k * dy * dy).sum()]) / total
+        cx, cy = cx + (k * dx).sum() / total, cy + (k * dy).sum() / total
+        if np.abs(new - m).max() < 1e-6:
+            break
+        m = 0.5 * (m + np.clip(new, -50, 50))
+    det = m[0] * m[2] - m[1] ** 2
+    trace = m[0] + m[2]
+    return float(max(det, 0) ** 0.25), float((m[0] - m[2]) / trace), float(2 * m[1] / trace), float(total), True

@@ -1,9 +1,12 @@
 """Registered queries and their SQL."""
 
+from . import aggregates, coadds, codes, selection, sphere, texts  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)

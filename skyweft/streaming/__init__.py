@@ -1,0 +1 @@
+"""The engine is batch only: it has no stateful streaming operator."""
