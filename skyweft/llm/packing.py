@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import small_batches, text_chunks
+from .word_ids import word_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END = 0
@@ -68,14 +69,7 @@ def plan(lengths: list[int], room: int = 1024) -> list[tuple[int, int, int, int,
 
 def _packer(path: str, room: int, docs_a_group: int, tokens_a_group: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        of = word_ids(path)
         base, ids, tokens = TaskContext.get().partitionId() << 40, [], []
 
         def flush() -> pa.RecordBatch:
@@ -97,8 +91,8 @@ def _packer(path: str, room: int, docs_a_group: int, tokens_a_group: int):
         for rows, data, offsets in text_chunks(batches, 1 << 20):
             raw = data.tobytes()
             texts = [raw[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            for doc_id, found in zip(rows.column(0).to_pylist(), tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                now = np.array([*found.ids, END], "<u4")
+            for doc_id, found in zip(rows.column(0).to_pylist(), of.packed(texts), strict=True):
+                now = np.frombuffer(found + END.to_bytes(4, "little"), "<u4")
                 if tokens and (held + len(now) > tokens_a_group or len(tokens) >= docs_a_group):
                     yield flush()
                     held = 0
