@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from .base import small_batches, text_chunks
+from .word_ids import word_ids
 
 END = 0
 SEGMENT = "part int, segment int, n_docs long, n_ids long, body binary"
@@ -47,14 +48,7 @@ def _opened(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 def _writer(path: str, ids_a_segment: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        of = word_ids(path)
         part, made, ids, tokens, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -64,9 +58,9 @@ def _writer(path: str, ids_a_segment: int):
         for rows, data, offsets in text_chunks(batches, 1 << 20):
             raw = data.tobytes()
             texts = [raw[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            for doc_id, found in zip(rows.column(0).to_pylist(), tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            for doc_id, found in zip(rows.column(0).to_pylist(), of.packed(texts), strict=True):
                 ids.append(doc_id)
-                tokens.append(np.array([*found.ids, END], np.uint16))
+                tokens.append(np.frombuffer(found + END.to_bytes(4, "little"), "<u4").astype(np.uint16))
                 held += len(tokens[-1])
                 if held >= ids_a_segment:
                     yield flush()
