@@ -150,8 +150,10 @@ def train(rows: list[tuple[bytes, int]], steps: int = 60, rate: float = 0.1) ->
     if not len(rows) or labels.min() == labels.max():
         sure = 0.0 if not len(rows) else 4.0 if labels[0] else -4.0
         return Model(np.zeros((kinds, BINS - 1)), np.zeros(3 * kinds * (BINS + 1)), 0.0, np.zeros((2, 2)), 0.0, sure)
-    data, offsets = _flat([t for t, _ in rows])
-    features, doc, length = line_features(data, offsets)
+    groups = [_flat([t for t, _ in rows[i : i + 100]]) for i in range(0, len(rows), 100)]
+    found = [line_features(*g)[:2] for g in groups]
+    features = np.concatenate([f for f, _ in found])
+    doc = np.concatenate([d + 100 * g for g, (_, d) in enumerate(found)])
     cuts = np.quantile(features, np.arange(1, BINS) / BINS, axis=0).T
     model = Model(cuts, np.zeros(3 * kinds * (BINS + 1)), 0.0, np.zeros((2, 2)), 1.0, 0.0)
     numbers = _with_neighbours(model._bins(features), doc)
@@ -174,7 +176,7 @@ def train(rows: list[tuple[bytes, int]], steps: int = 60, rate: float = 0.1) ->
         theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         theta[size + 1 :] = np.clip(theta[size + 1 :], -1.5, 1.5)  # neighbours inform a line, they don't decide it
     model.weights, model.bias, model.table = theta[:size].copy(), float(theta[size]), theta[size + 1 :].reshape(2, 2).copy()
-    model.slope, model.shift = platt(model.raw(data, offsets), labels)
+    model.slope, model.shift = platt(np.concatenate([model.raw(*g) for g in groups]), labels)
     return model
 
 

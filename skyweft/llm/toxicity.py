@@ -100,7 +100,7 @@ def train(rows: list[tuple[bytes, int]], rounds: int = 3, epochs: int = 2, rate:
     slots = 1 << SLOT_BITS
     if not n1 or not n0:
         return Model(np.zeros(slots, np.float32), 0.0 if not len(labels) else 4.0 if n1 else -4.0)
-    groups = [rows[i : i + 200] for i in range(0, len(rows), 200)]
+    groups = [rows[i : i + 100] for i in range(0, len(rows), 100)]
     seen = np.zeros((2, slots))
     for text, y in rows:
         bag = np.unique(np.concatenate([s[v] for s, v in _grams(_joined(*_flat([text]))[0])]))
@@ -127,7 +127,7 @@ def train(rows: list[tuple[bytes, int]], rounds: int = 3, epochs: int = 2, rate:
                 grams = list(_grams(_joined(data, offsets)[0]))
             for i in range(len(group)):
                 has = len(doc) and np.searchsorted(doc, i) < len(doc) and doc[np.searchsorted(doc, i)] == i
-                best[200 * g + i] = margin[top[i]] if has else 0.0
+                best[100 * g + i] = margin[top[i]] if has else 0.0
                 if turn < rounds:
                     low, high = (edges[top[i]], edges[top[i] + 1]) if has else (0, 0)
                     bags.append(np.concatenate([s[low:high][v[low:high]] for s, v in grams]))
