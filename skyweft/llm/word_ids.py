@@ -1,60 +1,55 @@
-"""Ids of texts by the tokenizers library, with the ids of pre-split words kept.
+"""Ids of texts by the tokenizers library, with the ids of chunks kept.
 
-A byte-level BPE never merges across its pre-split words, so a text's ids are its words' ids in order. Words
-recur far more often than texts: each worker asks the library only for words that it hasn't kept.
+A byte-level BPE never merges across its pre-split words, and a single space between two other characters always
+starts such a word: a text's ids are those of its chunks cut there, one after the other. Chunks recur far more
+often than texts, so each worker asks the library only for chunks that it hasn't kept. A text that names a
+special token goes to the library whole. What is kept affects speed only.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 
-import numpy as np
-import regex
-
-from .bpe_automaton import SPLIT
-
-KEPT = 400_000
+KEPT = 500_000
+KEPT_LENGTH = 64
+CUT = re.compile(r" (?!\s)(?<!\s )")
 
 
 class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.words: dict[str, bytes] = {}
-        self.split = regex.compile(SPLIT)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.library.encode_special_tokens = True
-        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         with open(path, encoding="utf-8") as f:
-            special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-        self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
-        self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+            self.special = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.chunks: dict[str, bytes] = {}  # by a chunk without the space before it
+        self.again: set[str] = set()
 
-    def _split(self, text: str) -> list[str]:
-        if self.apart is None or not any(s in text for s in self.special):
-            return self.split.findall(text)
-        out = []
-        for piece in self.apart.split(text):
-            out += [piece] if piece in self.special else self.split.findall(piece)
-        return out
+    def _asked(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._split(t) for t in texts]
-        if len(self.words) > KEPT:
-            self.words = {}
-        words = self.words
-        if not words:
-            words.update(self.special)
-        new = list({w for s in split for w in s if w not in words})
-        for w, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            words[w] = np.array(found.ids, "<u4").tobytes()
-        get = words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        if len(self.chunks) > KEPT:  # those met more than once stay
+            self.chunks, self.again = {c: self.chunks[c] for c in self.again}, set()
+        cuts = [[t] if any(s in t for s in self.special) else CUT.split(t) for t in texts]
+        met = set().union(*(c[1:] for c in cuts))
+        new = met.difference(self.chunks)
+        self.again |= met.difference(new)
+        self.chunks.update(zip(new, self._asked([" " + c for c in new]), strict=True))
+        first = self._asked([c[0] for c in cuts])
+        get = self.chunks.__getitem__
+        out = [f + b"".join(map(get, c[1:])) for f, c in zip(first, cuts, strict=True)]
+        for chunk in new:
+            if len(chunk) > KEPT_LENGTH:
+                del self.chunks[chunk]
+        return out
 
 
 _loaded: dict[str, WordIds] = {}
