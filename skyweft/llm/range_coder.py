@@ -1,15 +1,17 @@
-"""Adaptive context-mixing range coder for token ids, run over many independent blocks in step.
-
-Every block starts from a fresh model, so blocks decode alone and numpy advances all blocks of a segment
-by one id at a time. A block's ids are first numbered within the block (its sorted alphabet is stored).
-Orders 2 and 1 each predict one id from the hashed last two ids or the last id; the chances that either is
-right are adapted per pair of their confidences, which mixes the orders. Otherwise the id is coded with
-adaptive order-0 counts, kept as sums over three levels. Both decisions drive a carry-less range coder
-(Subbotin's) with a 64-bit low end that puts out 16-bit words. The range is at least 2**32 before an id and
-the two totals multiply to less than 2**28, so it is widened once an id.
-
-Block: "CMR1", ids, alphabet size, words (uint32 each), crc32 of the ids, alphabet (uint16), words (uint16),
-crc32 of all before it.
+"""Adaptive context-mixing range coder for token ids, in independently reset and checksummed blocks.
+
+A block of up to BLOCK ids is numbered by its own sorted alphabet and laid out as lanes of consecutive ids.
+All lanes advance together by one id a step, each with a range coder of its own, and share the block's model,
+which starts afresh with the block and learns after each step what the lanes coded in it.
+
+Orders 2 and 1 each predict one id from the hashed last two ids or the last id, with a confidence of 0 to 3. The
+chances that either is right are adapted for each pair of confidences, which mixes the orders. Any other id is
+coded by adaptive order-0 counts, whose spans are renewed at steps 1, 2, 4, ... and then every RENEW steps. The
+two decisions take 12 and 20 bits of a range that is at least 2**32 before an id, so one word of 32 bits widens
+it again. The encoder's low end is of 64 bits; a carry is added to the word before.
+
+Block: "CMR2", ids, alphabet size, lanes, crc32 of the ids (uint32 each), words a lane (uint16), alphabet
+(uint16), words of lane after lane (uint32), crc32 of all before it.
 """
 
 from __future__ import annotations
@@ -19,182 +21,177 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-MAGIC = b"CMR1"
-HASHED = 2048
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-STEP = 24
+BLOCK = 1 << 20
+LANE = 512
+MAGIC = b"CMR2"
+HASHED = 1 << 18
+RENEW = 32
+FLAG_BITS, SPAN_BITS = 12, 20
+SHIFT, WIDE = np.uint64(32), np.uint64(1 << 32)
 
 
 class _Model:
-    """Order-2, order-1 and order-0 state of all blocks. Ids are numbers within the block's alphabet."""
-
-    def __init__(self, alphabet: np.ndarray):
-        n = len(alphabet)
-        self.rows = np.arange(n)
-        self.at1, self.at2 = self.rows * BLOCK, self.rows * HASHED
-        self.guess1, self.sure1 = np.zeros(n * BLOCK, np.int16), np.zeros(n * BLOCK, np.int8)
-        self.guess2, self.sure2 = np.zeros(n * HASHED, np.int16), np.zeros(n * HASHED, np.int8)
-        self.flags = np.tile(np.array([2, 2, 4], np.int64), (n * 16, 1))
-        ids = np.arange(BLOCK)
-        self.low = (ids[None, :] < alphabet[:, None]).astype(np.int16).reshape(n * 256, 8)
-        self.mid = self.low.sum(axis=1, dtype=np.int32).reshape(n * 16, 16)
-        self.high = self.mid.sum(axis=1, dtype=np.int32).reshape(n, 16)
-        self.total = alphabet.astype(np.int64).copy()
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.slot1 = self.at1 + self.last
-        self.slot2 = self.at2 + ((self.last * 773 + self.before * 149) & (HASHED - 1))
-        self.c1, self.c2 = self.guess1[self.slot1], self.guess2[self.slot2]
-        self.s1, self.s2 = self.sure1[self.slot1], self.sure2[self.slot2]
-        self.context = self.rows * 16 + self.s2 * 4 + self.s1
-        return self.c2, self.c1, self.flags[self.context]
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.flags[self.context, kind] += STEP
-        for guess, sure, slot, old, s in ((self.guess1, self.sure1, self.slot1, self.c1, self.s1), (self.guess2, self.sure2, self.slot2, self.c2, self.s2)):
-            hit = old == ids
-            sure[slot] = np.where(hit, np.minimum(s + 1, 3), np.maximum(s - 1, 0))
-            guess[slot] = np.where(hit | (s > 0), old, ids)
-        self.low[self.rows * 256 + (ids >> 3), ids & 7] += 1
-        self.mid[self.rows * 16 + (ids >> 7), (ids >> 3) & 15] += 1
-        self.high[self.rows, ids >> 7] += 1
-        self.total += 1
+    """Order-2, order-1 and order-0 state of a block. Ids are numbers within the block's alphabet.
+
+    An entry holds a prediction and its confidence: id * 4 + confidence. Entries of one id differ in two bits only.
+    """
+
+    def __init__(self, letters: int, lanes: int):
+        self.first, self.second = np.zeros(letters, np.int64), np.zeros(HASHED, np.int64)
+        self.flags = np.tile(np.array([2, 2, 4], np.int64), (16, 1))
+        self.counts = np.ones(letters, np.int64)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.step, self.escaped, self.coded = 0, [], []
+        self.spans()
+        self.chances()
+
+    def spans(self) -> None:
+        """Order-0 spans of all ids within 2**SPAN_BITS, at least one each; the commonest id takes the rest."""
+        if self.escaped:
+            self.counts += 32 * np.bincount(np.concatenate(self.escaped), minlength=len(self.counts))
+        self.escaped = []
+        width = (1 << SPAN_BITS) - len(self.counts)
+        own = 1 + self.counts * width // self.counts.sum()
+        own[self.counts.argmax()] += (1 << SPAN_BITS) - own.sum()
+        self.own, self.below = own.astype(np.uint64), (np.cumsum(own) - own).astype(np.uint64)
+        self.holder = np.repeat(np.arange(len(own)).astype(np.uint16), own)
+
+    def chances(self) -> None:
+        """Spans of the flags (order 2 is right, order 1 is, neither) of each context within 2**FLAG_BITS."""
+        if self.coded:
+            self.flags += 2 * np.bincount(np.concatenate(self.coded), minlength=64).reshape(16, 4)[:, :3]
+        self.coded = []
+        rest = (1 << FLAG_BITS) - 3
+        own = 1 + self.flags * rest // self.flags.sum(axis=1, keepdims=True)
+        own[:, 2] += (1 << FLAG_BITS) - own.sum(axis=1)
+        starts = np.cumsum(own, axis=1) - own
+        # four entries a context, so that context * 4 + flag finds them
+        self.flag_own, self.flag_start = np.zeros(64, np.uint64), np.zeros(64, np.uint64)
+        self.flag_own.reshape(16, 4)[:, :3], self.flag_start.reshape(16, 4)[:, :3] = own, starts
+
+    def predict(self) -> np.ndarray:
+        """The place of each lane's context in the tables of flags."""
+        self.slot = (self.before * 40503 + self.last) & (HASHED - 1)
+        self.held1, self.held2 = self.first[self.last], self.second[self.slot]
+        self.sure1, self.sure2 = self.held1 & 3, self.held2 & 3
+        return (self.sure2 << 4) + (self.sure1 << 2)
+
+    def learn(self, ids: np.ndarray, entry: np.ndarray, flag: np.ndarray, escaped: np.ndarray) -> None:
+        """Take in what all lanes coded in this step. Lanes that share a slot: the last one's entry stays."""
+        for table, slot, held, sure in ((self.first, self.last, self.held1, self.sure1), (self.second, self.slot, self.held2, self.sure2)):
+            right = (held ^ entry) < 4
+            # right: surer; wrong: less sure, and replaced where it wasn't sure at all
+            table[slot] = np.where(right | (sure > 0), held + right * 2 - 1 - (right & (sure == 3)), entry)
+        self.escaped.append(escaped)
+        self.step += 1
+        young = self.step <= RENEW
+        if young or self.step % 4 == 0:  # later, every fourth step tells enough of the chances
+            self.coded.append(flag)
+            if young or self.step % 16 == 0:
+                self.chances()
+        if self.step % RENEW == 0 or (young and self.step & (self.step - 1) == 0):
+            self.spans()
         self.before, self.last = self.last, ids
 
-    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cumulative count below each id and its own."""
-        h, m, l = ids >> 7, (ids >> 3) & 15, ids & 7  # noqa: E741
-        highs, mids, lows = self.high, self.mid[self.rows * 16 + h], self.low[self.rows * 256 + (ids >> 3)]
-        below = np.zeros(len(ids), np.int64)
-        for table, at in ((highs, h), (mids, m), (lows, l)):
-            sums = np.cumsum(table, axis=1, dtype=np.int64)
-            below += sums[self.rows, at] - table[self.rows, at]
-        return below, lows[self.rows, l].astype(np.int64)
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose span holds value, and the span."""
-        rest, below, key = value.copy(), np.zeros(len(value), np.int64), np.zeros(len(value), np.int64)
-        for table, width in ((self.high, 16), (self.mid, 16), (self.low, 8)):
-            counts = table if table is self.high else table[self.rows * (16 if table is self.mid else 256) + key]
-            sums = np.cumsum(counts, axis=1, dtype=np.int64)
-            at = (sums <= rest[:, None]).sum(axis=1)
-            own = counts[self.rows, at].astype(np.int64)
-            less = sums[self.rows, at] - own
-            rest -= less
-            below += less
-            key = key * width + at
-        return key, below, own
-
-
-class _Coder:
-    def __init__(self, n: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-
-    def shrink(self, below: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
-        part = self.range // total.astype(np.uint64)
-        self.low = self.low + part * below.astype(np.uint64)
-        self.range = part * own.astype(np.uint64)
-
-    def settle(self, shift) -> None:
-        """Put out (or take in) words until every range is wide enough again."""
-        while True:
-            same = (self.low ^ (self.low + self.range)) < TOP
-            narrow = self.range < BOTTOM
-            at = np.flatnonzero(same | narrow)
-            if not at.size:
-                return
-            low = self.low[at]
-            span = np.where(same[at], self.range[at], (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-            shift(at, low)
-            self.low[at] = low << np.uint64(16)
-            self.range[at] = span << np.uint64(16)
+
+def _encoded(block: np.ndarray) -> bytes:
+    present = np.bincount(block, minlength=1 << 16) > 0
+    letters = np.flatnonzero(present)
+    lanes = -(-len(block) // LANE)
+    steps = -(-len(block) // lanes)
+    ids = np.zeros(lanes * steps, np.int64)
+    ids[: len(block)] = (np.cumsum(present) - 1)[block]
+    ids = np.ascontiguousarray(ids.reshape(lanes, steps).T)
+    model = _Model(len(letters), lanes)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+    words = np.zeros((lanes, steps + 2), np.uint64)  # a lane's word 0 takes no carry
+    flat, first = words.reshape(-1), np.arange(lanes) * (steps + 2)
+    spot = first + 1
+    for now in ids:
+        context = model.predict()
+        entry = now << 2
+        wrong2, wrong1 = (model.held2 ^ entry) > 3, (model.held1 ^ entry) > 3
+        flag = context + wrong2 + (wrong2 & wrong1)
+        part = width >> np.uint64(FLAG_BITS)
+        moved, width = low + part * model.flag_start[flag], part * model.flag_own[flag]
+        at = np.flatnonzero(wrong2 & wrong1)
+        escaped = now[at]
+        part = width[at] >> np.uint64(SPAN_BITS)
+        moved[at] += part * model.below[escaped]
+        width[at] = part * model.own[escaped]
+        carry = np.flatnonzero(moved < low)  # both moves together stay under the old width
+        if carry.size:
+            flat[spot[carry] - 1] += np.uint64(1)
+        low = moved
+        at = np.flatnonzero(width < WIDE)
+        held, places = low[at], spot[at]
+        flat[places] = held >> SHIFT
+        spot[at] = places + 1
+        low[at] = held << SHIFT
+        width[at] <<= SHIFT
+        model.learn(now, entry, flag, escaped)
+    top = low + (WIDE - np.uint64(1))  # one more word names a point of the last range
+    carry = np.flatnonzero(top < low)
+    flat[spot[carry] - 1] += np.uint64(1)
+    flat[spot] = top >> SHIFT
+    while (over := words >> SHIFT).any():
+        words &= WIDE - np.uint64(1)
+        words[:, :-1] += over[:, 1:]
+    filled = spot - first
+    used = np.arange(1, steps + 2)[None, :] <= filled[:, None]
+    head = struct.pack("<IIII", len(block), len(letters), lanes, zlib.crc32(block.astype("<u4").tobytes()))
+    body = b"".join([MAGIC, head, filled.astype("<u2").tobytes(), letters.astype("<u2").tobytes(), words[:, 1:][used].astype("<u4").tobytes()])
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
+def _decoded(raw: bytes) -> np.ndarray:
+    if raw[:4] != MAGIC or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
+        raise ValueError("a block's checksum fails")
+    length, size, lanes, crc = struct.unpack("<IIII", raw[4:20])
+    steps = -(-length // lanes)
+    counts = np.frombuffer(raw, "<u2", lanes, 20).astype(np.int64)
+    letters = np.frombuffer(raw, "<u2", size, 20 + 2 * lanes)
+    filled = np.frombuffer(raw[:-4], "<u4", -1, 20 + 2 * (lanes + size))
+    # two words of zero follow each lane's own, and count as read after its last
+    words = np.zeros(len(filled) + 2 * lanes, np.uint64)
+    words[np.arange(len(filled)) + 2 * np.repeat(np.arange(lanes), counts)] = filled
+    spot = np.cumsum(counts) - counts + 2 * np.arange(lanes)
+    model = _Model(size, lanes)
+    code, width = (words[spot] << SHIFT) | words[spot + 1], np.full(lanes, 2**64 - 1, np.uint64)
+    spot += 2
+    ids = np.zeros((steps, lanes), np.int64)
+    for t in range(steps):
+        context = model.predict()
+        part = width >> np.uint64(FLAG_BITS)
+        past2, past1 = code >= part * model.flag_start[context + 1], code >= part * model.flag_start[context + 2]
+        flag = context + past2 + past1
+        code -= part * model.flag_start[flag]
+        width = part * model.flag_own[flag]
+        now = np.where(past2, model.held1, model.held2) >> 2
+        at = np.flatnonzero(past1)
+        part, held = width[at] >> np.uint64(SPAN_BITS), code[at]
+        escaped = model.holder[(held // part).astype(np.int64)].astype(np.int64)
+        code[at] = held - part * model.below[escaped]
+        width[at] = part * model.own[escaped]
+        now[at] = escaped
+        at = np.flatnonzero(width < WIDE)
+        places = spot[at]
+        code[at] = (code[at] << SHIFT) | words[places]
+        spot[at] = places + 1
+        width[at] <<= SHIFT
+        ids[t] = now
+        model.learn(now, now << 2, flag, escaped)
+    out = letters[ids.T.reshape(-1)[:length]]
+    if zlib.crc32(out.astype("<u4").tobytes()) != crc:
+        raise ValueError("decoded ids don't match their checksum")
+    return out
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each array of at most BLOCK ids below 65536 as one block of bytes."""
-    if not blocks:
-        return []
-    n = len(blocks)
-    alphabets, ids = [], np.zeros((BLOCK, n), np.int64)
-    for i, block in enumerate(blocks):
-        letters, numbers = np.unique(block, return_inverse=True)
-        alphabets.append(letters.astype("<u2"))
-        ids[: len(block), i] = numbers
-    model, coder = _Model(np.array([len(x) for x in alphabets])), _Coder(n)
-    words, filled = np.zeros((n, 4 * BLOCK + 16), np.uint16), np.zeros(n, np.int64)
-
-    def out(at: np.ndarray, low: np.ndarray) -> None:
-        words[at, filled[at]] = (low >> np.uint64(48)).astype(np.uint16)
-        filled[at] += 1
-
-    for t in range(max(len(x) for x in blocks)):
-        now = ids[t]
-        c2, c1, flags = model.predict()
-        kind = np.where(now == c2, 0, np.where(now == c1, 1, 2))
-        sums = np.cumsum(flags, axis=1)
-        own = flags[model.rows, kind]
-        coder.shrink(sums[model.rows, kind] - own, own, sums[:, 2])
-        below, own = model.span(now)
-        escape = kind == 2
-        coder.shrink(np.where(escape, below, 0), np.where(escape, own, 1), np.where(escape, model.total, 1))
-        coder.settle(out)
-        model.learn(now, kind)
-    for k in range(4):
-        out(model.rows, coder.low << np.uint64(16 * k))
-    made = []
-    for i, block in enumerate(blocks):
-        body = MAGIC + struct.pack("<IIII", len(block), len(alphabets[i]), filled[i], zlib.crc32(block.astype("<u4").tobytes()))
-        body += alphabets[i].tobytes() + words[i, : filled[i]].astype("<u2").tobytes()
-        made.append(body + struct.pack("<I", zlib.crc32(body)))
-    return made
+    """Each array of one to BLOCK ids below 65536 as one block of bytes."""
+    return [_encoded(block) for block in blocks]
 
 
 def decode(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; raises ValueError where a checksum fails."""
-    if not blocks:
-        return []
-    n, alphabets, lengths, crcs, tails = len(blocks), [], [], [], []
-    for raw in blocks:
-        if raw[:4] != MAGIC or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
-            raise ValueError("a block's checksum fails")
-        length, letters, count, crc = struct.unpack("<IIII", raw[4:20])
-        alphabets.append(np.frombuffer(raw, "<u2", letters, 20))
-        tails.append(np.frombuffer(raw, "<u2", count, 20 + 2 * letters))
-        lengths.append(length)
-        crcs.append(crc)
-    words = np.zeros((n, max(map(len, tails)) + 8), np.uint64)
-    for i, tail in enumerate(tails):
-        words[i, : len(tail)] = tail
-    model, coder = _Model(np.array([len(x) for x in alphabets])), _Coder(n)
-    code, taken, last = np.zeros(n, np.uint64), np.zeros(n, np.int64), words.shape[1] - 1
-
-    def take(at: np.ndarray, _low: np.ndarray) -> None:
-        code[at] = (code[at] << np.uint64(16)) | words[at, np.minimum(taken[at], last)]
-        taken[at] += 1
-
-    for _ in range(4):
-        take(model.rows, coder.low)
-    ids = np.zeros((max(lengths), n), np.int64)
-    for t in range(len(ids)):
-        c2, c1, flags = model.predict()
-        sums = np.cumsum(flags, axis=1)
-        total = sums[:, 2]
-        value = np.minimum((code - coder.low) // (coder.range // total.astype(np.uint64)), (total - 1).astype(np.uint64)).astype(np.int64)
-        kind = (sums <= value[:, None]).sum(axis=1)
-        own = flags[model.rows, kind]
-        coder.shrink(sums[model.rows, kind] - own, own, total)
-        escape = kind == 2
-        total = np.where(escape, model.total, 1)
-        value = np.minimum((code - coder.low) // (coder.range // total.astype(np.uint64)), (total - 1).astype(np.uint64)).astype(np.int64)
-        found, below, own = model.find(value)
-        coder.shrink(np.where(escape, below, 0), np.where(escape, own, 1), total)
-        coder.settle(take)
-        ids[t] = now = np.where(escape, found, np.where(kind == 0, c2, c1))
-        model.learn(now, kind)
-    out = [alphabets[i][ids[: lengths[i], i]] for i in range(n)]
-    for block, crc in zip(out, crcs, strict=True):
-        if zlib.crc32(block.astype("<u4").tobytes()) != crc:
-            raise ValueError("decoded ids don't match their checksum")
-    return out
+    return [_decoded(raw) for raw in blocks]

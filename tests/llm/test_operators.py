@@ -304,11 +304,11 @@ def test_flac_linear_prediction():
 
 def test_range_coder():
     random = np.random.default_rng(1)
-    blocks = [random.integers(0, 65536, n).astype(np.uint16) for n in (1, 2, 700, range_coder.BLOCK)]
-    blocks += [np.zeros(range_coder.BLOCK, np.uint16), np.tile(np.arange(50), 40).astype(np.uint16), random.zipf(1.3, 2000).clip(0, 50000).astype(np.uint16)]
+    blocks = [random.integers(0, 65536, n).astype(np.uint16) for n in (1, 2, 700, 2048, range_coder.LANE * 3 + 1, range_coder.BLOCK)]
+    blocks += [np.zeros(2048, np.uint16), np.tile(np.arange(50), 40).astype(np.uint16), random.zipf(1.3, 2000).clip(0, 50000).astype(np.uint16)]
     made = range_coder.encode(blocks)
     assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(made), strict=True))
-    assert len(made[4]) < 100 and len(made[5]) < 600
+    assert len(made[6]) < 100 and len(made[7]) < 600
     broken = bytearray(made[2])
     broken[100] ^= 4
     with pytest.raises(ValueError):
