@@ -7,7 +7,7 @@ which starts afresh with the block and learns after each step what the lanes cod
 Orders 2 and 1 each predict one id from the hashed last two ids or the last id, with a confidence of 0 to 3. The
 chances that either is right are adapted for each pair of confidences, which mixes the orders. Any other id is
 coded by adaptive order-0 counts, whose spans are renewed at steps 1, 2, 4, ... and then every RENEW steps. The
-two decisions take 12 and 20 bits of a range that is at least 2**32 before an id, so one word of 32 bits widens
+two decisions take 12 and 18 bits of a range that is at least 2**32 before an id, so one word of 32 bits widens
 it again. The encoder's low end is of 64 bits; a carry is added to the word before.
 
 Block: "CMR2", ids, alphabet size, lanes, crc32 of the ids (uint32 each), words a lane (uint16), alphabet
@@ -21,12 +21,13 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 LANE = 512
 MAGIC = b"CMR2"
-HASHED = 1 << 18
+HASHED = 1 << 16
 RENEW = 32
-FLAG_BITS, SPAN_BITS = 12, 20
+FLAG_BITS, SPAN_BITS = 12, 18
+STEPS_UP = np.array([2, 2, 2, 1], np.int32)
 SHIFT, WIDE = np.uint64(32), np.uint64(1 << 32)
 
 
@@ -37,7 +38,7 @@ class _Model:
     """
 
     def __init__(self, letters: int, lanes: int):
-        self.first, self.second = np.zeros(letters, np.int64), np.zeros(HASHED, np.int64)
+        self.first, self.second = np.zeros(letters, np.int32), np.zeros(HASHED, np.int32)
         self.flags = np.tile(np.array([2, 2, 4], np.int64), (16, 1))
         self.counts = np.ones(letters, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -74,14 +75,14 @@ class _Model:
         self.slot = (self.before * 40503 + self.last) & (HASHED - 1)
         self.held1, self.held2 = self.first[self.last], self.second[self.slot]
         self.sure1, self.sure2 = self.held1 & 3, self.held2 & 3
-        return (self.sure2 << 4) + (self.sure1 << 2)
+        return ((self.sure2 << 4) + (self.sure1 << 2)).astype(np.int64)
 
     def learn(self, ids: np.ndarray, entry: np.ndarray, flag: np.ndarray, escaped: np.ndarray) -> None:
         """Take in what all lanes coded in this step. Lanes that share a slot: the last one's entry stays."""
         for table, slot, held, sure in ((self.first, self.last, self.held1, self.sure1), (self.second, self.slot, self.held2, self.sure2)):
-            right = (held ^ entry) < 4
+            right = ((held ^ entry) < 4).astype(np.int32)
             # right: surer; wrong: less sure, and replaced where it wasn't sure at all
-            table[slot] = np.where(right | (sure > 0), held + right * 2 - 1 - (right & (sure == 3)), entry)
+            table[slot] = np.where((right | sure) > 0, held - 1 + right * STEPS_UP[sure], entry)
         self.escaped.append(escaped)
         self.step += 1
         young = self.step <= RENEW
@@ -109,7 +110,7 @@ def _encoded(block: np.ndarray) -> bytes:
     spot = first + 1
     for now in ids:
         context = model.predict()
-        entry = now << 2
+        entry = (now << 2).astype(np.int32)
         wrong2, wrong1 = (model.held2 ^ entry) > 3, (model.held1 ^ entry) > 3
         flag = context + wrong2 + (wrong2 & wrong1)
         part = width >> np.uint64(FLAG_BITS)
@@ -167,7 +168,7 @@ def _decoded(raw: bytes) -> np.ndarray:
         flag = context + past2 + past1
         code -= part * model.flag_start[flag]
         width = part * model.flag_own[flag]
-        now = np.where(past2, model.held1, model.held2) >> 2
+        now = (np.where(past2, model.held1, model.held2) >> 2).astype(np.int64)
         at = np.flatnonzero(past1)
         part, held = width[at] >> np.uint64(SPAN_BITS), code[at]
         escaped = model.holder[(held // part).astype(np.int64)].astype(np.int64)
@@ -180,7 +181,7 @@ def _decoded(raw: bytes) -> np.ndarray:
         spot[at] = places + 1
         width[at] <<= SHIFT
         ids[t] = now
-        model.learn(now, now << 2, flag, escaped)
+        model.learn(now, (now << 2).astype(np.int32), flag, escaped)
     out = letters[ids.T.reshape(-1)[:length]]
     if zlib.crc32(out.astype("<u4").tobytes()) != crc:
         raise ValueError("decoded ids don't match their checksum")

@@ -29,7 +29,7 @@ SEGMENT = "part int, segment int, n_docs long, n_ids long, body binary"
 def _segment(ids: list, tokens: list[np.ndarray]) -> bytes:
     """Documents, blocks (uint32), then doc ids (null as the smallest long), lengths, block sizes, blocks."""
     stream = np.concatenate(tokens)
-    blocks = range_coder.encode([stream[i : i + range_coder.BLOCK] for i in range(0, len(stream), range_coder.BLOCK)])
+    blocks = range_coder.encode(np.array_split(stream, -(-len(stream) // range_coder.BLOCK)))
     head = struct.pack("<II", len(ids), len(blocks))
     names = np.array([-(2**63) if x is None else x for x in ids], "<i8").tobytes()
     return b"".join([head, names, np.array([len(x) for x in tokens], "<i8").tobytes(), np.array([len(x) for x in blocks], "<i8").tobytes(), *blocks])
@@ -71,7 +71,7 @@ def _writer(path: str, ids_a_segment: int):
     return write
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, ids_a_segment: int = 2 << 20) -> None:
+def write(docs: DataFrame, tokenizer: str, folder: str, ids_a_segment: int = 2_000_000) -> None:
     """Encode docs(doc_id, text) into `folder`. A null or empty text is the end id alone; a null doc_id sorts
     first; rows with equal doc_id are kept, in order of their text."""
     spark = docs.sparkSession
