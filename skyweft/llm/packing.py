@@ -88,11 +88,12 @@ def _packer(path: str, room: int, docs_a_group: int, tokens_a_group: int):
             return out
 
         held = 0
-        for rows, data, offsets in text_chunks(batches, 1 << 20):
-            raw = data.tobytes()
-            texts = [raw[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            for doc_id, found in zip(rows.column(0).to_pylist(), of.packed(texts), strict=True):
-                now = np.frombuffer(found + END.to_bytes(4, "little"), "<u4")
+        for rows, data, offsets in text_chunks(batches):
+            found, places = of.ids(data, offsets)
+            found = np.insert(found, places[1:], END)
+            places = (places + np.arange(len(places))).tolist()
+            for doc_id, s, e in zip(rows.column(0).to_pylist(), places, places[1:], strict=False):
+                now = found[s:e]
                 if tokens and (held + len(now) > tokens_a_group or len(tokens) >= docs_a_group):
                     yield flush()
                     held = 0

@@ -55,12 +55,13 @@ def _writer(path: str, ids_a_segment: int):
             row = [[part], [made], [len(ids)], [held], [_segment(ids, tokens)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "n_docs", "n_ids", "body"])
 
-        for rows, data, offsets in text_chunks(batches, 1 << 20):
-            raw = data.tobytes()
-            texts = [raw[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            for doc_id, found in zip(rows.column(0).to_pylist(), of.packed(texts), strict=True):
+        for rows, data, offsets in text_chunks(batches):
+            found, places = of.ids(data, offsets)
+            found = np.insert(found.astype(np.uint16), places[1:], END)
+            places = (places + np.arange(len(places))).tolist()
+            for doc_id, s, e in zip(rows.column(0).to_pylist(), places, places[1:], strict=False):
                 ids.append(doc_id)
-                tokens.append(np.frombuffer(found + END.to_bytes(4, "little"), "<u4").astype(np.uint16))
+                tokens.append(found[s:e])
                 held += len(tokens[-1])
                 if held >= ids_a_segment:
                     yield flush()
