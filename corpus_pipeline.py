@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skyweft.llm import packing, pii, quality_crf, simhash, toxicity
+from skyweft.llm import near_copies, packing, pii, quality_crf, toxicity
 from skyweft.llm.base import durable, read
 from skyweft.llm.queries import TOKENIZER
 
@@ -26,11 +25,8 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates, once."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    matched = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return matched.dropDuplicates(["doc_id"])
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of at least 0.8."""
+    return near_copies.first_of_each(docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
