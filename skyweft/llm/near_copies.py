@@ -240,4 +240,4 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     narrow = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("_row"))).select("doc_id", "_row", "_set")
     placed = narrow.join(up, narrow._set == up.a, "left").select("doc_id", "_row", "_set", F.coalesce("b", "_set").alias("_root"))
     least = placed.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "_set")).alias("_least")).select("_least._row", "_least._set")
-    return numbered(docs.withColumn("_row", row)).join(least, ["_row", "_set"], "left_semi").dropDuplicates(["_row", "_set"]).select(*docs.columns).dropDuplicates(["doc_id"])
+    return numbered(docs.withColumn("_row", row)).join(least, ["_row", "_set"], "left_semi").dropDuplicates(["_row", "_set"]).select(*docs.columns)

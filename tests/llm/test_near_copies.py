@@ -1,6 +1,7 @@
 """Near copies of the pipeline against brute force over all pairs."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,3 +69,13 @@ def test_stage_finds_copies_at_similarity(spark):
     below = " ".join("other" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words))
     docs = spark.createDataFrame([(1, " ".join(words)), (2, copy), (3, below)], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.deduplicated(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_stage_keeps_a_row_of_each_group(spark):
+    """Equal and missing ids: one row of each group, however they share ids."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, d), (7, a + " end"), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.deduplicated(spark, docs, SF)
+    assert found.schema == docs.schema
+    assert Counter(map(tuple, found.collect())) == Counter([(None, b), (5, c), (5, d), (7, a + " end"), (9, "")])
