@@ -1,7 +1,7 @@
 """License scans with a positional index of rare tokens.
 
 Templates are short licence notices. Spark counts in how many documents each of their words occurs; words
-with a higher inverse document frequency are rarer. In a file, the rarest licence words are looked up in the
+with a higher inverse document frequency are rarer. In a file, the rarest words of each template are looked up in the
 index of template postings; every hit proposes a template at an alignment (word place less template place),
 alignments on which enough rare words agree are candidates, and a candidate becomes a label if the template's
 mandatory key phrases stand at their places, give or take a few words. The phrases of the base contract are
@@ -109,15 +109,20 @@ class Index:
                 base[d].add(label)
                 labels[d].add(label)
                 score[d] = 1.0
-        # The rarest licence words of each file, and all their places.
+        # The rarest words of each file and template, and all their places.
         hits = np.flatnonzero(number >= 0)
         pairs = np.unique(doc[hits] * len(self.words) + number[hits])
-        rank = np.arange(len(pairs)) - np.searchsorted(pairs // len(self.words), pairs // len(self.words))
-        chosen = pairs[rank < RARE_WORDS]
-        hits = hits[np.isin(doc[hits] * len(self.words) + number[hits], chosen)]
+        of, word = pairs // len(self.words), pairs % len(self.words)
+        chosen = np.zeros((len(pairs), len(self.templates)), bool)
+        for t, text in enumerate(self.text):
+            mine = np.flatnonzero(np.isin(word, text))
+            rank = np.arange(len(mine)) - np.searchsorted(of[mine], of[mine])
+            chosen[mine[rank < RARE_WORDS], t] = True
         sizes = (self.first[1:] - self.first[:-1])[number[hits]]
         row = np.repeat(hits, sizes)
         post = np.repeat(self.first[number[hits]] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        looked_up = chosen[np.searchsorted(pairs, doc[row] * len(self.words) + number[row]), self.postings[post, 1]]
+        row, post = row[looked_up], post[looked_up]
         template, start = self.postings[post, 1], row - self.postings[post, 2]
         votes = np.unique(np.stack([start, template, number[row], doc[row]], axis=1), axis=0) if len(row) else np.zeros((0, 4), np.int64)
         places, agreed = np.unique(votes[:, [0, 1, 3]], axis=0, return_counts=True)
