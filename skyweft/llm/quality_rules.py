@@ -1,11 +1,12 @@
 """Quality rules: text statistics and n-gram perplexity bands.
 
-The perplexity comes from an interpolated modified Kneser-Ney model of order four for each language, over a
-folded alphabet of 32 signs. Spark counts the four-grams of all documents: tasks add up their own texts and
-send a row a four-gram. A model has at most 2**20 four-grams, so models of at most `MOST_LANGUAGES` languages
-(the rest share one) have a size bound, and are kept as sorted arrays of four-gram codes with their
-probabilities and of contexts with their back-off weights. A document outside its language's band of
-perplexity, whose upper and lower ends are quartiles widened by quartile ranges, is rejected.
+The perplexity comes from interpolated word trigrams of each language (Witten-Bell weights, orders three to one,
+then all words alike), a text's own n-grams left out. N-grams are 64-bit hashes that begin with their language's,
+so any number of languages shares one table: Spark adds up counts that tasks have added up by block of texts,
+and joins them to the distinct n-grams of each block, which meet the block's texts again in sorted arrays. The
+tables grow with the corpus and never pass through the driver. A document outside its language's band, whose ends
+are quartiles widened by their distances from the median, is rejected: above for the loss a word by trigrams, below for the loss by
+single words, which a copy of a text elsewhere hardly lowers.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable, hashed_words, row_sums, small_batches, text_chunks
+from .base import SPACES, durable, hashed_words, row_sums, small_batches, text_chunks
 
 ORDER, SIGNS, BITS = 4, 32, 5
-MOST_LANGUAGES = 32
-OTHER = "\0other"
+#: Bytes of text of a block; it affects speed and memory only.
+BLOCK = 24 << 20
 _C = np.arange(256)
 #: Sign of a byte: letters without case, then space, digit, punctuation, symbol, other ASCII, byte of a longer character.
 SIGN = np.select(
@@ -43,31 +46,6 @@ def four_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return code, offsets
 
 
-def _counter(languages: list[str]):
-    known = {x: i for i, x in enumerate(languages)}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for rows, data, offsets in text_chunks(batches):
-            codes, _ = four_grams(data, offsets)
-            langs = np.array([known.get(x, known.get(OTHER, 0)) for x in rows.column(1).to_pylist()])
-            of = np.repeat(langs, np.diff(offsets))
-            for i in np.unique(langs).tolist():
-                found = np.bincount(codes[of == i], minlength=SIGNS**ORDER)
-                totals[i] = totals[i] + found if i in totals else found
-        for i, found in totals.items():
-            at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(found[at])], ["language", "code", "n"])
-
-    return count
-
-
-def counts(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """docs(text, language) -> (language number, code, n): counts of four-grams over all documents."""
-    found = docs.select("text", "language").mapInArrow(_counter(languages), "language int, code int, n long")
-    return found.groupBy("language", "code").agg(F.sum("n").alias("n"))
-
-
 def _discounts(c: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more."""
     n = [max(1, int((c == i).sum())) for i in range(1, 5)]
@@ -76,7 +54,7 @@ def _discounts(c: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """For each order from four down to two: sorted codes with log probabilities, sorted contexts with log back-offs."""
+    """Kneser-Ney model of folded signs; judge() no longer uses it. For each order from four down to two: sorted codes with log probabilities, sorted contexts with log back-offs."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray):
         by_order = [np.zeros(SIGNS**ORDER, np.int64)]
@@ -156,58 +134,205 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _scorer(models, languages: list[str]):
-    known = {x: i for i, x in enumerate(languages)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SIGNS**ORDER, np.float32)
-        for rows, data, offsets in text_chunks(batches):
-            codes, _ = four_grams(data, offsets)
-            langs = np.array([known.get(x, known.get(OTHER, 0)) for x in rows.column(2).to_pylist()])
-            of, logs = np.repeat(langs, np.diff(offsets)), np.zeros(len(data))
-            for i in np.unique(langs).tolist():
-                mine = of == i
-                marked = np.zeros(SIGNS**ORDER, bool)
-                marked[codes[mine]] = True
-                distinct = np.flatnonzero(marked).astype(np.uint32)
-                if len(distinct):
-                    table[distinct] = models.value[i].log_probability(distinct)
-                    logs[mine] = table[codes[mine]]
-            stats = statistics(data, offsets)
-            size = np.diff(offsets)
-            loss = -row_sums(logs, offsets) / np.maximum(size, 1)
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(langs.astype(np.int32)), *(pa.array(stats[x].astype(np.int64)) for x in names), pa.array(size), pa.array(loss)], ["doc_id", "language", *names, "n_bytes", "log_perplexity"])
-
-    return run
+_GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_START = np.uint64(0x5851F42D4C957F2D)
+#: First bytes of the characters from U+3000 to U+9FFF and of those beyond U+FFFF, which are words by themselves.
+_ALONE = ((_C >= 0xE3) & (_C <= 0xE9)) | (_C >= 0xF0)
+_LETTER = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = before * _GOLD + word
+    x = (x ^ x >> np.uint64(30)) * _M1
+    x = (x ^ x >> np.uint64(27)) * _M2
+    return x ^ x >> np.uint64(31)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, its text): runs between white space, ASCII case folded; ideographs and kana one by one."""
+    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    lead = (data & 0xC0) != 0x80
+    character = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0)) if len(data) else np.zeros(0, int)
+    alone = _ALONE[data[character]]
+    gap = SPACES[data]
+    first = np.zeros(len(data), bool)
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    before = np.concatenate([[True], gap[:-1] | alone[:-1]])[: len(data)]
+    start = np.flatnonzero(lead & ~gap & (first | before | alone))
+    if not len(start):
+        return np.zeros(0, np.uint64), start
+    mark = np.zeros(len(data), np.int64)
+    mark[start] = start
+    place = (np.arange(len(data)) - np.maximum.accumulate(mark)).astype(np.uint64)
+    code = np.add.reduceat(np.where(gap, np.uint64(0), _joined(place, _LETTER[data])), start)
+    return code, np.searchsorted(offsets, start, "right") - 1
+
+
+def grams(code: np.ndarray, doc: np.ndarray, language: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For orders one to three: the n-gram that ends at each word, and its context. language: a hash for each text."""
+    before = [np.concatenate([np.full(k, _START), code[:-k]])[: len(code)] for k in (1, 2)]
+    for k in (1, 2):
+        before[k - 1] = np.where(np.concatenate([np.full(k, -1), doc[:-k]])[: len(doc)] == doc, before[k - 1], _START)
+    root = language[doc]
+    contexts = [root, _joined(root, before[0]), _joined(_joined(root, before[1]), before[0])]
+    return [_joined(c, code) for c in contexts], contexts
+
+
+def _hashes(languages: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x.encode(), 6) for x in languages], np.uint64)
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their block: texts that follow one another in a task, of about BLOCK bytes."""
+    task, size = TaskContext.get().partitionId() << 32, 0
+    for rows, data, _ in text_chunks(batches):
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, task + size // BLOCK))], [*rows.schema.names, "block"])
+        size += len(data)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key, context, n) of the n-grams of each block, added up; contexts that are no n-grams have n 0."""
+    held: list[list[np.ndarray]] = []
+    block = size = 0
+
+    def added() -> list[np.ndarray]:
+        key, context, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key)
+        key, context, n = key[order], context[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        # a key's context is the same wherever it has one
+        return [key[first], np.maximum.reduceat(context, first), np.add.reduceat(n, first)] if len(key) else [key, context, n]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        key, context, n = added()
+        for at in range(0, len(key), 1 << 18):
+            some = slice(at, at + (1 << 18))
+            found = pa.array(context[some].view(np.int64), mask=context[some] == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[some]), block)), pa.array(key[some].view(np.int64)), found, pa.array(n[some])], ["block", "key", "context", "n"])
+
+    for rows, data, offsets in text_chunks(batches):
+        blocks = np.asarray(rows.column(rows.schema.get_field_index("block")))
+        language = _hashes(rows.column(rows.schema.get_field_index("language")).to_pylist())
+        code, doc = words(data, offsets)
+        keys, contexts = grams(code, doc, language)
+        for b in np.unique(blocks).tolist():
+            if held and b != block:
+                yield from out()
+                held = []
+            block, mine = b, blocks[doc] == b
+            for key, context in zip(keys, contexts, strict=True):
+                key, at, n = np.unique(key[mine], return_index=True, return_counts=True)
+                held.append([key, context[mine][at], n])
+                bare = np.unique(context[mine])
+                held.append([bare, np.zeros(len(bare), np.uint64), np.zeros(len(bare), np.int64)])
+            held = [added()]
+    if held:
+        yield from out()
+
+
+def _by_text(doc: np.ndarray, key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of values over the words of the same text and key, whether a word is the first of them)."""
+    order = np.lexsort((key, doc))
+    k, d = key[order], doc[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+    first = np.flatnonzero(new)
+    total, leads = np.empty(len(key), np.int64), np.zeros(len(key), bool)
+    total[order] = np.add.reduceat(values[order], first)[np.cumsum(new) - 1]
+    leads[order[first]] = True
+    return total, leads
+
+
+def losses(code: np.ndarray, doc: np.ndarray, language: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log loss of each word by single words and by trigrams, its text's own n-grams left out.
+
+    table: sorted rows key, n, total and followers (of a context, how often and by how many words it is followed).
+    """
+    if not len(code):
+        return np.zeros(0), np.zeros(0)
+    keys, contexts = grams(code, doc, language)
+    rows = table[0].view(np.uint64)
+    every = np.ones(len(code), np.int64)
+    p = 1 / (1.0 + table[3][np.searchsorted(rows, contexts[0])])
+    out = []
+    for key, context in zip(keys, contexts, strict=True):
+        own, leads = _by_text(doc, key, every)
+        n = table[1][np.searchsorted(rows, key)] - own
+        at = np.searchsorted(rows, context)
+        total = table[2][at] - _by_text(doc, context, every)[0]
+        followers = table[3][at] - _by_text(doc, context, (leads & (n == 0)).astype(np.int64))[0]
+        p = np.where(total > 0, (n + followers * p) / np.maximum(total + followers, 1), p)
+        out.append(-np.log(p))
+    return out[0], out[2]
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by block: its n-grams, then its texts -> statistics and losses of the texts."""
+    held, table, block = [], None, None
+    for batch in batches:
+        blocks = np.asarray(batch.column(0))
+        kinds = np.asarray(batch.column(1))
+        cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(blocks)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low == high:
+                continue
+            part = batch.slice(low, high - low)
+            if blocks[low] != block:
+                held, table, block = [], None, blocks[low]
+            if kinds[low] == 0:
+                held.append([np.asarray(part.column(i)) for i in range(2, 6)])
+                continue
+            if table is None:
+                table = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 4
+                order = np.argsort(table[0].view(np.uint64))
+                table, held = [x[order] for x in table], []
+            for rows, data, offsets in text_chunks(iter([part])):
+                names = rows.column(rows.schema.get_field_index("language"))
+                code, doc = words(data, offsets)
+                single, triple = losses(code, doc, _hashes(names.to_pylist()), table)
+                stats, n = statistics(data, offsets), len(offsets) - 1
+                size = np.bincount(doc, minlength=n)
+                low_loss, loss = (np.bincount(doc, x, n) / np.maximum(size, 1) for x in (single, triple))
+                fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(rows.schema.get_field_index("doc_id")), names, *(pa.array(stats[x].astype(np.int64)) for x in fields), pa.array(np.diff(offsets)), pa.array(low_loss), pa.array(loss)],
+                    ["doc_id", "language", *fields, "n_bytes", "single_loss", "log_perplexity"],
+                )
 
 
 def judge(docs: DataFrame, width: float = 3.0) -> DataFrame:
     """docs(doc_id, text, lang) -> (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     log_perplexity, kept).
 
-    A document passes the band if its mean log loss a byte is within its language's quartiles widened by
-    `width` quartile ranges, and more for short texts (by 1 + 10 / sqrt(bytes)). A null text counts as empty and
-    fails the base rules; a null language is a language of its own; every row gives a row.
+    A document passes the band if its mean log loss a word by trigrams is at most its language's upper quartile
+    plus `width` times that quartile's distance from the median (copies widen only the other side), and its loss by
+    single words at least the lower quartile less as much; more for short texts (by 1 + 10 / sqrt(bytes)). A null text counts as empty and fails the base rules; a null language is
+    a language of its own; every row gives a row.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang"), F.lit("")).alias("language"))
-    common = rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MOST_LANGUAGES).collect()
-    languages = [r[0] for r in common] + [OTHER]
-    found = counts(rows, languages).collect()  # at most 2**20 rows a language
-    table = np.array([tuple(r) for r in found], np.int64).reshape(-1, 3)
-    models = [Model(mine[:, 1], mine[:, 2]) for i in range(len(languages)) for mine in [table[table[:, 0] == i]]]
-    shared = spark.sparkContext.broadcast(models)
-    schema = "doc_id long, language int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_perplexity double"
-    scored = durable(rows.select("doc_id", "text", "language").mapInArrow(_scorer(shared, languages), schema))
-    quartiles = scored.where("n_words >= 20").groupBy("language").agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10000).alias("q"))
-    bands = quartiles.select("language", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # a row a language
-    room = (F.col("high") - F.col("low")) * width * (1 + 10 / F.sqrt(F.greatest("n_bytes", F.lit(1))))
-    inside = F.col("log_perplexity").between(F.col("low") - room, F.col("high") + room)
+    rows = durable(rows.mapInArrow(_blocked, "doc_id long, text string, language string, block long"))
+    found = durable(rows.select("text", "language", "block").mapInArrow(_counts, "block long, key long, context long, n long"))
+    counts = found.groupBy("key").agg(F.max("context").alias("context"), F.sum("n").alias("n"))
+    follow = counts.where("context is not null").groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("followers"))
+    zero = F.lit(0).cast("long")
+    model = counts.select("key", "n").join(follow.withColumnRenamed("context", "key"), "key", "left").select("key", "n", F.coalesce("total", zero).alias("total"), F.coalesce("followers", zero).alias("followers"))
+    asked = found.select("block", "key").join(model, "key")
+    none = F.lit(None)
+    grams_of = asked.select("block", F.lit(0).alias("kind"), "key", "n", "total", "followers", none.cast("long").alias("doc_id"), none.cast("string").alias("text"), none.cast("string").alias("language"))
+    texts = rows.select("block", F.lit(1).alias("kind"), *(zero.alias(x) for x in ("key", "n", "total", "followers")), "doc_id", "text", "language")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = grams_of.union(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
+    schema = "doc_id long, language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, single_loss double, log_perplexity double"
+    scored = durable(dealt.mapInArrow(_scores, schema))
+    ends = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    bands = scored.where("n_words >= 20").groupBy("language").agg(F.percentile_approx("single_loss", ends, 10000).alias("s"), F.percentile_approx("log_perplexity", ends, 10000).alias("q"))
+    more = width * (1 + 10 / F.sqrt(F.greatest("n_bytes", F.lit(1))))
+    s, q = F.col("s"), F.col("q")
+    inside = (F.col("single_loss") >= s[0] - (s[1] - s[0]) * more) & (F.col("log_perplexity") <= q[2] + (q[2] - q[1]) * more)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
-        scored.join(F.broadcast(bands), "language", "left")
+        scored.join(bands, "language", "left")
         .withColumn("base_failed", failed)
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))
     )
