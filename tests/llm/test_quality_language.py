@@ -1,9 +1,65 @@
-"""Words of op6 in scripts without spaces."""
+"""The language model of op6 on scripts and languages that the given tables don't have."""
+
+import math
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from skyweft.llm import quality_rules
 
+CYRILLIC = [chr(0x430 + i) for i in range(32)]
+
+
+def prose(random, vocabulary, n):
+    """Words that mostly follow one another as fixed by the vocabulary."""
+    at, out = int(random.integers(len(vocabulary))), []
+    for _ in range(n):
+        out.append(vocabulary[at])
+        at = (at * 7 + int(random.integers(0, 3))) % len(vocabulary)
+    return " ".join(out)
+
+
+def brute_loss(rows, mine):
+    """Mean log loss a word of text `mine`, every count made anew over the other texts of its language."""
+    lang, words = rows[mine][2], [[None, None, *re.findall(r"\S+", t.lower())] for _, t, x in rows if x == rows[mine][2]]
+    me = [i for i, r in enumerate(rows) if r[2] == lang].index(mine)
+    counts = [defaultdict(Counter) for _ in range(3)]
+    vocabulary = {w for ws in words for w in ws[2:]}
+    for j, ws in enumerate(words):
+        for i in range(2, len(ws)):
+            for o in range(3):
+                if j != me:
+                    counts[o][tuple(ws[i - o : i])][ws[i]] += 1
+    total = 0.0
+    ws = words[me]
+    for i in range(2, len(ws)):
+        p = 1 / (1 + len(vocabulary))
+        for o in range(3):
+            c = counts[o][tuple(ws[i - o : i])]
+            if c:
+                p = (c[ws[i]] + len(c) * p) / (c.total() + len(c))
+        total -= math.log(p)
+    return total / (len(ws) - 2)
+
+
+def test_losses_and_many_languages(spark):
+    random = np.random.default_rng(4)
+    rows, junk = [], []
+    for k in range(40):
+        vocabulary = ["".join(random.choice(CYRILLIC, int(random.integers(2, 8)))) for _ in range(60)]
+        for _ in range(14):
+            rows.append((len(rows), prose(random, vocabulary, 60), f"l{k}"))
+        junk.append(len(rows))
+        rows.append((len(rows), " ".join("".join(random.choice(CYRILLIC, int(random.integers(2, 8)))) for _ in range(60)), f"l{k}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    for i in (0, 14, 37, 599):
+        assert found[i].log_perplexity == pytest.approx(brute_loss(rows, i), rel=1e-9)
+    assert not any(found[i].kept for i in junk)
+    assert sum(r.kept for r in found.values()) > 0.95 * (len(rows) - len(junk))
+
 
 def test_ideographs_are_words():
     raw = "ab 中文字 cd中e".encode()
