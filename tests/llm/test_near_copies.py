@@ -63,7 +63,7 @@ def test_components(spark, most, tile):
 
 
 def test_stage_finds_copies_at_similarity(spark):
-    """One changed word in 25: far more than four bits of a fingerprint, but a Jaccard similarity of 0.8 and more."""
+    """Two changed words of 200 leave a Jaccard similarity of 0.90, five leave 0.77."""
     words = [f"word{i}" for i in range(200)]
     copy = " ".join("other" if i in (50, 150) else w for i, w in enumerate(words))
     below = " ".join("other" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words))
