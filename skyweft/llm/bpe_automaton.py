@@ -2,16 +2,20 @@
 
 Compiling starts from one state with a loop for every byte and applies a gadget for every merge u, v -> uv in
 order of rank: the state behind u is copied without its arc for v (v may no longer follow u), and an arc uv
-is added wherever an arc u was, to the state behind v. So the state behind a token is fixed by the token, an
+is added wherever an arc u led to a state with an arc v. So the state behind a token is fixed by the token, an
 arc is either there or was taken away by one merge, and the state behind uv starts as the state behind v
 while the arc uv starts with the holes of the arc u. Both inheritances are kept as chains with the rank at
 which they were copied, instead of copying arcs: the arc t is missing behind s exactly if some merge joins a
 member of s's chain to a member of t's chain at a rank before the state's copy and not after the arc's (the
-gadget takes v away before it adds uv, so of three equal tokens the first two join). Every byte string is spelled by
-exactly one path of the automaton, which is its tokenization.
-
-Words are encoded by table-driven transitions: from each reachable place the arcs whose labels the next
-bytes spell, longest first, are tried, and dead places are remembered. Decoding emits arc labels.
+gadget takes v away before it adds uv, so of three equal tokens the first two join). A merge whose u no longer has v
+behind it adds nothing, and its token is on no arc. Every byte string is spelled by exactly one path.
+
+Arcs are spelled byte by byte, so the automaton over bytes is not deterministic: after some bytes, several arcs
+may be under way. Its states are made deterministic as sets of (state an arc left, place in the trie of labels),
+numbered when first met, with a hashed table from (state, byte) to the next state. As a path's beginnings are
+paths, exactly one arc ends after each byte; a deterministic state names it. Words are encoded by a transition a
+byte, then read backwards: the arc that ends at the last byte, the one that ends where it began, and so on.
+Nothing is tried and taken back. Decoding emits arc labels.
 """
 
 from __future__ import annotations
@@ -32,6 +36,11 @@ from .base import small_batches, text_chunks
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+START = -1
+#: Bounds of what a worker keeps; they affect speed and memory only.
+MOST_KEPT, LONGEST_KEPT, MOST_STATES, LONG_TEXT = 300_000, 64, 150_000, 1 << 20
+
+
 def _bytes_of_characters() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -43,20 +52,47 @@ class Automaton:
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
         """labels: of every token; merges: (u, v, uv) by rank; special: texts that are tokens as a whole."""
         self.labels = labels
+        self.sizes = [len(x) for x in labels]
         self.special = special
-        self.token = {x: i for i, x in enumerate(labels) if i not in set(special.values())}
-        self.longest = max(map(len, self.token), default=1)
-        self.rank = {}
-        #: Of a token: (member, rank of the copy) from itself on; behind it, and along its arc.
         never = len(merges)
+        made = {both for _, _, both in merges}
+        #: Whether a token is on any arc.
+        self.live = [i not in made and len(x) == 1 and i not in set(special.values()) for i, x in enumerate(labels)]
+        self.rank: dict[int, int] = {}
+        #: Of a token: (member, rank of the copy) from itself on; behind it, and along its arc.
         self.behind: list[tuple[tuple[int, int], ...]] = [((i, never),) for i in range(len(labels))]
         self.arc: list[tuple[tuple[int, int], ...]] = list(self.behind)
         for rank, (u, v, both) in enumerate(merges):
-            self.rank[u << 32 | v] = rank
-            self.behind[both] = ((both, never), *((x, min(r, rank)) for x, r in self.behind[v]))
-            self.arc[both] = ((both, never), *((x, min(r, rank)) for x, r in self.arc[u]))
+            if self.live[u] and self.live[v] and self._joins(u, v):
+                if self.live[both]:
+                    raise ValueError("two merges make one token")
+                self.live[both] = True
+                self.behind[both] = ((both, never), *((x, min(r, rank)) for x, r in self.behind[v]))
+                self.arc[both] = ((both, never), *((x, min(r, rank)) for x, r in self.arc[u]))
+                self.rank[u << 32 | v] = rank
         self.known: dict[int, bool] = {}
+        #: The trie of labels on arcs: (node, byte) -> node, and the token that ends at a node or -1.
+        self.child: dict[int, int] = {}
+        self.ends = [-1]
+        for token, label in enumerate(labels):
+            if self.live[token]:
+                node = 0
+                for byte in label:
+                    key = node << 8 | byte
+                    if key not in self.child:
+                        self.child[key] = len(self.ends)
+                        self.ends.append(-1)
+                    node = self.child[key]
+                self.ends[node] = token
         self.words: dict[str, bytes] = {}
+        self._restart()
+
+    def _restart(self) -> None:
+        """Only the state before any byte, and an empty table."""
+        self.sets: list[tuple[tuple[int, int], ...]] = [((START, 0),)]
+        self.numbers = {self.sets[0]: 0}
+        self.ended = [-1]
+        self.table: dict[int, int] = {}
 
     @classmethod
     def load(cls, path: str) -> Automaton:
@@ -76,57 +112,72 @@ class Automaton:
             merges.append((vocab[u], vocab[v], vocab[u + v]))
         return cls(labels, merges, special)
 
-    def has_arc(self, state: int, token: int) -> bool:
-        """Whether `token` may follow the state behind `state`."""
-        key = state << 32 | token
-        if (known := self.known.get(key)) is not None:
-            return known
-        get, found = self.rank.get, True
+    def _joins(self, state: int, token: int) -> bool:
+        """Whether the arc `token` is there behind `state` after the merges so far."""
+        get = self.rank.get
         for x, a in self.behind[state]:
             for y, b in self.arc[token]:
                 r = get(x << 32 | y)
                 if r is not None and r < a and r <= b:
-                    found = False
-                    break
-            if not found:
-                break
-        if len(self.known) > 400_000:
-            self.known.clear()
-        self.known[key] = found
-        return found
+                    return False
+        return True
+
+    def has_arc(self, state: int, token: int) -> bool:
+        """Whether `token` may follow the state behind `state`; any may begin."""
+        if state == START:
+            return True
+        key = state << 32 | token
+        known = self.known.get(key)
+        if known is None:
+            if len(self.known) > MOST_KEPT:
+                self.known.clear()
+            known = self.known[key] = self._joins(state, token)
+        return known
+
+    def _next(self, state: int, byte: int) -> int:
+        """The transition of the deterministic automaton, entered into the table."""
+        under_way, ended = [], -1
+        for left, node in self.sets[state]:
+            now = self.child.get(node << 8 | byte)
+            if now is not None:
+                under_way.append((left, now))
+                token = self.ends[now]
+                if token >= 0 and self.has_arc(left, token):
+                    ended = token
+        if ended < 0:
+            raise ValueError("no path spells the word")
+        found = (*under_way, (ended, 0))
+        number = self.numbers.get(found)
+        if number is None:
+            number = self.numbers[found] = len(self.sets)
+            self.sets.append(found)
+            self.ended.append(ended)
+        self.table[state << 8 | byte] = number
+        return number
 
     def path(self, word: bytes) -> list[int]:
         """The one path that spells word."""
-        token, has_arc, n = self.token, self.has_arc, len(word)
-        if (whole := token.get(word)) is not None:  # the only path if the automaton spells it by one arc
-            return [whole]
-        out: list[int] = []
-        ends, tries, dead = [0], [min(n, self.longest)], set()
-        while ends[-1] < n:
-            at, length = ends[-1], tries[-1]
-            while length:
-                t = token.get(word[at : at + length])
-                if t is not None and (at + length, t) not in dead and (not out or has_arc(out[-1], t)):
-                    break
-                length -= 1
-            if length:
-                tries[-1] = length - 1
-                out.append(t)
-                ends.append(at + length)
-                tries.append(min(n - at - length, self.longest))
-            else:
-                if not out:
-                    raise ValueError("no path spells the word")
-                dead.add((at, out.pop()))
-                ends.pop()
-                tries.pop()
+        if len(self.sets) > MOST_STATES or len(self.table) > 4 * MOST_STATES:
+            self._restart()
+        state, last, get, ended = 0, [], self.table.get, self.ended
+        for byte in word:
+            now = get(state << 8 | byte)
+            state = self._next(state, byte) if now is None else now
+            last.append(ended[state])
+        out, at, sizes = [], len(word), self.sizes
+        while at:
+            out.append(last[at - 1])
+            at -= sizes[out[-1]]
+        out.reverse()
         return out
 
     def packed(self, word: str) -> bytes:
-        """A pre-split word's ids as little-endian unsigned 32-bit integers; words seen are kept, up to a bound."""
-        if len(self.words) > 300_000:
-            self.words.clear()
-        found = self.words[word] = np.array(self.path(word.encode()), "<u4").tobytes()
+        """A pre-split word's ids as little-endian unsigned 32-bit integers; words seen are kept, up to a bound of bytes."""
+        found = np.array(self.path(word.encode()), "<u4").tobytes()
+        if len(word) <= LONGEST_KEPT:
+            if len(self.words) > MOST_KEPT:
+                self.words.clear()
+            self.words[word] = found
         return found
 
     def encode(self, text: str, split=regex.compile(SPLIT)) -> bytes:
@@ -140,12 +191,15 @@ class Automaton:
 
     def _plain(self, text: str, split) -> bytes:
         get, packed = self.words.get, self.packed
+        if len(text) > LONG_TEXT:  # its words are never held together
+            return b"".join(get(m[0]) or packed(m[0]) for m in split.finditer(text))
         return b"".join([get(w) or packed(w) for w in split.findall(text)])
 
     def decode(self, ids: bytes) -> str:
         """Emit the arcs' labels; bytes that are no UTF-8 become replacement characters."""
-        labels = self.labels
-        return b"".join([labels[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        labels, numbers = self.labels, np.frombuffer(ids, "<u4")
+        parts = [b"".join([labels[i] for i in numbers[at : at + LONG_TEXT].tolist()]) for at in range(0, len(numbers), LONG_TEXT)]
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 _loaded: dict[str, Automaton] = {}
@@ -164,7 +218,7 @@ def _rows(path: str, keep: bool):
         for rows, data, offsets in text_chunks(batches):
             raw, out = data.tobytes(), []
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                ids = machine.encode(raw[s:e].decode())
+                ids = machine.encode(raw[s:e].decode("utf-8", "replace"))
                 text = machine.decode(ids)
                 out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *((np.frombuffer(ids, "<i4"), text) if keep else ())))
             columns = list(zip(*out, strict=True))
@@ -182,7 +236,8 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, keep: bool = False) -> Da
     """docs(doc_id, text) -> (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]).
 
     A null or empty text has no tokens and decodes to an empty text. Rows are handled one by one, so null or
-    repeated doc_ids and equal texts keep a row each; an empty table gives no rows.
+    repeated doc_ids and equal texts keep a row each; an empty table gives no rows. Bytes that are no UTF-8 count as
+    replacement characters. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep

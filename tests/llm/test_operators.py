@@ -1,6 +1,7 @@
 """The ten operators against brute force, on the smallest table and on awkward rows."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -344,27 +345,49 @@ def test_bpe(table, rows, empty):
     assert bpe_automaton.encode_and_decode(empty, PATH).count() == 0
 
 
-def test_automaton_spells_every_string_once():
-    """All paths of a small automaton for all short strings."""
-    merges = ["a b", "b a", "ab ab", "a a", "aa a", "ba ab"]
-    labels = [b"a", b"b"]
-    numbered = []
-    for m in merges:
-        u, v = (labels.index(x.encode()) for x in m.split())
-        labels.append(labels[u] + labels[v])
-        numbered.append((u, v, len(labels) - 1))
+def brute_merges(word, labels, numbered):
+    tokens = [labels.index(bytes([c])) for c in word]
+    for u, v, both in numbered:
+        i = 0
+        while i < len(tokens) - 1:
+            if tokens[i] == u and tokens[i + 1] == v:
+                tokens[i : i + 2] = [both]
+            i += 1
+    return tokens
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_automaton_spells_as_merges_do(seed):
+    """All short strings under random merges, of whose tokens some can't be reached."""
+    random = np.random.default_rng(seed)
+    alphabet = b"ab" if seed % 2 else b"abc"
+    labels, numbered = [bytes([c]) for c in alphabet], []
+    if seed == 0:
+        for u, v in ((0, 1), (1, 2), (0, 4)):  # a b, b c, a bc: never abc
+            labels.append(labels[u] + labels[v])
+            numbered.append((u, v, len(labels) - 1))
+    while len(numbered) < 9:
+        u, v = random.integers(0, len(labels), 2).tolist()
+        if labels[u] + labels[v] not in labels:
+            labels.append(labels[u] + labels[v])
+            numbered.append((u, v, len(labels) - 1))
     machine = bpe_automaton.Automaton(labels, numbered, {})
-    for n in range(1, 9):
-        for k in range(2**n):
-            word = bytes(b"ab"[k >> i & 1] for i in range(n))
-            tokens = [labels.index(bytes([c])) for c in word]
-            for u, v, both in numbered:
-                i = 0
-                while i < len(tokens) - 1:
-                    if tokens[i] == u and tokens[i + 1] == v:
-                        tokens[i : i + 2] = [both]
-                    i += 1
-            assert machine.path(word) == tokens or (word in machine.token and machine.path(word) == [machine.token[word]])
+    for n in range(1, 9 if len(alphabet) == 2 else 7):
+        for word in itertools.product(alphabet, repeat=n):
+            assert machine.path(bytes(word)) == brute_merges(word, labels, numbered)
+
+
+def test_automaton_forgets_without_harm(monkeypatch):
+    words = [f"word{i} \U0001f389{i % 7}".encode() for i in range(300)]
+    machine = bpe_automaton.Automaton.load(PATH)
+    wanted = [machine.path(w) for w in words]
+    monkeypatch.setattr(bpe_automaton, "MOST_STATES", 20)
+    monkeypatch.setattr(bpe_automaton, "MOST_KEPT", 20)
+    monkeypatch.setattr(bpe_automaton, "LONG_TEXT", 10)
+    assert [machine.path(w) for w in words] == wanted
+    text = "many words in a text that counts as long, décodé " * 5
+    ids = machine.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids and machine.decode(ids) == text
 
 
 def test_pipeline(spark, tmp_path):
