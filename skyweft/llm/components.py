@@ -1,27 +1,40 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
-Every round is two grouped minimums and two joins, written to the shared folder. Neither the links nor
-the components pass through the driver; it sees one row of counts a round.
+Every round is two grouped minimums and two joins, written to the shared folder; a node with very many links
+has them dealt out by salts. Neither the links nor the components pass through the driver; it sees one row of
+counts a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import durable
+from .base import discard, durable
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str = "m") -> DataFrame:
+    """rows with the least `value` of their `key`, however many rows one key has.
+
+    The rows of a key are dealt out by salts; a key has at most one row a salt where its parts' minimums meet.
+    """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    part = salted.groupBy(key, "_salt").agg(F.min(value).alias(name))
+    part = part.select(key, "_salt", F.min(name).over(Window.partitionBy(key)).alias(name))
+    return salted.join(part, [key, "_salt"]).drop("_salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    rows = with_least(both, "u", "v").where("v > u")
+    return rows.select(F.col("v").alias("a"), F.least("u", "m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    rest = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.union(least.select("a", F.col("m").alias("b"))).distinct()
+    rows = with_least(edges, "a", "b")
+    ends = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+    return rows.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,8 +46,9 @@ def roots(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = _state(edges)
     for _ in range(most_rounds):
-        edges = durable(_small_star(_large_star(edges)))
+        old, edges = edges, durable(_small_star(_large_star(edges)))
         after = _state(edges)
+        discard(old)
         if after == before:
             return edges
         before = after

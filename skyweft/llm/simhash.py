@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable, small_batches, text_chunks
-from .components import roots
+from .base import broadcast_if_small, durable, small_batches, text_chunks
+from .components import roots, with_least
 
 SHINGLE = 4
 SEED = 42
@@ -164,8 +164,8 @@ def links(words: DataFrame, distance: int = 4, tile: int = 4096) -> DataFrame:
         raise ValueError("three parts of radius one cover distances up to 5")
     spark = words.sparkSession
     rows = words.select("fp", F.explode(anchors()).alias("key"))
-    hot = rows.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("blocks"))
-    rows = rows.join(hot, "key", "left")
+    hot = durable(rows.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("blocks")))
+    rows = rows.join(broadcast_if_small(hot), "key", "left")
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     tiles = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
@@ -187,8 +187,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     words = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     up = roots(links(words.select("fp"), distance))
     placed = words.join(up, words.fp == up.a, "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(least, "root").select("fp", "component_id")
+    of = with_least(placed, "root", "least", "component_id").select("fp", "component_id")
     return marked.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
