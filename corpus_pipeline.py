@@ -15,27 +15,30 @@ from skyweft.llm.queries import TOKENIZER
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least one half."""
-    return quality_crf.keep(docs, quality_crf.fit(docs, read(spark, sf_dir, "labels")))
+    """Documents whose quality score is at least one half, in the order they came; nulls count as empty texts, repeated
+    rows are judged alike, an empty table gives no rows. Trained on the labelled documents of the input."""
+    return quality_crf.keep(docs, quality_crf.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under one half."""
-    return toxicity.keep(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    """Documents whose toxicity score is under one half; nulls count as empty texts, repeated rows are judged alike, an
+    empty table gives no rows. Trained on the labelled documents of the input, those too that the stage before rejects."""
+    return toxicity.keep(docs, toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of at least 0.8."""
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of at least 0.8. Null and empty
+    texts are one group; rows of equal or no ids are told apart by their texts."""
     return near_copies.first_of_each(docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced."""
+    """All documents, their personal data replaced; null texts stay null, every row stays."""
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens; a null or empty text is its end id alone."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
