@@ -1,105 +1,51 @@
 """Quality rules: text statistics and n-gram perplexity bands.
 
-The perplexity comes from interpolated word trigrams of each language (Witten-Bell weights, orders three to one,
-then all words alike), a text's own n-grams left out. N-grams are 64-bit hashes that begin with their language's,
-so any number of languages shares one table: Spark adds up counts that tasks have added up by block of texts,
-and joins them to the distinct n-grams of each block, which meet the block's texts again in sorted arrays. The
-tables grow with the corpus and never pass through the driver. A document outside its language's band, whose ends
-are quartiles widened by their distances from the median, is rejected: above for the loss a word by trigrams, below for the loss by
-single words, which a copy of a text elsewhere hardly lowers.
+The language model is modified Kneser-Ney over n-grams of five characters (whole code points, any script). Tasks add up
+the n-grams of their texts and Spark adds up the tasks' counts; lower orders count the characters met before an
+n-gram, and probabilities are interpolated order by order in joins, keyed by language, so any number of languages
+shares the tables and nothing of them is capped. Texts are dealt into two folds by a hash of the text; a text is
+scored by the model counted on the other fold, so junk doesn't vouch for itself and exact copies don't for each other.
+
+For scoring, the n-grams met most often (a fixed number, so of bounded size) go to all tasks as sorted arrays of
+64-bit hashes with log losses, found by the hash's first bits. The n-grams of a text that aren't among them are
+joined to the whole model and their losses are added by text: every n-gram of every text counts.
+
+A document outside its language's band is rejected: above if its mean loss a character is over the upper quartile by
+`width` times that quartile's distance from the median, below likewise. Equal texts count once in the quartiles.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, durable, hashed_words, row_sums, small_batches, text_chunks
-
-ORDER, SIGNS, BITS = 4, 32, 5
-#: Bytes of text of a block; it affects speed and memory only.
-BLOCK = 24 << 20
+from .base import broadcast_if_small, discard, durable, hashed_words, row_sums, small_batches, text_chunks
+
+ORDER = 5
+#: n-grams that every task holds when it scores (16 bytes each), and n-grams that a task holds while it counts.
+CORE, HELD = 1 << 18, 1 << 21
+#: Positions that are worked on together; it affects memory only.
+SLICE = 1 << 20
+#: Least distance of a quartile from the median in a band, as a share of the median.
+LEAST_SPREAD = 0.02
+#: Discounts fitted to few n-grams could be zero and leave nothing to the lower orders.
+LEAST_DISCOUNT = 0.1
 _C = np.arange(256)
-#: Sign of a byte: letters without case, then space, digit, punctuation, symbol, other ASCII, byte of a longer character.
-SIGN = np.select(
-    [(_C >= 97) & (_C <= 122), (_C >= 65) & (_C <= 90), np.isin(_C, [9, 10, 11, 12, 13, 32]), (_C >= 48) & (_C <= 57), np.isin(_C, [*b".,;:!?'\"()-"]), np.isin(_C, [*b"#*$%&|<>"]), _C < 128],
-    [_C - 97, _C - 65, 26, 27, 28, 29, 30],
-    31,
-).astype(np.uint32)
 _SYMBOL = np.isin(_C, [*b"#*$%&|<>"])
-
-
-def four_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code of the four-gram that ends at each byte, offsets); each text follows three spaces."""
-    sign = SIGN[data]
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    code = sign.copy()
-    for back in range(1, ORDER):
-        before = np.concatenate([np.full(back, 26, np.uint32), sign[:-back]])[: len(sign)]
-        code |= np.where(place < back, np.uint32(26), before) << np.uint32(BITS * back)
-    return code, offsets
-
-
-def _discounts(c: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more."""
-    n = [max(1, int((c == i).sum())) for i in range(1, 5)]
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.clip([0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0, [0, 1, 2, 3])
-
-
-class Model:
-    """Kneser-Ney model of folded signs; judge() no longer uses it. For each order from four down to two: sorted codes with log probabilities, sorted contexts with log back-offs."""
-
-    def __init__(self, codes: np.ndarray, n: np.ndarray):
-        by_order = [np.zeros(SIGNS**ORDER, np.int64)]
-        by_order[0][codes] = n
-        for _ in range(ORDER - 1):  # lower orders count the distinct signs before
-            by_order.append((by_order[-1] > 0).reshape(SIGNS, -1).sum(axis=0))
-        lowest = by_order[-1]
-        d = _discounts(lowest)
-        total = max(1, int(lowest.sum()))
-        p = (lowest - d[np.minimum(lowest, 3)]) / total
-        p += (1 - p.sum()) / SIGNS
-        self.single = np.log(np.maximum(p, 1e-12)).astype(np.float32)
-        self.orders = []
-        for c in by_order[-2::-1]:
-            d = _discounts(c)
-            rows = c.reshape(-1, SIGNS)
-            total = rows.sum(axis=1)
-            seen = np.flatnonzero(total)
-            rows, total = rows[seen], total[seen]
-            less = d[np.minimum(rows, 3)]
-            back = np.maximum(less.sum(axis=1), 1e-9) / total
-            lower = np.tile(p, len(c) // len(p)).reshape(-1, SIGNS)[seen]
-            q = (rows - less) / total[:, None] + back[:, None] * lower
-            p = np.tile(p, len(c) // len(p))
-            p.reshape(-1, SIGNS)[seen] = q
-            at, sign = np.nonzero(rows)
-            self.orders.append(((seen[at] * SIGNS + sign).astype(np.uint32), np.log(q[at, sign]).astype(np.float32), seen.astype(np.uint32), np.log(back).astype(np.float32)))
-        self.orders.reverse()
-
-    def log_probability(self, codes: np.ndarray) -> np.ndarray:
-        """Of distinct four-gram codes, by binary search; unseen ones back off."""
-        out, left = np.zeros(len(codes), np.float32), np.arange(len(codes))
-        for depth, (keys, logs, contexts, backs) in enumerate(self.orders):
-            code = codes[left] & np.uint32((1 << BITS * (ORDER - depth)) - 1)
-            at = np.minimum(np.searchsorted(keys, code), max(len(keys) - 1, 0))
-            hit = keys[at] == code if len(keys) else np.zeros(len(code), bool)
-            out[left[hit]] += logs[at[hit]]
-            left, code = left[~hit], code[~hit]
-            if len(contexts):
-                context = code >> np.uint32(BITS)
-                at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-                same = contexts[at] == context
-                out[left[same]] += backs[at[same]]
-        out[left] += self.single[codes[left] & np.uint32(SIGNS - 1)]
-        return out
+_GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Characters as the model sees them below U+3001: ASCII case folded, digits alike, white space and controls a space.
+_SEEN = np.arange(0x3001, dtype=np.uint32)
+_SEEN[:33] = _SEEN[[0x7F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 32
+_SEEN[65:91] += 32
+_SEEN[48:58] = 48
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -134,205 +80,266 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-_GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_START = np.uint64(0x5851F42D4C957F2D)
-#: First bytes of the characters from U+3000 to U+9FFF and of those beyond U+FFFF, which are words by themselves.
-_ALONE = ((_C >= 0xE3) & (_C <= 0xE9)) | (_C >= 0xF0)
-_LETTER = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    x = before * _GOLD + word
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts as the model sees them, offsets of the texts). Bytes that are no UTF-8 count as U+FFFD."""
+    raw = data.tobytes()
+    try:
+        text = raw.decode()
+        ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets] if len(data) else np.zeros(len(offsets), np.int64)
+    except UnicodeDecodeError:
+        texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        text, ends = "".join(texts), np.cumsum([0, *map(len, texts)])
+    letters = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return np.where(letters < len(_SEEN), _SEEN[np.minimum(letters, len(_SEEN) - 1)], letters), ends
+
+
+def grams(letters: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text of each position, the n-gram that ends there as rows of ORDER code points), by slices; a text follows spaces."""
+    sizes = np.diff(offsets)
+    padded = np.concatenate([np.full(ORDER - 1, 32, np.uint32), letters])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, ORDER) if len(letters) else np.zeros((0, ORDER), np.uint32)
+    for at in range(0, len(letters), SLICE):
+        here = np.arange(at, min(at + SLICE, len(letters)))
+        doc = np.searchsorted(offsets, here, "right") - 1
+        rows = windows[here[0] : here[-1] + 1].copy()
+        place = here - offsets[doc]
+        early = np.flatnonzero(place < ORDER - 1)
+        if len(early):
+            mask = place[early][:, None] + np.arange(ORDER)[None, :] < ORDER - 1
+            rows[early] = np.where(mask, np.uint32(32), rows[early])
+        yield doc, rows
+    assert sizes.sum() == len(letters)
+
+
+def hashed(rows: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams and their languages' hashes."""
+    x = language.copy()
+    for k in range(ORDER):
+        x = (x ^ x >> np.uint64(31)) * _GOLD + rows[:, k]
     x = (x ^ x >> np.uint64(30)) * _M1
     x = (x ^ x >> np.uint64(27)) * _M2
     return x ^ x >> np.uint64(31)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, its text): runs between white space, ASCII case folded; ideographs and kana one by one."""
-    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    lead = (data & 0xC0) != 0x80
-    character = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0)) if len(data) else np.zeros(0, int)
-    alone = _ALONE[data[character]]
-    gap = SPACES[data]
-    first = np.zeros(len(data), bool)
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
-    before = np.concatenate([[True], gap[:-1] | alone[:-1]])[: len(data)]
-    start = np.flatnonzero(lead & ~gap & (first | before | alone))
-    if not len(start):
-        return np.zeros(0, np.uint64), start
-    mark = np.zeros(len(data), np.int64)
-    mark[start] = start
-    place = (np.arange(len(data)) - np.maximum.accumulate(mark)).astype(np.uint64)
-    code = np.add.reduceat(np.where(gap, np.uint64(0), _joined(place, _LETTER[data])), start)
-    return code, np.searchsorted(offsets, start, "right") - 1
-
-
-def grams(code: np.ndarray, doc: np.ndarray, language: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For orders one to three: the n-gram that ends at each word, and its context. language: a hash for each text."""
-    before = [np.concatenate([np.full(k, _START), code[:-k]])[: len(code)] for k in (1, 2)]
-    for k in (1, 2):
-        before[k - 1] = np.where(np.concatenate([np.full(k, -1), doc[:-k]])[: len(doc)] == doc, before[k - 1], _START)
-    root = language[doc]
-    contexts = [root, _joined(root, before[0]), _joined(_joined(root, before[1]), before[0])]
-    return [_joined(c, code) for c in contexts], contexts
-
-
-def _hashes(languages: list[str]) -> np.ndarray:
+def _language_hashes(languages: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.encode(), 6) for x in languages], np.uint64)
 
 
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their block: texts that follow one another in a task, of about BLOCK bytes."""
-    task, size = TaskContext.get().partitionId() << 32, 0
-    for rows, data, _ in text_chunks(batches):
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, task + size // BLOCK))], [*rows.schema.names, "block"])
-        size += len(data)
+def _strings(rows: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(rows, np.uint32).view(f"<U{ORDER}").ravel().astype(object), pa.string())
+
+
+def _folds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    raw = data.tobytes()
+    return np.array([zlib.crc32(raw[s:e]) & 1 for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+
+
+def _added(parts: list[tuple]) -> tuple:
+    """(keys, n of fold 0, n of fold 1, n-grams, languages) with equal keys added up."""
+    key, n0, n1, rows, language = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key)
+    sorted_ = key[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(key)])
+    if not len(first):
+        return key, n0, n1, rows, language
+    return sorted_[first], np.add.reduceat(n0[order], first), np.add.reduceat(n1[order], first), rows[order[first]], language[order[first]]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, key, context, n) of the n-grams of each block, added up; contexts that are no n-grams have n 0."""
-    held: list[list[np.ndarray]] = []
-    block = size = 0
-
-    def added() -> list[np.ndarray]:
-        key, context, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(key)
-        key, context, n = key[order], context[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        # a key's context is the same wherever it has one
-        return [key[first], np.maximum.reduceat(context, first), np.add.reduceat(n, first)] if len(key) else [key, context, n]
+    """(language, gram, n0, n1): how often the n-grams of a task's texts occur in texts of either fold."""
+    held: list[tuple] = []
+    names: dict[str, int] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        key, context, n = added()
-        for at in range(0, len(key), 1 << 18):
-            some = slice(at, at + (1 << 18))
-            found = pa.array(context[some].view(np.int64), mask=context[some] == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[some]), block)), pa.array(key[some].view(np.int64)), found, pa.array(n[some])], ["block", "key", "context", "n"])
-
-    for rows, data, offsets in text_chunks(batches):
-        blocks = np.asarray(rows.column(rows.schema.get_field_index("block")))
-        language = _hashes(rows.column(rows.schema.get_field_index("language")).to_pylist())
-        code, doc = words(data, offsets)
-        keys, contexts = grams(code, doc, language)
-        for b in np.unique(blocks).tolist():
-            if held and b != block:
+        _, n0, n1, rows, language = _added(held)
+        known = pa.array(list(names), pa.string())
+        for at in range(0, len(n0), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(language[some])), _strings(rows[some]), pa.array(n0[some]), pa.array(n1[some])], ["language", "gram", "n0", "n1"])
+
+    for batch, data, offsets in text_chunks(batches):
+        languages = batch.column(batch.schema.get_field_index("language")).to_pylist()
+        number = np.array([names.setdefault(x, len(names)) for x in languages], np.int64)
+        code, fold = _language_hashes(languages), _folds(data, offsets)
+        for doc, rows in grams(*characters(data, offsets)):
+            key = hashed(rows, code[doc])
+            order = np.argsort(key)
+            first = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
+            n1 = np.add.reduceat(fold[doc[order]], first)
+            n = np.diff(np.append(first, len(key)))
+            held.append((key[order[first]], n - n1, n1, rows[order[first]], number[doc[order[first]]]))
+        if sum(len(x[0]) for x in held) > HELD:
+            held = [_added(held)]
+            if len(held[0][0]) > HELD // 2:
                 yield from out()
                 held = []
-            block, mine = b, blocks[doc] == b
-            for key, context in zip(keys, contexts, strict=True):
-                key, at, n = np.unique(key[mine], return_index=True, return_counts=True)
-                held.append([key, context[mine][at], n])
-                bare = np.unique(context[mine])
-                held.append([bare, np.zeros(len(bare), np.uint64), np.zeros(len(bare), np.int64)])
-            held = [added()]
     if held:
         yield from out()
 
 
-def _by_text(doc: np.ndarray, key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of values over the words of the same text and key, whether a word is the first of them)."""
-    order = np.lexsort((key, doc))
-    k, d = key[order], doc[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
-    first = np.flatnonzero(new)
-    total, leads = np.empty(len(key), np.int64), np.zeros(len(key), bool)
-    total[order] = np.add.reduceat(values[order], first)[np.cumsum(new) - 1]
-    leads[order[first]] = True
-    return total, leads
+def counted(docs: DataFrame) -> DataFrame:
+    """docs(text, language) -> (language, gram, c0, c1): counts of every n-gram in the texts of either fold."""
+    found = docs.select("text", "language").mapInArrow(_counts, "language string, gram string, n0 long, n1 long")
+    return durable(found.groupBy("language", "gram").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1")))
+
 
+def _discounts(table: DataFrame, order: int) -> DataFrame:
+    """(language, and for each fold the discounts of counts 1, 2 and 3 or more), from how many n-grams occur once to four times."""
+    seen = table.groupBy("language").agg(*[F.greatest(F.sum((F.col(f"c{f}") == i).cast("long")), F.lit(1)).alias(f"t{f}_{i}") for f in (0, 1) for i in (1, 2, 3, 4)])
 
-def losses(code: np.ndarray, doc: np.ndarray, language: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log loss of each word by single words and by trigrams, its text's own n-grams left out.
+    def discount(f: int, i: int) -> Column:
+        t = [F.col(f"t{f}_{k}") for k in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1])
+        return F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(i)), i - (i + 1) * y * t[i] / t[i - 1])).alias(f"d{f}_{i}")
 
-    table: sorted rows key, n, total and followers (of a context, how often and by how many words it is followed).
+    return durable(seen.select("language", *[discount(f, i) for f in (0, 1) for i in (1, 2, 3)]))
+
+
+def model(top: DataFrame) -> DataFrame:
+    """counted() -> (language, gram, n, p0, p1): chances of an n-gram's last character by the counts of either fold.
+
+    p0 is for texts of fold 0 and rests on the counts of fold 1, p1 the other way round.
     """
-    if not len(code):
-        return np.zeros(0), np.zeros(0)
-    keys, contexts = grams(code, doc, language)
-    rows = table[0].view(np.uint64)
-    every = np.ones(len(code), np.int64)
-    p = 1 / (1.0 + table[3][np.searchsorted(rows, contexts[0])])
-    out = []
-    for key, context in zip(keys, contexts, strict=True):
-        own, leads = _by_text(doc, key, every)
-        n = table[1][np.searchsorted(rows, key)] - own
-        at = np.searchsorted(rows, context)
-        total = table[2][at] - _by_text(doc, context, every)[0]
-        followers = table[3][at] - _by_text(doc, context, (leads & (n == 0)).astype(np.int64))[0]
-        p = np.where(total > 0, (n + followers * p) / np.maximum(total + followers, 1), p)
-        out.append(-np.log(p))
-    return out[0], out[2]
-
-
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by block: its n-grams, then its texts -> statistics and losses of the texts."""
-    held, table, block = [], None, None
-    for batch in batches:
-        blocks = np.asarray(batch.column(0))
-        kinds = np.asarray(batch.column(1))
-        cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(blocks)]
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            if low == high:
-                continue
-            part = batch.slice(low, high - low)
-            if blocks[low] != block:
-                held, table, block = [], None, blocks[low]
-            if kinds[low] == 0:
-                held.append([np.asarray(part.column(i)) for i in range(2, 6)])
-                continue
-            if table is None:
-                table = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 4
-                order = np.argsort(table[0].view(np.uint64))
-                table, held = [x[order] for x in table], []
-            for rows, data, offsets in text_chunks(iter([part])):
-                names = rows.column(rows.schema.get_field_index("language"))
-                code, doc = words(data, offsets)
-                single, triple = losses(code, doc, _hashes(names.to_pylist()), table)
-                stats, n = statistics(data, offsets), len(offsets) - 1
-                size = np.bincount(doc, minlength=n)
-                low_loss, loss = (np.bincount(doc, x, n) / np.maximum(size, 1) for x in (single, triple))
-                fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(rows.schema.get_field_index("doc_id")), names, *(pa.array(stats[x].astype(np.int64)) for x in fields), pa.array(np.diff(offsets)), pa.array(low_loss), pa.array(loss)],
-                    ["doc_id", "language", *fields, "n_bytes", "single_loss", "log_perplexity"],
-                )
+    tables = {ORDER: top}
+    for k in range(ORDER - 1, 0, -1):
+        before = [F.sum((F.col(f"c{f}") > 0).cast("long")).alias(f"c{f}") for f in (0, 1)]
+        tables[k] = durable(tables[k + 1].groupBy("language", F.substring("gram", 2, k).alias("gram")).agg(*before))
+    letters = durable(tables[1].groupBy("language").agg(F.count("*").alias("letters")))
+    chances = None
+    for k in range(1, ORDER + 1):
+        table = tables[k].withColumn("context", F.substring("gram", 1, k - 1)) if k > 1 else tables[k].withColumn("context", F.lit(""))
+        sums = [F.sum(f"c{f}").alias(f"total{f}") for f in (0, 1)]
+        sums += [F.sum((F.col(f"c{f}") >= 3 if i == 3 else F.col(f"c{f}") == i).cast("long")).alias(f"s{f}_{i}") for f in (0, 1) for i in (1, 2, 3)]
+        contexts = table.groupBy("language", "context").agg(*sums)
+        rows = table.join(contexts, ["language", "context"]).join(broadcast_if_small(_discounts(tables[k], k)), "language")
+        if k == 1:
+            rows = rows.join(broadcast_if_small(letters), "language").withColumns({f"q{f}": 1 / (F.col("letters") + 1) for f in (0, 1)})
+        else:
+            rows = rows.withColumn("end", F.substring("gram", 2, k)).join(chances.select("language", F.col("gram").alias("end"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), ["language", "end"])
+
+        def chance(f: int) -> Column:
+            c, total = F.col(f"c{f}"), F.col(f"total{f}")
+            own = F.when(c == 0, 0.0).when(c == 1, F.col(f"d{f}_1")).when(c == 2, F.col(f"d{f}_2")).otherwise(F.col(f"d{f}_3"))
+            left = sum((F.col(f"d{f}_{i}") * F.col(f"s{f}_{i}") for i in (1, 2, 3)), F.lit(0.0))
+            return F.when(total > 0, (c - own + left * F.col(f"q{f}")) / total).otherwise(F.col(f"q{f}"))
+
+        # texts of a fold meet the other fold's counts: what is computed from c1 is p0 from here on only in the last step
+        chances = rows.select("language", "gram", (F.col("c0") + F.col("c1")).alias("n"), chance(0).alias("p0"), chance(1).alias("p1"))
+    out = durable(chances.select("language", "gram", "n", F.col("p1").alias("p0"), F.col("p0").alias("p1")))
+    discard(*(tables[k] for k in range(1, ORDER)))
+    return out
+
+
+@dataclass
+class Core:
+    """Sorted hashes of the commonest n-grams and their log losses for texts of either fold; first: where hashes with the same
+    leading bits begin."""
+
+    keys: np.ndarray
+    losses: np.ndarray
+    first: np.ndarray
+    shift: int
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Core:
+        texts = table.column("gram").to_pylist()
+        rows = np.array(texts, f"<U{ORDER}").reshape(-1, 1).view(np.uint32) if texts else np.zeros((0, ORDER), np.uint32)
+        names = table.column("language").to_pylist()
+        known = dict(zip(set(names), _language_hashes(list(set(names))), strict=True))
+        keys = hashed(rows, np.array([known[x] for x in names], np.uint64))
+        losses = -np.log(np.stack([table.column(c).to_numpy() for c in ("p0", "p1")])).astype(np.float32)
+        order = np.argsort(keys)
+        bits = max(1, len(keys).bit_length() + 1)
+        keys, shift = keys[order], 64 - bits
+        return cls(keys, np.ascontiguousarray(losses[:, order]), np.searchsorted(keys >> np.uint64(shift), np.arange((1 << bits) + 1, dtype=np.uint64)), shift)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't there."""
+        lead = (keys >> np.uint64(self.shift)).astype(np.int64)
+        at, end = self.first[lead], self.first[lead + 1]
+        out = np.full(len(keys), -1)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == keys[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _scorer(core):
+    """Statistics of texts, their losses by the core's n-grams, and their other n-grams with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId() << 40, 0
+        for batch, data, offsets in text_chunks(batches):
+            n = batch.num_rows
+            names = batch.column(batch.schema.get_field_index("language"))
+            code, fold = _language_hashes(names.to_pylist()), _folds(data, offsets)
+            letters, ends = characters(data, offsets)
+            loss, owners, others, counts = np.zeros(n), [np.zeros(0, np.int64)], [np.zeros((0, ORDER), np.uint32)], [np.zeros(0, np.int64)]
+            for doc, rows in grams(letters, ends):
+                key = hashed(rows, code[doc])
+                at = core.value.find(key)
+                known = at >= 0
+                loss += np.bincount(doc[known], core.value.losses[fold[doc[known]], at[known]], n)
+                rest = np.flatnonzero(~known)
+                rest = rest[np.lexsort((key[rest], doc[rest]))]
+                new = np.flatnonzero(np.concatenate([[True], (key[rest[1:]] != key[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]])])[: len(rest)])
+                owners.append(doc[rest[new]])
+                others.append(rows[rest[new]])
+                counts.append(np.diff(np.append(new, len(rest))))
+            owner = np.concatenate(owners)
+            places = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
+            rest = pa.StructArray.from_arrays([_strings(np.concatenate(others)), pa.array(np.concatenate(counts))], ["gram", "n"])
+            stats = statistics(data, offsets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(task + made + np.arange(n)), batch.column(batch.schema.get_field_index("doc_id")), names, *(pa.array(stats[x].astype(np.int64)) for x in FIELDS), pa.array(np.diff(ends)), pa.array(fold), pa.array(loss), pa.ListArray.from_arrays(places, rest)],
+                ["row", "doc_id", "language", *FIELDS, "n_chars", "fold", "loss", "rest"],
+            )
+            made += n
+
+    return run
+
+
+def _scores(docs: DataFrame, chances: DataFrame) -> DataFrame:
+    """docs(doc_id, text, language) -> a row each with statistics and log_perplexity, null without a character."""
+    spark = docs.sparkSession
+    core = spark.sparkContext.broadcast(Core.of(chances.orderBy(F.desc("n"), "language", "gram").limit(CORE).toArrow()))
+    schema = "row long, doc_id long, language string, " + "".join(f"{x} long, " for x in FIELDS) + "n_chars long, fold long, loss double, rest array<struct<gram:string,n:long>>"
+    rows = durable(docs.mapInArrow(_scorer(core), schema))
+    rest = rows.select("row", "language", "fold", F.explode("rest").alias("x")).select("row", "language", "fold", "x.gram", F.col("x.n").alias("times"))
+    lost = -F.log(F.when(F.col("fold") == 0, F.col("p0")).otherwise(F.col("p1"))) * F.col("times")
+    more = rest.join(chances.select("language", "gram", "p0", "p1"), ["language", "gram"]).groupBy("row").agg(F.sum(lost).alias("more"))
+    total = F.col("loss") + F.coalesce("more", F.lit(0.0))
+    return rows.drop("rest").join(more, "row", "left").withColumn("log_perplexity", F.when(F.col("n_chars") > 0, total / F.col("n_chars")))
 
 
 def judge(docs: DataFrame, width: float = 3.0) -> DataFrame:
     """docs(doc_id, text, lang) -> (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     log_perplexity, kept).
 
-    A document passes the band if its mean log loss a word by trigrams is at most its language's upper quartile
-    plus `width` times that quartile's distance from the median (copies widen only the other side), and its loss by
-    single words at least the lower quartile less as much; more for short texts (by 1 + 10 / sqrt(bytes)). A null text counts as empty and fails the base rules; a null language is
-    a language of its own; every row gives a row.
+    A document passes the band if its mean log loss a character is at most its language's upper quartile plus `width`
+    times that quartile's distance from the median, and at least the lower quartile less as much; more for short texts
+    (by 1 + 10 / sqrt(characters)). The quartiles are of the language's distinct texts that pass the base rules. A null
+    text counts as empty and fails the base rules; a null language is a language of its own; every row gives a row,
+    repeated ones too, and an empty table gives none.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang"), F.lit("")).alias("language"))
-    rows = durable(rows.mapInArrow(_blocked, "doc_id long, text string, language string, block long"))
-    found = durable(rows.select("text", "language", "block").mapInArrow(_counts, "block long, key long, context long, n long"))
-    counts = found.groupBy("key").agg(F.max("context").alias("context"), F.sum("n").alias("n"))
-    follow = counts.where("context is not null").groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("followers"))
-    zero = F.lit(0).cast("long")
-    model = counts.select("key", "n").join(follow.withColumnRenamed("context", "key"), "key", "left").select("key", "n", F.coalesce("total", zero).alias("total"), F.coalesce("followers", zero).alias("followers"))
-    asked = found.select("block", "key").join(model, "key")
-    none = F.lit(None)
-    grams_of = asked.select("block", F.lit(0).alias("kind"), "key", "n", "total", "followers", none.cast("long").alias("doc_id"), none.cast("string").alias("text"), none.cast("string").alias("language"))
-    texts = rows.select("block", F.lit(1).alias("kind"), *(zero.alias(x) for x in ("key", "n", "total", "followers")), "doc_id", "text", "language")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = grams_of.union(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
-    schema = "doc_id long, language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, single_loss double, log_perplexity double"
-    scored = durable(dealt.mapInArrow(_scores, schema))
-    ends = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    bands = scored.where("n_words >= 20").groupBy("language").agg(F.percentile_approx("single_loss", ends, 10000).alias("s"), F.percentile_approx("log_perplexity", ends, 10000).alias("q"))
-    more = width * (1 + 10 / F.sqrt(F.greatest("n_bytes", F.lit(1))))
-    s, q = F.col("s"), F.col("q")
-    inside = (F.col("single_loss") >= s[0] - (s[1] - s[0]) * more) & (F.col("log_perplexity") <= q[2] + (q[2] - q[1]) * more)
+    top = counted(rows)
+    scored = durable(_scores(rows, model(top)))
+    discard(top)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return (
-        scored.join(bands, "language", "left")
-        .withColumn("base_failed", failed)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))
-    )
+    scored = scored.withColumn("base_failed", failed)
+    distinct = scored.where("not base_failed").select("language", "n_chars", "n_words", F.round("log_perplexity", 9).alias("x")).distinct()
+    ends = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    bands = broadcast_if_small(durable(distinct.groupBy("language").agg(F.percentile_approx("x", ends, 10000).alias("q"))))
+    q, more = F.col("q"), width * (1 + 10 / F.sqrt(F.greatest("n_chars", F.lit(1))))
+    over, under = (F.greatest(d, LEAST_SPREAD * q[1]) * more for d in (q[2] - q[1], q[1] - q[0]))
+    inside = (F.col("log_perplexity") >= q[0] - under) & (F.col("log_perplexity") <= q[2] + over)
+    return scored.join(bands, "language", "left").select("doc_id", *FIELDS, "base_failed", "log_perplexity", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))
