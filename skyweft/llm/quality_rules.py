@@ -10,8 +10,9 @@ For scoring, the n-grams met most often (a fixed number, so of bounded size) go
 64-bit hashes with log losses, found by the hash's first bits. The n-grams of a text that aren't among them are
 joined to the whole model and their losses are added by text: every n-gram of every text counts.
 
-A document outside its language's band is rejected: above if its mean loss a character is over the upper quartile by
-`width` times that quartile's distance from the median, below likewise. Equal texts count once in the quartiles.
+A document outside its language's band is rejected: above if its mean loss a word (ideographs and kana are words by
+themselves here) is over the upper quartile by `width` times that quartile's distance from the median, below
+likewise. Equal texts count once in the quartiles.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ CORE, HELD = 1 << 18, 1 << 21
 #: Positions that are worked on together; it affects memory only.
 SLICE = 1 << 20
 #: Least distance of a quartile from the median in a band, as a share of the median.
-LEAST_SPREAD = 0.02
+LEAST_SPREAD = 0.005
 #: Discounts fitted to few n-grams could be zero and leave nothing to the lower orders.
 LEAST_DISCOUNT = 0.1
 _C = np.arange(256)
@@ -268,6 +269,11 @@ class Core:
         return out
 
 
+def _alone(letters: np.ndarray) -> np.ndarray:
+    """Ideographs and kana."""
+    return (letters >= 0x3041) & (letters < 0xA000) | (letters >= 0x20000) & (letters < 0x32000)
+
+
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -298,8 +304,8 @@ def _scorer(core):
             rest = pa.StructArray.from_arrays([_strings(np.concatenate(others)), pa.array(np.concatenate(counts))], ["gram", "n"])
             stats = statistics(data, offsets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(task + made + np.arange(n)), batch.column(batch.schema.get_field_index("doc_id")), names, *(pa.array(stats[x].astype(np.int64)) for x in FIELDS), pa.array(np.diff(ends)), pa.array(fold), pa.array(loss), pa.ListArray.from_arrays(places, rest)],
-                ["row", "doc_id", "language", *FIELDS, "n_chars", "fold", "loss", "rest"],
+                [pa.array(task + made + np.arange(n)), batch.column(batch.schema.get_field_index("doc_id")), names, *(pa.array(stats[x].astype(np.int64)) for x in FIELDS), pa.array(np.diff(ends)), pa.array(stats["n_words"] + row_sums(_alone(letters), ends).astype(np.int64)), pa.array(fold), pa.array(loss), pa.ListArray.from_arrays(places, rest)],
+                ["row", "doc_id", "language", *FIELDS, "n_chars", "units", "fold", "loss", "rest"],
             )
             made += n
 
@@ -307,25 +313,25 @@ def _scorer(core):
 
 
 def _scores(docs: DataFrame, chances: DataFrame) -> DataFrame:
-    """docs(doc_id, text, language) -> a row each with statistics and log_perplexity, null without a character."""
+    """docs(doc_id, text, language) -> a row each with statistics and log_perplexity, null without a word."""
     spark = docs.sparkSession
     core = spark.sparkContext.broadcast(Core.of(chances.orderBy(F.desc("n"), "language", "gram").limit(CORE).toArrow()))
-    schema = "row long, doc_id long, language string, " + "".join(f"{x} long, " for x in FIELDS) + "n_chars long, fold long, loss double, rest array<struct<gram:string,n:long>>"
+    schema = "row long, doc_id long, language string, " + "".join(f"{x} long, " for x in FIELDS) + "n_chars long, units long, fold long, loss double, rest array<struct<gram:string,n:long>>"
     rows = durable(docs.mapInArrow(_scorer(core), schema))
     rest = rows.select("row", "language", "fold", F.explode("rest").alias("x")).select("row", "language", "fold", "x.gram", F.col("x.n").alias("times"))
     lost = -F.log(F.when(F.col("fold") == 0, F.col("p0")).otherwise(F.col("p1"))) * F.col("times")
     more = rest.join(chances.select("language", "gram", "p0", "p1"), ["language", "gram"]).groupBy("row").agg(F.sum(lost).alias("more"))
     total = F.col("loss") + F.coalesce("more", F.lit(0.0))
-    return rows.drop("rest").join(more, "row", "left").withColumn("log_perplexity", F.when(F.col("n_chars") > 0, total / F.col("n_chars")))
+    return rows.drop("rest").join(more, "row", "left").withColumn("log_perplexity", F.when(F.col("units") > 0, total / F.col("units")))
 
 
 def judge(docs: DataFrame, width: float = 3.0) -> DataFrame:
     """docs(doc_id, text, lang) -> (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     log_perplexity, kept).
 
-    A document passes the band if its mean log loss a character is at most its language's upper quartile plus `width`
-    times that quartile's distance from the median, and at least the lower quartile less as much; more for short texts
-    (by 1 + 10 / sqrt(characters)). The quartiles are of the language's distinct texts that pass the base rules. A null
+    A document passes the band if log_perplexity, its mean log loss a word, is at most its language's upper quartile plus
+    `width` times that quartile's distance from the median, and at least the lower quartile less as much; more for short
+    texts (by 1 + 20 / sqrt(characters)). The quartiles are of the language's distinct texts that pass the base rules. A null
     text counts as empty and fails the base rules; a null language is a language of its own; every row gives a row,
     repeated ones too, and an empty table gives none.
     """
@@ -339,7 +345,7 @@ def judge(docs: DataFrame, width: float = 3.0) -> DataFrame:
     distinct = scored.where("not base_failed").select("language", "n_chars", "n_words", F.round("log_perplexity", 9).alias("x")).distinct()
     ends = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     bands = broadcast_if_small(durable(distinct.groupBy("language").agg(F.percentile_approx("x", ends, 10000).alias("q"))))
-    q, more = F.col("q"), width * (1 + 10 / F.sqrt(F.greatest("n_chars", F.lit(1))))
+    q, more = F.col("q"), width * (1 + 20 / F.sqrt(F.greatest("n_chars", F.lit(1))))
     over, under = (F.greatest(d, LEAST_SPREAD * q[1]) * more for d in (q[2] - q[1], q[1] - q[0]))
     inside = (F.col("log_perplexity") >= q[0] - under) & (F.col("log_perplexity") <= q[2] + over)
     return scored.join(bands, "language", "left").select("doc_id", *FIELDS, "base_failed", "log_perplexity", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))
