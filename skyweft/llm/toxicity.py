@@ -23,8 +23,9 @@ SLOT_BITS = 18
 DIMENSIONS = 8
 WINDOW = 32
 ORDERS = (3, 4, 5)
-#: Smaller bags are averaged as if filled up with zero vectors, so a short text isn't judged on a few n-grams.
-LEAST_BAG = 160
+#: Smaller bags are averaged as if filled up with zero vectors, so a short text isn't judged on a few n-grams; up to which
+#: size is learned with the rest, among these.
+FILLED = (1, 40, 80, 160, 320)
 
 
 def _joined(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,25 +66,28 @@ def _windows(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    """slot: softmax margin of each n-gram slot, already times embeddings; bias: margin of an empty bag."""
+    """slot: softmax margin of each n-gram slot, already times embeddings; bias: margin of an empty bag; filled: size up
+    to which bags are filled with zero vectors."""
 
     slot: np.ndarray
     bias: float
+    filled: int = FILLED[0]
 
-    def margins(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(margin without bias of each window, its document, its first place)."""
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sum of the margins of each window's n-grams, their number, its document, its first place)."""
         text, starts = _joined(data, offsets)
         edges, doc = _windows(text, starts)
         if not len(doc):
-            return np.zeros(0), doc, edges
+            return np.zeros(0), np.zeros(0), doc, edges
         total, count = np.zeros(len(text), np.float32), np.zeros(len(text), np.float32)
         for slots, valid in _grams(text):
             total += np.where(valid, self.slot[slots], np.float32(0))
             count += valid
-        return row_sums(total, edges) / np.maximum(row_sums(count, edges), LEAST_BAG), doc, edges
+        return row_sums(total, edges), row_sums(count, edges), doc, edges
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        margin, doc, _ = self.margins(data, offsets)
+        total, count, doc, _ = self.sums(data, offsets)
+        margin = total / np.maximum(count, self.filled)
         best = np.full(len(offsets) - 1, -np.inf)
         np.maximum.at(best, doc, margin)
         return sigmoid(np.where(np.isfinite(best), best, 0) + self.bias)
@@ -115,23 +119,31 @@ def train(rows: list[tuple[bytes, int]], rounds: int = 3, epochs: int = 2, rate:
     squares = np.full(slots, 1e-3)
     model = Model(np.zeros(slots, np.float32), 0.0)
     for turn in range(rounds + 1):
-        # The most toxic window of every document under the model so far, and a fit of scale and bias to it.
+        # Sums of every window under the model so far; the filling, scale and bias that fit the labels best.
         model.slot = (embedding @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
-        bags, best = [], np.zeros(len(rows))
-        for g, group in enumerate(groups):
-            data, offsets = _flat([t for t, _ in group])
-            margin, doc, edges = model.margins(data, offsets)
-            order = np.lexsort((-margin, doc))
-            top = order[np.searchsorted(doc[order], np.arange(len(group)))] if len(doc) else np.zeros(0, int)
-            if turn < rounds:
-                grams = list(_grams(_joined(data, offsets)[0]))
-            for i in range(len(group)):
-                has = len(doc) and np.searchsorted(doc, i) < len(doc) and doc[np.searchsorted(doc, i)] == i
-                best[100 * g + i] = margin[top[i]] if has else 0.0
-                if turn < rounds:
-                    low, high = (edges[top[i]], edges[top[i] + 1]) if has else (0, 0)
-                    bags.append(np.concatenate([s[low:high][v[low:high]] for s, v in grams]))
-        scale, shift = platt(best, labels)
+        found = [model.sums(*_flat([t for t, _ in group])) for group in groups]
+        fits = []
+        for filled in FILLED:
+            best = np.zeros(len(rows))
+            for g, (total, count, doc, _) in enumerate(found):
+                if len(doc):
+                    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                    best[100 * g + doc[first]] = np.maximum.reduceat(total / np.maximum(count, filled), first)
+            scale, shift = platt(best, labels)
+            p = sigmoid(scale * best + shift)
+            fits.append((-(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean(), filled, scale, shift))
+        _, filled, scale, shift = min(fits)
+        model.filled = filled
+        bags = []
+        for g, (total, count, doc, edges) in enumerate(found if turn < rounds else []):
+            # the most toxic window of every document
+            order = np.lexsort((-total / np.maximum(count, filled), doc))
+            at = np.searchsorted(doc[order], np.arange(len(groups[g])))
+            grams = list(_grams(_joined(*_flat([t for t, _ in groups[g]]))[0]))
+            for i in range(len(groups[g])):
+                has = at[i] < len(doc) and doc[order[at[i]]] == i
+                low, high = (edges[order[at[i]]], edges[order[at[i]] + 1]) if has else (0, 0)
+                bags.append(np.concatenate([s[low:high][v[low:high]] for s, v in grams]))
         softmax *= max(scale, 1e-3)
         bias = np.array([-shift / 2, shift / 2])
         if turn == rounds:
@@ -145,12 +157,12 @@ def train(rows: list[tuple[bytes, int]], rounds: int = 3, epochs: int = 2, rate:
                 owner = np.repeat(np.arange(len(batch)), sizes)
                 mean = np.zeros((len(batch), DIMENSIONS))
                 np.add.at(mean, owner, embedding[flat])
-                mean /= np.maximum(sizes, LEAST_BAG)[:, None]
+                mean /= np.maximum(sizes, filled)[:, None]
                 logits = mean @ softmax + bias
                 p = np.exp(logits - logits.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(batch)), labels[batch].astype(int)] -= 1
-                down = (p @ softmax.T) / np.maximum(sizes, LEAST_BAG)[:, None]
+                down = (p @ softmax.T) / np.maximum(sizes, filled)[:, None]
                 squares_now = np.zeros(slots)
                 np.add.at(squares_now, flat, (down**2).sum(axis=1)[owner])
                 squares += squares_now
