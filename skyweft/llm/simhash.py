@@ -163,7 +163,9 @@ def links(words: DataFrame, distance: int = 4, tile: int = 4096) -> DataFrame:
     if not 0 <= distance < 2 * len(PARTS):
         raise ValueError("three parts of radius one cover distances up to 5")
     spark = words.sparkSession
-    rows = words.select("fp", F.explode(anchors()).alias("key"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a fingerprint is a few bytes but makes some seventy rows here, so few partitions of them would be long tasks
+    rows = words.select("fp").repartition(parts, "fp").select("fp", F.explode(anchors()).alias("key"))
     hot = durable(rows.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("blocks")))
     rows = rows.join(broadcast_if_small(hot), "key", "left")
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -171,7 +173,6 @@ def links(words: DataFrame, distance: int = 4, tile: int = 4096) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
     )
     rows = rows.select("key", F.explode(tiles).alias("tile"), "fp")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
     return dealt.mapInArrow(_linker(distance), "a long, b long")
 
