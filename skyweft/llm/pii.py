@@ -85,24 +85,24 @@ def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Col
     return _let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(_let(cut(v), over)))
 
 
+SPANS = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start long, end long, value string>> of a pattern's leftmost non-overlapping matches."""
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    """SPANS of a pattern's leftmost non-overlapping matches; before: up to 24 characters since the match before."""
 
     def placed(found: Column) -> Column:
-        before = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("bigint"))
-        gaps = F.slice(before, 1, F.size(found))
-
-        def spans(g: Column) -> Column:
-            lengths = F.zip_with(g, found, lambda x, v: x + F.length(v))
-            return _let(_running(lengths, lambda a, x: a + x), lambda at: F.transform(found, lambda v, i: span(F.element_at(at, i + 1) + F.element_at(g, i + 1), v)))
+        def spans(gaps: Column) -> Column:
+            lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: (F.length(g) + F.length(v)).cast("bigint"))
+            return _let(_running(lengths, lambda a, x: a + x), lambda at: F.transform(found, lambda v, i: span(F.element_at(at, i + 1), F.element_at(gaps, i + 1), v)))
 
-        return _let(gaps, spans)
+        return _let(F.split(text, pattern, -1), spans)
 
-    def span(start: Column, value: Column) -> Column:
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+    def span(at: Column, gap: Column, value: Column) -> Column:
+        start = at + F.length(gap)
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.substring(gap, -24, 24).alias("before"))
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(placed(found)))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(placed(found)))
 
 
 def _kept(kind: str, value: Column) -> Column:
@@ -119,10 +119,9 @@ def _vote(sure: Column, against: Column) -> Column:
     return F.when(sure, 1).when(against, -1).otherwise(0)
 
 
-def _candidate(text: Column, x: Column, kind: Column, base: bool) -> Column:
-    value = x["value"]
+def _candidate(x: Column, kind: Column, base: bool) -> Column:
+    value, before = x["value"], x["before"]
     digits = _digits(value)
-    before = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)).cast("int"), F.least(x["start"], F.lit(24)).cast("int"))
     strict = (
         F.when(kind == "email", value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@.*\.[A-Za-z]{2,}$") & ~value.contains(".."))
         .when(kind == "ip", ~value.rlike(r"(^|\.)0[0-9]"))
@@ -167,18 +166,18 @@ def with_candidates(docs: DataFrame, name: str) -> DataFrame:
     """docs with a column of candidate spans and their votes, by start and kind. A null text counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hint = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]{2}|[0-9][ -][0-9]")}
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    none = F.array().cast(SPANS)
 
     def base(kind: str) -> Column:
         found = F.filter(F.when(hint[kind], _matches(text, PATTERNS[kind])).otherwise(none), lambda x: _kept(kind, x["value"]))
-        return F.transform(found, lambda x: _candidate(text, x, F.lit(kind), True))
+        return F.transform(found, lambda x: _candidate(x, F.lit(kind), True))
 
     lists = [base(kind) for kind in KINDS[:4]]
 
     def wide(x: Column) -> Column:
         value = x["value"]
         kind = F.when(value.rlike("^[0-9]{3}-"), "ssn").when(value.rlike("^[0-9]{13,19}$"), "account").when(value.rlike(f"^{SECRET}$"), "secret").otherwise("iban")
-        return _candidate(text, x, kind, False)
+        return _candidate(x, kind, False)
 
     found = F.when(text.rlike("[0-9]{2}|AKIA|gh[opsu]_|sk-"), _matches(text, WIDER)).otherwise(none)
     other = F.filter(found, lambda x: ~(x["value"].rlike("^[0-9]{14,19}$") & luhn(x["value"])))  # those are base cards
