@@ -1,10 +1,14 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
+"""Near copies: SimHash fingerprints by anchor-point covering, and exact Jaccard similarity of five-word shingles.
 
-Two texts are near copies if their sets of shingles agree in at least four fifths of their union. Candidates come
-from prefixes: with the shingles of every set in one common order, two such sets share one of their first
-n - ceil(0.8 n) + 1, so no pair is missed. The order puts shingles that a sample found in many texts last; the
-sample decides speed only. Sizes and places rule out most of the rest, and every candidate is verified on its
-whole sets. Texts of equal sets are folded before any of this.
+Two texts are near copies if their sets of shingles agree in at least four fifths of their union. Fingerprints of
+those shingles link most of them (see simhash): what the covering code brings together is verified on the sets and
+joined into components. As a similarity of 0.8 may leave fingerprints many bits apart, the rest is found by prefixes:
+with the shingles of every set in one common order, two such sets share one of their first n - ceil(0.8 n) + 1, so no
+pair is missed. The order puts shingles that a sample found in many texts last; the sample decides speed only. Pairs
+that the fingerprints have joined already are left out.
+
+Candidates are verified in two steps: by counts of shingles in a few buckets, which bound the intersection from above
+and are small to shuffle, and then by the whole sets. Texts of equal sets are folded before any of this.
 
 Pairs of a shingle with many texts are taken in two steps: each text with its neighbours by size and with one
 centre, then, in tiles of bounded size, only texts that the first step left in different components.
@@ -19,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable, hashed_words, small_batches, text_chunks
+from . import simhash
+from .base import discard, durable, hashed_words, small_batches, text_chunks
 from .components import roots
 
 SHINGLE = 5
@@ -178,6 +183,51 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ident[some], ident[i])), pa.array(np.maximum(ident[some], ident[i]))], ["a", "b"])
 
 
+#: Buckets of the smallest count of shingles; a larger set has so many that about four shingles meet in one.
+BUCKETS, SHARED = 64, 4
+#: Numbers of sets, of eight bytes each, that go to all tasks at once.
+ASKED = 1 << 20
+
+
+def bucket_counts(codes: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall in each bucket (at most 255 are counted); the buckets are a power of two."""
+    many = max(BUCKETS, 1 << max(0, (len(codes) // SHARED)).bit_length())
+    return np.minimum(np.bincount((codes >> np.uint64(40)).astype(np.int64) & (many - 1), minlength=many), 255).astype(np.uint8)
+
+
+def may_agree(x: np.ndarray, y: np.ndarray, m: int, n: int) -> bool:
+    """Whether sets of m and n shingles with these counts can be similar enough. Never false for a pair that is."""
+    if (x == 255).any() or (y == 255).any():
+        return True
+    while len(x) > len(y):
+        x = x.reshape(2, -1).sum(axis=0, dtype=np.int64)
+    while len(y) > len(x):
+        y = y.reshape(2, -1).sum(axis=0, dtype=np.int64)
+    return (PART + WHOLE) * int(np.minimum(x, y).sum()) >= PART * (m + n)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, fp, size, counts) of the distinct sets of a run of texts."""
+    for _, data, offsets in text_chunks(batches):
+        codes, ends, number = shingle_sets(data, offsets)
+        _, once = np.unique(number, return_index=True)
+        raw = data.tobytes()
+        prints = np.array([simhash.fingerprint(raw[offsets[i] : offsets[i + 1]], SHINGLE) for i in once], np.uint64)
+        counts = [bucket_counts(codes[ends[i] : ends[i + 1]]).tobytes() for i in once]
+        yield pa.RecordBatch.from_arrays([pa.array(number[once]), pa.array(prints.view(np.int64)), pa.array(np.diff(ends)[once]), pa.array(counts, pa.binary())], ["id", "fp", "size", "counts"])
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, m, x, n, y) -> the pairs that may be similar enough."""
+    for batch in batches:
+        m, n = (np.asarray(batch.column(i)) for i in (2, 4))
+        keep = (PART + WHOLE) * np.minimum(m, n) >= PART * (m + n)
+        for i in np.flatnonzero(keep).tolist():
+            x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (3, 5))
+            keep[i] = may_agree(x, y, int(m[i]), int(n[i]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -188,20 +238,55 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, data, offsets in text_chunks(batches):
-        codes, ends, number = shingle_sets(data, offsets)
-        _, once = np.unique(number, return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(number[once]), pa.array([codes[ends[i] : ends[i + 1]].tobytes() for i in once], pa.binary())], ["id", "codes"])
+def _sets(asked) -> Callable:
+    """(id, codes) of the sets of a run of texts; with `asked`, sorted numbers, only of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in text_chunks(batches):
+            codes, ends, number = shingle_sets(data, offsets)
+            _, once = np.unique(number, return_index=True)
+            if asked is not None:
+                at = np.searchsorted(asked.value, number[once])
+                once = once[np.append(asked.value, 0)[at] == number[once]] if len(asked.value) else once[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(number[once]), pa.array([codes[ends[i] : ends[i + 1]].tobytes() for i in once], pa.binary())], ["id", "codes"])
 
+    return run
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = durable(pairs.distinct())
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = durable(texts.mapInArrow(_sets, "id long, codes binary").join(asked, "id", "left_semi").dropDuplicates(["id"]))
-    left, right = sets.select(F.col("id").alias("a"), F.col("codes").alias("x")), sets.select(F.col("id").alias("b"), F.col("codes").alias("y"))
-    return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
+
+def _ends(table: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with `columns` of either end, of a table with one row an id."""
+    left = table.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = table.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
+
+
+def _verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    Sets are made where the texts lie and only of the numbers asked for, if those are at most ASKED; of more, the texts
+    are joined with them first.
+    """
+    sifted = durable(_ends(marks, pairs.distinct(), "size", "counts").mapInArrow(_sift, "a long, b long"))
+    asked = durable(sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct())
+    if asked.limit(ASKED + 1).count() <= ASKED:
+        few = texts.sparkSession.sparkContext.broadcast(np.sort(asked.toArrow().column("id").to_numpy().astype(np.int64)))
+        found = texts.mapInArrow(_sets(few), "id long, codes binary")
+    else:
+        once = numbered(texts).join(asked, F.col("_set") == F.col("id"), "left_semi").dropDuplicates(["_set"])
+        found = once.select("text").mapInArrow(_sets(None), "id long, codes binary")
+    sets = durable(found.dropDuplicates(["id"]))
+    out = durable(_ends(sets, sifted, "codes").mapInArrow(_verify, "a long, b long"))
+    discard(sets, sifted, asked)
+    return out
+
+
+def _by_fingerprint(marks: DataFrame) -> DataFrame:
+    """Candidate pairs of sets: those whose fingerprints the covering code links, and those of one fingerprint."""
+    first = durable(marks.groupBy("fp").agg(F.min("id").alias("least")))
+    near = simhash.links(first.select("fp"))
+    ends = near.join(first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same = marks.select("fp", "id").join(first, "fp").where("id <> least").select(F.col("id").alias("x"), F.col("least").alias("y"))
+    return ends.select("x", "y").union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(docs: DataFrame, most: int = 16, tile: int = 2048) -> DataFrame:
@@ -212,11 +297,14 @@ def components(docs: DataFrame, most: int = 16, tile: int = 2048) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("text")
+    marks = durable(texts.mapInArrow(_marks, "id long, fp long, size long, counts binary").dropDuplicates(["id"]))
+    near = _verified(texts, marks, _by_fingerprint(marks))
     common = spark.sparkContext.broadcast(_common(texts))
     rows = texts.mapInArrow(_prefixes(common), "key long, id long, size_place long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = durable(rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_candidates(most), "key long, id long, size_place long, other long"))
-    links = _verified(texts, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    pairs = _apart(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), roots(near))
+    links = near.union(_verified(texts, marks, pairs))
     hot = found.where("other is null").select("key", "id", "size_place")
     up = roots(links)
     if hot.isEmpty():
@@ -227,7 +315,15 @@ def components(docs: DataFrame, most: int = 16, tile: int = 2048) -> DataFrame:
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
     dealt = placed.select("key", F.explode(tiles).alias("tile"), "id", "size_place", "root").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
-    return roots(links.union(_verified(texts, dealt.mapInArrow(_across, "a long, b long"))))
+    return roots(links.union(_verified(texts, marks, dealt.mapInArrow(_across, "a long, b long"))))
+
+
+def _apart(pairs: DataFrame, up: DataFrame) -> DataFrame:
+    """The pairs whose ends aren't in one component yet."""
+    for end in ("a", "b"):
+        root = up.select(F.col("a").alias(end), F.col("b").alias(f"_{end}"))
+        pairs = pairs.join(root, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    return pairs.where("_a <> _b").select("a", "b")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

@@ -48,8 +48,9 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize(("most", "tile"), [(16, 2048), (2, 8)])
-def test_components(spark, most, tile):
+@pytest.mark.parametrize(("most", "tile", "asked"), [(16, 2048, near_copies.ASKED), (2, 8, 3)])
+def test_components(spark, monkeypatch, most, tile, asked):
+    monkeypatch.setattr(near_copies, "ASKED", asked)
     mine = texts()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(mine)], "doc_id long, text string")
     up = {r.a: r.b for r in near_copies.components(docs, most, tile).collect()}
@@ -81,3 +82,19 @@ def test_stage_keeps_a_row_of_each_group(spark):
     found = corpus_pipeline.deduplicated(spark, docs, SF)
     assert found.schema == docs.schema
     assert Counter(map(tuple, found.collect())) == Counter([(None, b), (5, c), (5, d), (7, a + " end"), (9, "")])
+
+
+def test_counts_never_rule_out_similar_sets():
+    random = np.random.default_rng(9)
+    ruled_out = 0
+    for size in (1, 7, 60, 300, 2000, 9000):
+        for share in (0.0, 0.5, 0.78, 0.8, 0.9, 1.0):
+            both = random.integers(0, 2**64, int(size * share), dtype=np.uint64)
+            x, y = (np.concatenate([both, random.integers(0, 2**64, size - len(both), dtype=np.uint64)]) for _ in range(2))
+            alike = 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y))
+            may = near_copies.may_agree(near_copies.bucket_counts(x), near_copies.bucket_counts(y), len(x), len(y))
+            assert may or not alike
+            ruled_out += not may
+    assert ruled_out > 8
+    one = np.full(3000, 1 << 41, np.uint64)  # more in one bucket than can be counted
+    assert near_copies.may_agree(near_copies.bucket_counts(one), near_copies.bucket_counts(one), 3000, 3000)
