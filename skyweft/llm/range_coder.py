@@ -4,13 +4,14 @@ A block of up to BLOCK ids is numbered by its own sorted alphabet and laid out a
 All lanes advance together by one id a step, each with a range coder of its own, and share the block's model,
 which starts afresh with the block and learns after each step what the lanes coded in it.
 
-Orders 2 and 1 each predict one id from the hashed last two ids or the last id, with a confidence of 0 to 3. The
-chances that either is right are adapted for each pair of confidences, which mixes the orders. Any other id is
-coded by adaptive order-0 counts, whose spans are renewed at steps 1, 2, 4, ... and then every RENEW steps. The
-two decisions take 12 and 18 bits of a range that is at least 2**32 before an id, so one word of 32 bits widens
-it again. The encoder's low end is of 64 bits; a carry is added to the word before.
-
-Block: "CMR2", ids, alphabet size, lanes, crc32 of the ids (uint32 each), words a lane (uint16), alphabet
+Orders 2 and 1 each predict one id from the hashed last two ids or the last id, with a confidence of 0 to 3; order 0
+gives every id its adaptive count's share, renewed at steps 1, 2, 4, ... and then every RENEW steps. The three
+distributions are mixed: an id's span is the sum of what each gives it, with weights of 12 bits that are adapted for
+each pair of confidences to how often either order is right. Order-0 shares take 18 bits. The two guesses lie
+before all other ids, each with its whole mixture, so each id has one span of a range that is at least 2**32 before it,
+and one word of 32 bits widens the range again. The encoder's low end is of 64 bits; a carry is added to the word before.
+
+Block: "CMR3", ids, alphabet size, lanes, crc32 of the ids (uint32 each), words a lane (uint16), alphabet
 (uint16), words of lane after lane (uint32), crc32 of all before it.
 """
 
@@ -23,12 +24,12 @@ import numpy as np
 
 BLOCK = 1 << 21
 LANE = 512
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 HASHED = 1 << 16
 RENEW = 32
 FLAG_BITS, SPAN_BITS = 12, 18
-STEPS_UP = np.array([2, 2, 2, 1], np.int32)
-SHIFT, WIDE = np.uint64(32), np.uint64(1 << 32)
+STEPS_UP = np.array([2, 2, 2, 1], np.int64)
+SHIFT, WIDE, LOW = np.uint64(32), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 
 
 class _Model:
@@ -38,7 +39,7 @@ class _Model:
     """
 
     def __init__(self, letters: int, lanes: int):
-        self.first, self.second = np.zeros(letters, np.int32), np.zeros(HASHED, np.int32)
+        self.first, self.second = np.zeros(letters, np.int64), np.zeros(HASHED, np.int64)
         self.flags = np.tile(np.array([2, 2, 4], np.int64), (16, 1))
         self.counts = np.ones(letters, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -54,33 +55,63 @@ class _Model:
         width = (1 << SPAN_BITS) - len(self.counts)
         own = 1 + self.counts * width // self.counts.sum()
         own[self.counts.argmax()] += (1 << SPAN_BITS) - own.sum()
-        self.own, self.below = own.astype(np.uint64), (np.cumsum(own) - own).astype(np.uint64)
+        self.shares = own.astype(np.uint64) << SHIFT | (np.cumsum(own) - own).astype(np.uint64)
         self.holder = np.repeat(np.arange(len(own)).astype(np.uint16), own)
 
     def chances(self) -> None:
-        """Spans of the flags (order 2 is right, order 1 is, neither) of each context within 2**FLAG_BITS."""
+        """Weights of orders 2, 1 and 0 in each context, 2**FLAG_BITS together, from how often order 2 was right, else order 1, or neither."""
         if self.coded:
             self.flags += 2 * np.bincount(np.concatenate(self.coded), minlength=64).reshape(16, 4)[:, :3]
         self.coded = []
         rest = (1 << FLAG_BITS) - 3
         own = 1 + self.flags * rest // self.flags.sum(axis=1, keepdims=True)
         own[:, 2] += (1 << FLAG_BITS) - own.sum(axis=1)
-        starts = np.cumsum(own, axis=1) - own
         # four entries a context, so that context * 4 + flag finds them
-        self.flag_own, self.flag_start = np.zeros(64, np.uint64), np.zeros(64, np.uint64)
-        self.flag_own.reshape(16, 4)[:, :3], self.flag_start.reshape(16, 4)[:, :3] = own, starts
+        self.flag_own = np.zeros(64, np.uint64)
+        self.flag_own.reshape(16, 4)[:, :3] = own
+        self.mass = self.flag_own << np.uint64(SPAN_BITS)
 
     def predict(self) -> np.ndarray:
-        """The place of each lane's context in the tables of flags."""
+        """The place of each lane's context in the tables of weights."""
         self.slot = (self.before * 40503 + self.last) & (HASHED - 1)
         self.held1, self.held2 = self.first[self.last], self.second[self.slot]
         self.sure1, self.sure2 = self.held1 & 3, self.held2 & 3
-        return ((self.sure2 << 4) + (self.sure1 << 2)).astype(np.int64)
+        return (self.sure2 << 4) + (self.sure1 << 2)
+
+    def mixture(self, context: np.ndarray) -> None:
+        """Both guesses of each lane with all that the mixture gives them, and the weight of order 0."""
+        self.guess2, self.guess1 = self.held2 >> 2, self.held1 >> 2
+        self.rest, alike = self.flag_own[context + 2], self.guess1 == self.guess2
+        mass1 = self.mass[context + 1]
+        self.own2, self.own1 = self.shares[self.guess2] >> SHIFT, (self.shares[self.guess1] >> SHIFT) * ~alike
+        self.all2 = self.mass[context] + self.rest * self.own2 + mass1 * alike
+        self.all1 = mass1 * ~alike + self.rest * self.own1
+
+    def others(self, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of ids that are no guess of their lanes: order 0 without the guesses, behind them."""
+        own, below = self.span(ids)
+        before = below - self.own2[at] * (self.guess2[at] < ids) - self.own1[at] * (self.guess1[at] < ids)
+        return self.all2[at] + self.all1[at] + self.rest[at] * before, self.rest[at] * own
+
+    def other(self, at: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The ids at places behind both guesses."""
+        guess2, guess1, own2, own1 = self.guess2[at], self.guess1[at], self.own2[at], self.own1[at]
+        place = ((point - self.all2[at] - self.all1[at]).view(np.int64) / self.rest[at].view(np.int64)).astype(np.int64).view(np.uint64)
+        # where either guess's share was taken out, in places without the other's
+        gap2 = (self.shares[guess2] & LOW) - own1 * (guess1 < guess2)
+        gap1 = (self.shares[guess1] & LOW) - own2 * (guess2 < guess1)
+        place = place + own2 * (place >= gap2) + own1 * (place >= gap1)
+        return self.holder[place.astype(np.int64)].astype(np.int64)
+
+    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order-0 share, shares of the ids before it) of each id."""
+        both = self.shares[ids]
+        return both >> SHIFT, both & LOW
 
     def learn(self, ids: np.ndarray, entry: np.ndarray, flag: np.ndarray, escaped: np.ndarray) -> None:
         """Take in what all lanes coded in this step. Lanes that share a slot: the last one's entry stays."""
         for table, slot, held, sure in ((self.first, self.last, self.held1, self.sure1), (self.second, self.slot, self.held2, self.sure2)):
-            right = ((held ^ entry) < 4).astype(np.int32)
+            right = ((held ^ entry) < 4).astype(np.int64)
             # right: surer; wrong: less sure, and replaced where it wasn't sure at all
             table[slot] = np.where((right | sure) > 0, held - 1 + right * STEPS_UP[sure], entry)
         self.escaped.append(escaped)
@@ -110,17 +141,18 @@ def _encoded(block: np.ndarray) -> bytes:
     spot = first + 1
     for now in ids:
         context = model.predict()
-        entry = (now << 2).astype(np.int32)
+        entry = now << 2
         wrong2, wrong1 = (model.held2 ^ entry) > 3, (model.held1 ^ entry) > 3
-        flag = context + wrong2 + (wrong2 & wrong1)
-        part = width >> np.uint64(FLAG_BITS)
-        moved, width = low + part * model.flag_start[flag], part * model.flag_own[flag]
-        at = np.flatnonzero(wrong2 & wrong1)
+        neither = wrong2 & wrong1
+        flag = context + wrong2 + neither
+        model.mixture(context)
+        start, size = model.all2 * wrong2, np.where(wrong2, model.all1, model.all2)
+        at = np.flatnonzero(neither)
         escaped = now[at]
-        part = width[at] >> np.uint64(SPAN_BITS)
-        moved[at] += part * model.below[escaped]
-        width[at] = part * model.own[escaped]
-        carry = np.flatnonzero(moved < low)  # both moves together stay under the old width
+        start[at], size[at] = model.others(at, escaped)
+        part = width >> np.uint64(FLAG_BITS + SPAN_BITS)
+        moved, width = low + part * start, part * size
+        carry = np.flatnonzero(moved < low)
         if carry.size:
             flat[spot[carry] - 1] += np.uint64(1)
         low = moved
@@ -163,25 +195,27 @@ def _decoded(raw: bytes) -> np.ndarray:
     ids = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
         context = model.predict()
-        part = width >> np.uint64(FLAG_BITS)
-        past2, past1 = code >= part * model.flag_start[context + 1], code >= part * model.flag_start[context + 2]
-        flag = context + past2 + past1
-        code -= part * model.flag_start[flag]
-        width = part * model.flag_own[flag]
-        now = (np.where(past2, model.held1, model.held2) >> 2).astype(np.int64)
-        at = np.flatnonzero(past1)
-        part, held = width[at] >> np.uint64(SPAN_BITS), code[at]
-        escaped = model.holder[(held // part).astype(np.int64)].astype(np.int64)
-        code[at] = held - part * model.below[escaped]
-        width[at] = part * model.own[escaped]
+        model.mixture(context)
+        part = width >> np.uint64(FLAG_BITS + SPAN_BITS)
+        point = code // part
+        wrong2 = point >= model.all2
+        neither = point >= model.all2 + model.all1
+        flag = context + wrong2 + neither
+        now, start, size = np.where(wrong2, model.guess1, model.guess2), model.all2 * wrong2, np.where(wrong2, model.all1, model.all2)
+        at = np.flatnonzero(neither)
+        escaped = model.other(at, point[at])
         now[at] = escaped
+        start[at], size[at] = model.others(at, escaped)
+        code -= part * start
+        width = part * size
+        entry = now << 2
         at = np.flatnonzero(width < WIDE)
         places = spot[at]
         code[at] = (code[at] << SHIFT) | words[places]
         spot[at] = places + 1
         width[at] <<= SHIFT
         ids[t] = now
-        model.learn(now, (now << 2).astype(np.int32), flag, escaped)
+        model.learn(ids[t], entry, flag, escaped)
     out = letters[ids.T.reshape(-1)[:length]]
     if zlib.crc32(out.astype("<u4").tobytes()) != crc:
         raise ValueError("decoded ids don't match their checksum")

@@ -49,6 +49,8 @@ def _opened(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 def _writer(path: str, ids_a_segment: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = word_ids(path)
+        if of.library.get_vocab_size() > 1 << 16:
+            raise ValueError("blocks hold ids of 16 bits; this vocabulary has more")
         part, made, ids, tokens, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -74,12 +76,13 @@ def _writer(path: str, ids_a_segment: int):
 
 def write(docs: DataFrame, tokenizer: str, folder: str, ids_a_segment: int = 2_000_000) -> None:
     """Encode docs(doc_id, text) into `folder`. A null or empty text is the end id alone; a null doc_id sorts
-    first; rows with equal doc_id are kept, in order of their text."""
+    first; rows with equal doc_id are kept, in order of their text, and may lie in several parts; an empty table gives
+    no segments. Raises ValueError for a vocabulary of more than 65536 ids."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(_writer(tokenizer, ids_a_segment), SEGMENT).write.option("compression", "none").parquet(folder)
 
 
