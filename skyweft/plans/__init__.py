@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import aggregates, coadds, codes, overlaps, selection, solve, sphere, texts  # noqa: F401
+from . import aggregates, coadds, codes, interp, overlaps, selection, solve, sphere, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 
