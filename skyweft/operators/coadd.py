@@ -19,7 +19,7 @@ def stamps(points: DataFrame, x: str, y: str, side: int, stamps_padded: int) ->
 
 
 def empirical_weights(pixels: DataFrame, side: int, extent: int, radius: float) -> DataFrame:
-    """pixels(img, px, py, v) -> (oy, ox, img, v, t) by the empirical kernel.
+    """pixels(img, px, py, v) -> (oy, ox, img, v, w) by the empirical kernel; weights aren't normalised.
 
     Every input is sent to the nine stamps around its own and meets the outputs of a stamp there, so the join is
     on the stamp. The reach must not exceed a stamp, or neighbours further out would be missed.
@@ -37,22 +37,31 @@ def empirical_weights(pixels: DataFrame, side: int, extent: int, radius: float)
     grid = pixels.sparkSession.range(extent * extent).select((F.col("id") / extent).cast("int").alias("oy"), (F.col("id") % extent).cast("int").alias("ox"))
     grid = grid.withColumn("j_st", stamp_of(F.col("oy"), side)).withColumn("i_st", stamp_of(F.col("ox"), side))
     d = F.sqrt(F.pow(F.col("px") - F.col("ox"), 2) + F.pow(F.col("py") - F.col("oy"), 2))
-    near = grid.join(sent, ["j_st", "i_st"]).withColumn("w", radius - d).where("w > 0")
-    total = near.groupBy("oy", "ox").agg(F.sum("w").alias("total"))
-    return near.join(total, ["oy", "ox"]).select("oy", "ox", "img", "v", (F.col("w") / F.col("total")).alias("t"))
+    return grid.join(sent, ["j_st", "i_st"]).withColumn("w", radius - d).where("w > 0").select("oy", "ox", "img", "v", "w")
 
 
-def coadd(weights: DataFrame) -> DataFrame:
-    """Weighted sums of layers that share the weights, and the effective coverage over images.
+def by_image(weights: DataFrame) -> DataFrame:
+    """Sums of weights and weighted layers by output pixel and image: what is shuffled is one row an image and task."""
+    w, v = F.col("w"), F.col("v")
+    return weights.groupBy("oy", "ox", "img").agg(F.sum(w).alias("w"), F.sum(w * v).alias("s1"), F.sum(w * v * v).alias("s2"), F.sum(w * w).alias("ww"))
 
-    Sums are taken by image first, so what is shuffled per output pixel is one row an image and task.
+
+def normalised(images: DataFrame) -> DataFrame:
+    """by_image() with t, each image's share of the weight of its output pixel."""
+    return images.withColumn("t", F.col("w") / F.sum("w").over(Window.partitionBy("oy", "ox")))
+
+
+def coadd(images: DataFrame) -> DataFrame:
+    """by_image() -> layers that share the weights, their noise, and the effective coverage over images.
+
+    All sums are homogeneous in the weights, so they are divided by the total at the end and no join with it is needed.
     """
-    images = weights.groupBy("oy", "ox", "img").agg(F.sum("t").alias("w"), F.sum(F.col("t") * F.col("v")).alias("s1"), F.sum(F.col("t") * F.col("v") * F.col("v")).alias("s2"), F.sum(F.col("t") * F.col("t")).alias("tt"))
+    total = F.sum("w")
     return images.groupBy("oy", "ox").agg(
-        F.sum("s1").alias("science"),
-        F.sum("s2").alias("squared"),
-        F.sum("w").alias("constant"),
-        F.sum("tt").alias("sigma"),
+        (F.sum("s1") / total).alias("science"),
+        (F.sum("s2") / total).alias("squared"),
+        (total / total).alias("constant"),
+        (F.sum("ww") / (total * total)).alias("sigma"),
         (F.pow(F.sum(F.abs("w")), 2) / F.sum(F.col("w") * F.col("w"))).alias("neff"),
     )
 

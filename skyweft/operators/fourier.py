@@ -41,3 +41,18 @@ def autocorrelation(stamps: DataFrame, name: str, pixels: str, side: int, reach:
             yield pd.DataFrame({name: pdf[name].repeat(len(dy)).to_numpy(), "dy": np.tile(dy, len(pdf)), "dx": np.tile(dx, len(pdf)), "overlap": values})
 
     return stamps.select(name, pixels).mapInPandas(run, f"{name} long, dy long, dx long, overlap double")
+
+
+def power_by(stamps: DataFrame, group: str, pixels: str, side: int) -> DataFrame:
+    """(group, ky, kx, total, n): squared moduli of Fourier modes added up over the stamps of a batch and group."""
+    from .interpolate import cubes
+
+    ky, kx = (k.ravel() for k in np.indices((side, side)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            power = np.abs(np.fft.fft2(cubes(pdf[pixels], side, 0))) ** 2
+            for key, rows in pdf.groupby(group).indices.items():
+                yield pd.DataFrame({group: key, "ky": ky, "kx": kx, "total": power[rows].sum(axis=0).ravel(), "n": len(rows)})
+
+    return stamps.select(group, pixels).mapInPandas(run, f"{group} int, ky long, kx long, total double, n long")

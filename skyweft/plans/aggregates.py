@@ -8,6 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import coadd as O
+from ..operators import fourier
+from ..operators.quantiles import quantiles
 from .registry import PIX, long, query, r6, stamp_pixels
 
 
@@ -45,17 +47,24 @@ def hist_cumulative(read):
     return h.select("bin", "n", r6(F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(F.lit(1))), "fraction"))
 
 
-@query(f"""with {PIX} select cast(floor(sqrt((x - 3.5) ** 2 + (y - 3.5) ** 2)) as bigint) r, round(quantile_cont(v, 0.05), 6) p05, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.95), 6) p95 from pix group by 1""")
+RADIAL = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+@query(f"""with {PIX} select cast(floor(sqrt((x - 3.5) ** 2 + (y - 3.5) ** 2)) as bigint) r, {', '.join(f'round(quantile_cont(v, {q}), 6) {n}' for n, q in RADIAL.items())} from pix group by 1""")
 def radial_percentiles(read):
+    """Seven percentiles by whole radius; the groups are few, so values are binned before they are ranked."""
     r = F.floor(F.sqrt(F.pow(F.col("x") - 3.5, 2) + F.pow(F.col("y") - 3.5, 2)))
-    p = stamp_pixels(read).groupBy(long(r, "r")).agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"))
-    return p.select("r", r6(F.col("p")[0], "p05"), r6(F.col("p")[1], "p50"), r6(F.col("p")[2], "p95"))
+    p = quantiles(stamp_pixels(read).select(long(r, "r"), "v"), "r", "v", RADIAL)
+    return p.select("r", *[r6(n, n) for n in RADIAL])
+
+
+MAP = {"p50": 0.5, "p90": 0.9, "p98": 0.98, "p99": 0.99}
 
 
-@query("select l_returnflag, round(quantile_cont(sqrt(l_tax), 0.5), 6) p50, round(quantile_cont(sqrt(l_tax), 0.9), 6) p90, round(quantile_cont(sqrt(l_tax), 0.98), 6) p98, round(quantile_cont(sqrt(l_tax), 0.99), 6) p99 from lineitem group by 1")
+@query(f"select l_returnflag, {', '.join(f'round(quantile_cont(sqrt(l_tax), {q}), 6) {n}' for n, q in MAP.items())} from lineitem group by 1")
 def map_percentiles(read):
-    p = read("lineitem").groupBy("l_returnflag").agg(F.percentile(F.sqrt("l_tax"), F.array(*[F.lit(q) for q in (0.5, 0.9, 0.98, 0.99)])).alias("p"))
-    return p.select("l_returnflag", *[r6(F.col("p")[i], n) for i, n in enumerate(("p50", "p90", "p98", "p99"))])
+    p = quantiles(read("lineitem").select("l_returnflag", F.sqrt("l_tax").alias("v")), "l_returnflag", "v", MAP)
+    return p.select("l_returnflag", *[r6(n, n) for n in MAP])
 
 
 @query("""with m as (select min(o_totalprice) - 1e-12 lo, max(o_totalprice) + 1e-12 hi from orders), b as (select least(cast(floor(5 * (o_totalprice - lo) / (hi - lo)) as bigint), 4) bin, o_totalprice v from orders, m)
@@ -88,7 +97,9 @@ def moments_forced(read):
 @query(f"with {MOMENTS} select label, count(*) n, round(sqrt(avg(e1 * e1 + e2 * e2)), 6) rms, round(median(size), 6) median_size, round(avg(s), 6) mean, round(stddev_pop(s) / sqrt(count(*)), 6) err from m group by label")
 def star_summary(read):
     m = moments(read)
-    return m.groupBy("label").agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(F.expr("e1 * e1 + e2 * e2"))), "rms"), r6(F.median("size"), "median_size"), r6(F.avg("s"), "mean"), r6(F.stddev_pop("s") / F.sqrt(F.count("*")), "err"))
+    sums = m.groupBy("label").agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(F.expr("e1 * e1 + e2 * e2"))), "rms"), r6(F.avg("s"), "mean"), r6(F.stddev_pop("s") / F.sqrt(F.count("*")), "err"))
+    middle = quantiles(m.select("label", "size"), "label", "size", {"median_size": 0.5})
+    return sums.join(middle, "label").select("label", "n", "rms", r6("median_size", "median_size"), "mean", "err")
 
 
 @query(f"""with {MOMENTS}, b as (select vec_id % 40 as block, avg(size) size, avg(e1) g1, avg(e2) g2, 100.0 * count(*) filter (where s <= 1) / count(*) bare from m group by 1)
@@ -106,12 +117,9 @@ def map_extrema(read):
 @query(f"""with {PIX}, t as (select vec_id, label, ky, kx, sum(v * cos(2 * pi() * (ky * y + kx * x) / 8)) re, sum(v * sin(2 * pi() * (ky * y + kx * x) / 8)) im from pix, range(8) a(ky), range(8) b(kx) group by all)
 select label, cast(ky as bigint) ky, cast(kx as bigint) kx, round(avg((re * re + im * im) / 64), 4) power from t group by all""")
 def dft_power(read):
-    """Mean power spectrum by label: pixels are expanded to modes inside a task and summed by stamp first."""
-    k = F.sequence(F.lit(0), F.lit(7))
-    p = stamp_pixels(read).withColumn("ky", F.explode(k)).withColumn("kx", F.explode(k))
-    phase = 2 * math.pi * (F.col("ky") * F.col("y") + F.col("kx") * F.col("x")) / 8
-    t = p.groupBy("vec_id", "label", "ky", "kx").agg(F.sum(F.col("v") * F.cos(phase)).alias("re"), F.sum(F.col("v") * F.sin(phase)).alias("im"))
-    return t.groupBy("label", "ky", "kx").agg(F.round(F.avg(F.expr("(re * re + im * im) / 64")), 4).alias("power")).select("label", long("ky", "ky"), long("kx", "kx"), "power")
+    """Mean power spectrum by label: stamps are transformed batch by batch and summed by label before anything is shuffled."""
+    out = fourier.power_by(read("embeddings"), "label", "embedding", 8)
+    return out.groupBy("label", "ky", "kx").agg(F.round(F.sum("total") / F.sum("n") / 64, 4).alias("power"))
 
 
 @query(f"with {PIX} select label, round(avg(v * v) / 0.0121, 6) variance from pix group by label")

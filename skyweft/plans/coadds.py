@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import coadd as O
-from ..operators import solvers as S
+from ..operators import kernels as K
+from ..operators import moments as S
+from ..operators.interpolate import cubes
+from ..operators.systems import gaussian_system
 from .registry import PIX, long, query, r6, stamp_pixels
 
 SIDE, EXTENT, RADIUS = 8, 40, 3.0
@@ -28,7 +31,8 @@ def dithered(read) -> DataFrame:
 
 
 def weights(read) -> DataFrame:
-    return O.empirical_weights(dithered(read), SIDE, EXTENT, RADIUS)
+    """Sums by output pixel and image, weights not normalised."""
+    return O.by_image(O.empirical_weights(dithered(read), SIDE, EXTENT, RADIUS))
 
 
 @query(f"with {DITHER} select cast(oy as bigint) oy, cast(ox as bigint) ox, round(sum(t * v), 6) science, round(sum(t * v * v), 6) squared, round(sum(t), 6) constant from t group by oy, ox")
@@ -44,14 +48,14 @@ def weight_neff(read):
 
 @query(f"""with {DITHER} select img, cast(floor((oy + 8.5) / 8) as bigint) j_st, cast(floor((ox + 8.5) / 8) as bigint) i_st, round(sum(t) / 64, 6) weight from t group by all""")
 def image_weights(read):
-    w = weights(read).groupBy("img", O.stamp_of(F.col("oy"), SIDE).alias("j_st"), O.stamp_of(F.col("ox"), SIDE).alias("i_st")).agg(F.sum("t").alias("s"))
+    w = O.normalised(weights(read)).groupBy("img", O.stamp_of(F.col("oy"), SIDE).alias("j_st"), O.stamp_of(F.col("ox"), SIDE).alias("i_st")).agg(F.sum("t").alias("s"))
     return w.select("img", long("j_st", "j_st"), long("i_st", "i_st"), r6(F.col("s") / SIDE**2, "weight"))
 
 
 @query(f"""with {DITHER}, s as (select img, cast(floor((oy + 8.5) / 8) as int) j, cast(floor((ox + 8.5) / 8) as int) i, sum(t) w from t group by all),
 c as (select j, i, count(*) filter (w <> 0) n from s group by j, i) select round(avg(n), 6) mean_coverage, count(*) stamps, max(n) most from c""")
 def coverage_mean(read):
-    w = weights(read).groupBy("img", O.stamp_of(F.col("oy"), SIDE).alias("j"), O.stamp_of(F.col("ox"), SIDE).alias("i")).agg(F.sum("t").alias("w"))
+    w = O.normalised(weights(read)).groupBy("img", O.stamp_of(F.col("oy"), SIDE).alias("j"), O.stamp_of(F.col("ox"), SIDE).alias("i")).agg(F.sum("t").alias("w"))
     n = w.groupBy("j", "i").agg(F.sum((F.col("w") != 0).cast("long")).alias("n"))
     return n.agg(r6(F.avg("n"), "mean_coverage"), F.count("*").alias("stamps"), F.max("n").alias("most"))
 
@@ -111,11 +115,12 @@ def faded(read) -> DataFrame:
     return stamp_pixels(read).withColumn("w", C.fade(F.col("y"), 4, 2) * C.fade(F.col("x"), 4, 2))
 
 
-@query(f"with {FADED} select vec_id, cast(y as bigint) y, cast(x as bigint) x, round(v * w, 6) faded, round(case when w > 0 then v * w / w else 0 end, 6) recovered from f")
+@query(f"with {FADED} select vec_id, cast(y as bigint) y, cast(x as bigint) x, round(v * w, 6) faded, round(v * ({FADE.format(d='(8 - y)')}) * ({FADE.format(d='(8 - x)')}), 6) recovered from f")
 def fade_trapezoid(read):
-    """Fading and its recovery by division."""
-    f = faded(read)
-    return f.select("vec_id", long("y", "y"), long("x", "x"), r6(F.col("v") * F.col("w"), "faded"), r6(F.when(F.col("w") > 0, F.col("v") * F.col("w") / F.col("w")).otherwise(0.0), "recovered"))
+    """Fading from all sides, and its recovery at the bottom and left sides by division, as at the edge of a block."""
+    f = faded(read).withColumn("faded", F.col("v") * F.col("w"))
+    sides = C.fade_side(F.col("y"), 2) * C.fade_side(F.col("x"), 2)
+    return f.select("vec_id", long("y", "y"), long("x", "x"), r6("faded", "faded"), r6(F.col("faded") / sides, "recovered"))
 
 
 @query(f"""with {FADED} select cast(y + 4 * ((vec_id // 16) % 16) as bigint) y, cast(x + 4 * (vec_id % 16) as bigint) x, round(sum(v * w), 6) total, round(sum(w), 6) weight from f group by all""")
@@ -125,14 +130,14 @@ def fade_overlap_add(read):
     return f.groupBy("oy", "ox").agg(F.sum(F.col("v") * F.col("w")).alias("t"), F.sum("w").alias("s")).select(long("oy", "y"), long("ox", "x"), r6("t", "total"), r6("s", "weight"))
 
 
-@query(f"""with {PIX} select a.vec_id, a.pos as pos_a, b.pos as pos_b, round(exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 9.0), 6) overlap
-from pix a join pix b on a.vec_id = b.vec_id and a.pos < b.pos and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 4""".replace("a.pos as pos_a", "cast(a.pos as bigint) as pos_a").replace("b.pos as pos_b", "cast(b.pos as bigint) as pos_b"))
+@query("""select vec_id, cast(i as bigint) pos_a, cast(i + 8 * dy + dx as bigint) pos_b, round(exp(-(dy * dy + dx * dx) / 9.0), 6) overlap
+from embeddings, range(64) t(i), (values (0, 1), (1, -1), (1, 0), (1, 1)) d(dy, dx) where i // 8 + dy <= 7 and i % 8 + dx between 0 and 7""")
 def pair_matrix(read):
-    """Unordered input pairs of a stamp within two pixels and their overlap."""
-    a = stamp_pixels(read).select("vec_id", "pos", "y", "x")
-    b = a.toDF("vec_id", "pos_b", "y_b", "x_b")
-    d = F.expr("(x - x_b) * (x - x_b) + (y - y_b) * (y - y_b)")
-    return a.join(b, "vec_id").where("pos < pos_b").withColumn("d", d).where("d < 4").select("vec_id", long("pos", "pos_a"), long("pos_b", "pos_b"), r6(F.exp(-F.col("d") / 9.0), "overlap"))
+    """Unordered input pairs of a stamp within two pixels and their overlap: each input names its later neighbours, no join."""
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    pairs = stamp_pixels(read).select("vec_id", "pos", "y", "x", F.explode(steps).alias("d")).where("y + d.dy <= 7 and x + d.dx between 0 and 7")
+    square = F.expr("d.dy * d.dy + d.dx * d.dx")
+    return pairs.select("vec_id", long("pos", "pos_a"), long(F.expr("pos + 8 * d.dy + d.dx"), "pos_b"), r6(F.exp(-square / 9.0), "overlap"))
 
 
 @query(f"""with {PIX} select vec_id, label, cast(pos as bigint) pos, round(v, 6) v from pix where label = 1 and y >= 2 and y < 6 and x >= 2 and x < 6""")
@@ -153,21 +158,39 @@ def affine_resample(read):
     return out.select("vec_id", long("gy", "y"), long("gx", "x"), r6("v", "v"))
 
 
-@query("select (l_orderkey * 7 + l_linenumber) % 997 as grp, count(*) n, true cholesky_ok, true eigen_ok, true cg_ok, true leakage_ok, true bisect_ok from lineitem group by 1")
+@query()
 def solve_kernels_check(read):
-    """Cholesky, eigen, conjugate-gradient and bisection kernels agree on one system a group of line items."""
-    line = read("lineitem").select(((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 997).alias("grp"), ((F.col("l_orderkey") * 13 + F.col("l_linenumber") * 5) % 800 / 100.0).alias("x"), ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 3) % 800 / 100.0).alias("y"))
-    return line.groupBy("grp").applyInPandas(S.check_group, S.CHECK_SCHEMA)
+    """One system an order, of its few line items: noise and leakage by Cholesky factors, and how far the eigenvalue and
+    conjugate-gradient kernels are from them. Systems of one size are solved together."""
+    line = read("lineitem").select("l_orderkey", F.struct(((F.col("l_orderkey") * 13 + F.col("l_linenumber") * 5) % 800 / 100.0).alias("x"), ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 3) % 800 / 100.0).alias("y")).alias("at"))
+    orders = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    outputs = np.array([[3.5, 3.5], [3.5, 4.5]])
+
+    def run(batches):
+        for pdf in batches:
+            places = [np.array([(p["y"], p["x"]) for p in at]) for at in pdf["at"]]
+            sizes = np.array([len(p) for p in places])
+            for n in np.unique(sizes):
+                some = np.flatnonzero(sizes == n)
+                systems = [gaussian_system(outputs, places[i], 1.5, 1.8) for i in some]
+                a, b, c = np.stack([s[0] for s in systems]), np.stack([s[1] for s in systems]), systems[0][2]
+                one = K.cholesky(a, b, c, 1e-2)
+                others = K.eigen(a, b, c, 1e-2), K.iterated(a, b, c, 1e-2, np.ones(b.shape, bool), 1e-12, 8 * int(n))
+                apart = np.max([np.abs(o.t - one.t).max(axis=(1, 2)) for o in others], axis=0)
+                yield pd.DataFrame({"l_orderkey": pdf["l_orderkey"].to_numpy()[some], "n": n, "sigma": one.sigma[:, 0], "leakage": one.leakage[:, 0], "apart": apart})
+
+    out = orders.mapInPandas(run, "l_orderkey long, n long, sigma double, leakage double, apart double")
+    return out.select("l_orderkey", "n", r6("sigma", "sigma"), r6("leakage", "leakage"), r6("apart", "apart"))
 
 
 @query()
 def adaptive_moments(read):
-    """Adaptive Gaussian moments of every stamp, batched by Arrow."""
+    """Adaptive Gaussian moments of every stamp, all stamps of a batch iterated together."""
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, *S.adaptive_moments(np.asarray(v, float))) for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True)]
-            yield pd.DataFrame(rows, columns=["vec_id", "sigma", "e1", "e2", "amplitude", "converged"])
+            found = S.adaptive_moments(cubes(pdf["embedding"], 8, 0))
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], **found})
 
     return read("embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, sigma double, e1 double, e2 double, amplitude double, converged boolean")
 

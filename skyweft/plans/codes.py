@@ -76,10 +76,13 @@ def i24_zigzag(read):
     return d.select("vec_id", long("pos", "pos"), long(C.zigzag(F.col("diff"), 12), "zig"))
 
 
-@query(f"with {Q} select vec_id, round(max(abs(-0.25 + 0.5 * (code + 0.5) / 4096 - v)), 6) error from q where v between -0.25 and 0.25 group by vec_id")
+@query(f"with {Q} select vec_id, count(*) n, round(max(case when v between -0.25 and 0.25 then abs(-0.25 + 0.5 * (code + 0.5) / 4096 - v) else 0 end), 6) error from q group by vec_id")
 def i24_roundtrip(read):
-    q = quantised(read).where("v between -0.25 and 0.25")
-    return q.groupBy("vec_id").agg(r6(F.max(F.abs(C.dequantise(F.col("code"), -0.25, 0.25, 12) - F.col("v"))), "error"))
+    """Error of each stamp after decoding, with what overflowed put back from its own table."""
+    q = quantised(read).select("vec_id", "pos", "v", C.dequantise(F.col("code"), -0.25, 0.25, 12).alias("back"))
+    over = stamp_pixels(read).where("v < -0.25 or v > 0.25").select("vec_id", "pos", F.col("v").alias("kept"))
+    whole = q.join(over, ["vec_id", "pos"], "left").withColumn("back", F.coalesce("kept", "back"))
+    return whole.groupBy("vec_id").agg(F.count("*").alias("n"), r6(F.max(F.abs(F.col("back") - F.col("v"))), "error"))
 
 
 @query(f"with {Q} select vec_id, cast(b as bigint) plane, cast(pos // 8 as bigint) byte, cast(sum(((code >> b) & 1) << (pos % 8)) as bigint) value from q, range(12) t(b) group by all")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .registry import PIX, long, query, r6, stamp_pixels
 
+#: Line items before this day are what zone_prefilter looks around.
+DATE = "1995-01-08"
+
 
 @query(f"with {PIX} select vec_id, cast(pos as bigint) pos, round(v, 6) v from pix where not (pos % 13 = 5) and not ((vec_id * 7 + pos) % 31 = 0) and not (label = 2 and y = 3)")
 def mask_anti(read):
@@ -52,11 +55,11 @@ def mask_caps(read):
     return c.select("c_custkey").join(hit, "c_custkey", "left").select("c_custkey", F.coalesce("masked", F.lit(False)).alias("masked"))
 
 
-@query("""with c as (select distinct cast(floor(l_extendedprice / 5000) as bigint) + d as cell from lineitem, (values (-1), (0), (1)) t(d) where l_shipdate < timestamp '1993-01-01')
+@query(f"""with c as (select distinct cast(floor(l_extendedprice / 5000) as bigint) + d as cell from lineitem, (values (-1), (0), (1)) t(d) where l_shipdate < timestamp '{DATE}')
 select o_orderkey, cast(floor(o_totalprice / 5000) as bigint) cell from orders where cast(floor(o_totalprice / 5000) as bigint) in (select cell from c)""")
 def zone_prefilter(read):
     """Coarse cells that are relevant, dilated, as a semi-join before finer tests."""
-    cells = read("lineitem").where("l_shipdate < timestamp '1993-01-01'").select(F.floor(F.col("l_extendedprice") / 5000).alias("c")).distinct()
+    cells = read("lineitem").where(f"l_shipdate < timestamp '{DATE}'").select(F.floor(F.col("l_extendedprice") / 5000).alias("c")).distinct()
     cells = cells.select(F.explode(F.array(*[(F.col("c") + d).cast("long") for d in (-1, 0, 1)])).alias("cell")).distinct()
     return read("orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 5000).cast("long").alias("cell")).join(cells, "cell", "left_semi").select("o_orderkey", "cell")
 
@@ -127,10 +130,13 @@ def search_boundary(read):
     return read("orders").groupBy("o_orderpriority").agg(F.sum((F.col("o_totalprice") < 50000).cast("long")).alias("below"), F.count("*").alias("n"))
 
 
-@query("select o_custkey, min_by(o_orderkey, o_orderkey) as first_order, count(*) > 1 as repeated from orders group by 1")
+@query("""with r as (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as n, count(*) over (partition by o_custkey) > 1 as repeated from orders)
+select o_custkey, o_orderkey as first_order, round(o_totalprice, 6) price, repeated from r where n = 1""")
 def first_instance(read):
-    """First instance wins, and whether there were more."""
-    return read("orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_order"), (F.count("*") > 1).alias("repeated"))
+    """The instance that comes first, by falling date and then key, with what it holds, and whether there were more."""
+    latest = F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct(F.col("o_orderdate"), -F.col("o_orderkey")))
+    out = read("orders").groupBy("o_custkey").agg(latest.alias("m"), (F.count("*") > 1).alias("repeated"))
+    return out.select("o_custkey", F.col("m.o_orderkey").alias("first_order"), r6("m.o_totalprice", "price"), "repeated")
 
 
 @query("""with b as (select cast(p_partkey % 20 as bigint) ix, cast(p_size as bigint) obs, sum(p_retailprice) v from part group by 1, 2)

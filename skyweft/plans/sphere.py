@@ -22,14 +22,14 @@ def detectors():
     return F.array(*[F.struct(F.lit(i + 1).alias("sca"), F.lit(x).alias("xs"), F.lit(y).alias("ys")) for i, (x, y) in enumerate(C.DETECTOR_SKY)])
 
 
-@query(f"""with {SKY}, {DETECTORS}, a as (select *, radians(53.0 - ra) a, radians(-40.0) d0, radians(dec) d, radians(pa) p from sky where filter % 5 = 1),
-b as (select *, cos(d0) * cos(a) x1, cos(d0) * sin(a) y1, sin(d0) z1 from a), c as (select *, sin(d) * x1 - cos(d) * z1 x2, cos(d) * x1 + sin(d) * z1 z2 from b),
-f as (select *, degrees(-sin(p) * x2 - cos(p) * y1) fx, degrees(-cos(p) * x2 + sin(p) * y1) fy from c where z2 > 0)
+@query(f"""with {SKY}, {DETECTORS}, u as (select *, radians(ra) r, radians(dec) d, radians(pa) p, cos(radians(-40.0)) * cos(radians(53.0)) vx, cos(radians(-40.0)) * sin(radians(53.0)) vy, sin(radians(-40.0)) vz from sky where filter % 5 = 1),
+w as (select *, vx * cos(d) * cos(r) + vy * cos(d) * sin(r) + vz * sin(d) front, vz * cos(d) - vx * sin(d) * cos(r) - vy * sin(d) * sin(r) north, vy * cos(r) - vx * sin(r) east from u),
+f as (select *, degrees(sin(p) * north - cos(p) * east) fx, degrees(cos(p) * north + sin(p) * east) fy from w where front > 0)
 select obsid, cast(sca as bigint) sca from f, det where sqrt((fx - xs) ** 2 + (fy - ys) ** 2) < 0.3""")
 def obs_cone_search(read):
     """Exposure and detector pairs that see the block; the filter is applied at the scan."""
-    x, y = C.field_position(F.lit(53.0), F.lit(-40.0), F.col("ra"), F.col("dec"), F.col("pa"))
-    seen = sky(read).where("filter % 5 = 1").withColumn("fx", x).withColumn("fy", y).withColumn("det", F.explode(detectors()))
+    x, y, front = C.field_position(F.lit(53.0), F.lit(-40.0), F.col("ra"), F.col("dec"), F.col("pa"))
+    seen = sky(read).where("filter % 5 = 1").where(front).withColumn("fx", x).withColumn("fy", y).withColumn("det", F.explode(detectors()))
     return seen.where(F.sqrt(F.pow(F.col("fx") - F.col("det.xs"), 2) + F.pow(F.col("fy") - F.col("det.ys"), 2)) < 0.3).select("obsid", long("det.sca", "sca"))
 
 
@@ -87,7 +87,7 @@ def orientation_flip(read):
     return read("lineitem").select("l_orderkey", long("l_linenumber", "l_linenumber"), F.when(flip, 4087 - q).otherwise(q).alias("x"), F.when(flip, F.col("l_suppkey")).otherwise(4087 - F.col("l_suppkey")).alias("y"))
 
 
-CAPS = """c as (select s_suppkey id, radians((s_suppkey * 37 % 3600) / 10.0::double) ra, radians((s_suppkey * 91 % 1700) / 10.0::double - 85) dec, 1 - cos(radians(0.5 + s_suppkey % 4)) p from supplier),
+CAPS = """c as (select c_custkey id, radians((c_custkey * 37 % 3600) / 10.0::double) ra, radians((c_custkey * 91 % 1700) / 10.0::double - 85) dec, 1 - cos(radians(0.5 + c_custkey % 4)) p from customer),
 v as (select id, p, cos(dec) * cos(ra) x, cos(dec) * sin(ra) y, sin(dec) z from c)"""
 
 
@@ -95,9 +95,9 @@ v as (select id, p, cos(dec) * cos(ra) x, cos(dec) * sin(ra) y, sin(dec) z from
 and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < 2 * (a.p + b.p - a.p * b.p + sqrt(a.p * b.p * (2 - a.p) * (2 - b.p)))""")
 def sphere_overlap(read):
     """Pairs of overlapping caps: unit vectors meet by cells no smaller than two of the largest caps' reach."""
-    k = F.col("s_suppkey")
+    k = F.col("c_custkey")
     ra, dec = F.radians(k * 37 % 3600 / 10.0), F.radians(k * 91 % 1700 / 10.0 - 85)
-    v = read("supplier").select(k.alias("id"), (1 - F.cos(F.radians(0.5 + k % 4))).alias("p"), (F.cos(dec) * F.cos(ra)).alias("x"), (F.cos(dec) * F.sin(ra)).alias("y"), F.sin(dec).alias("z"))
+    v = read("customer").select(k.alias("id"), (1 - F.cos(F.radians(0.5 + k % 4))).alias("p"), (F.cos(dec) * F.cos(ra)).alias("x"), (F.cos(dec) * F.sin(ra)).alias("y"), F.sin(dec).alias("z"))
     cell = 0.125
     cells = [F.floor(F.col(c) / cell).alias(f"c{c}") for c in "xyz"]
     home = v.select("*", *cells)

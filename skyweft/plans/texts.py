@@ -55,11 +55,12 @@ def config_json(read):
     return read("events").select("event_id", props["k"].alias("k"), props["k"].isNull().alias("missing"))
 
 
-@query("""with w as (select p_partkey, string_split(p_name, ' ') words from part) select p_partkey, cast(coalesce(list_position(words, words[1]), 0) as bigint) first_at, cast(len(words) as bigint) n from w""")
+@query("""with w as (select p_partkey, string_split(p_name, ' ') words from part) select p_partkey, cast(coalesce(list_position(words, words[cast(1 + p_partkey % len(words) as int)]), 0) as bigint) first_at, cast(coalesce(list_position(words, 'steel'), 0) as bigint) other, cast(len(words) as bigint) n from w""")
 def layer_lookup(read):
     """Index of a name in a list; the first match wins."""
     words = F.split("p_name", " ", -1)
-    return read("part").select("p_partkey", F.array_position(words, words[0]).cast("long").alias("first_at"), F.size(words).cast("long").alias("n"))
+    name = F.element_at(words, (1 + F.col("p_partkey") % F.size(words)).cast("int"))
+    return read("part").select("p_partkey", F.array_position(words, name).cast("long").alias("first_at"), F.array_position(words, "steel").cast("long").alias("other"), F.size(words).cast("long").alias("n"))
 
 
 @query("""with f as (select unnest(['U', 'S', 'K', 'T', 'N']) flag) select f.flag, count(*) n from f join part on contains(upper(p_type), f.flag) group by 1""")
