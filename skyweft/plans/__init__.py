@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import aggregates, blocks, coadds, codes, interp, overlaps, selection, shapes, solve, sphere, texts  # noqa: F401
+from . import aggregates, blocks, coadds, codes, interp, more, overlaps, selection, shapes, solve, sphere, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 
