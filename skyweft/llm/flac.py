@@ -411,7 +411,8 @@ def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_bytes, media): each text's bytes as a FLAC stream.
 
-    A null text counts as empty and is 64 zero bytes. Every row gives a row; equal texts give equal streams.
+    A null text counts as empty and is 64 zero bytes. Every row gives a row; equal texts give equal streams; an empty
+    table gives none.
     """
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_media, "doc_id long, n_bytes long, media binary")

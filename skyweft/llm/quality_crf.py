@@ -186,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, score). A null or empty text is one empty line; every row gives a row."""
+    """docs(doc_id, text) -> (doc_id, score). A null or empty text is one empty line; every row gives a row,
+    repeated ones and null ids too; an empty table gives none."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
 
@@ -212,7 +213,8 @@ def line_labels(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is at least `least`."""
+    """The rows of docs, with all their columns, whose score is at least `least`; a null text counts as one empty line. An empty table
+    stays empty."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -15,10 +15,12 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document; null and empty texts have none, an empty table gives no rows."""
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and smallest linked doc_id of every document; null and empty texts have fingerprint zero and are linked."""
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"), distance=4)
     return out.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
 
@@ -28,44 +30,53 @@ def _scored(scores: DataFrame, modulus: int, fold: int) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model fitted outside the held-out fold; null texts score as empty ones."""
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return _scored(toxicity.score(docs, model), 5, 0)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of sequences; a null or empty text is its end id alone, an empty table gives none."""
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; null texts count as empty, repeated rows are kept."""
     return pii.report(read(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; null and empty texts fail the base rules."""
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document's FLAC stream holds when it is read back; a null text is 64 zero bytes."""
     return flac.features(durable(flac.store(read(spark, sf_dir, "documents"))))
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, read back from segments in a new shared folder."""
     folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     token_store.write(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), folder)
     return token_store.read(spark, folder)
 
 
 def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a model fitted outside the held-out fold; null and empty texts are one empty line."""
     docs = read(spark, sf_dir, "documents")
     model = quality_crf.fit(docs, read(spark, sf_dir, "labels"))
     return _scored(quality_crf.score(docs, model), 3, 1)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and hashes of every document's ids and decoded text; null texts count as empty."""
     return bpe_automaton.encode_and_decode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline applied to documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -180,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, score). Null and empty texts get the empty bag's score; every row gives a row."""
+    """docs(doc_id, text) -> (doc_id, score). Null and empty texts get the empty bag's score; every row gives a row,
+    repeated ones and null ids too; an empty table gives none."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one float a slot: 1 MB
 
@@ -192,7 +193,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under `below`."""
+    """The rows of docs, with all their columns, whose score is under `below`; null texts score as empty ones. An empty table stays
+    empty."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
