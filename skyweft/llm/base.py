@@ -96,9 +96,12 @@ def fold(doc_id) -> int:
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of values in each [offsets[i], offsets[i+1]), zero where empty."""
-    total = np.concatenate([np.zeros(1, np.float64), np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sum of values in each [offsets[i], offsets[i+1]), zero where empty; offsets begin at 0."""
+    out = np.zeros(len(offsets) - 1)
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(values[: offsets[-1]], offsets[some], dtype=np.float64)
+    return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int) -> list:
@@ -142,19 +145,45 @@ _LETTER = np.random.default_rng(1).integers(0, 2**63, 256, dtype=np.uint64) * np
 _PLACE = np.random.default_rng(2).integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Bytes of text that are worked on together where a text is longer; it affects memory only.
+WINDOW = 8 << 20
+
+
 def hashed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, its text, its first place); `between` marks bytes that are in no word."""
+    """(64-bit hash of each word, its text, its first place); `between` marks bytes that are in no word.
+
+    Long texts go through windows that end between words, so memory follows the number of words.
+    """
+    if len(data) <= WINDOW:
+        code, words = _hashed(data, offsets[:-1][np.diff(offsets) > 0], between)
+        return code, np.searchsorted(offsets, words, "right") - 1, words
+    parts, at = [], 0
+    while at < len(data):
+        stop = min(at + WINDOW, len(data))
+        while stop < len(data) and not between[data[stop]]:
+            gaps = np.flatnonzero(between[data[stop : stop + 4096]])
+            stop += int(gaps[0]) if len(gaps) else 4096
+        stop = min(stop, len(data))
+        inside = offsets[(offsets >= at) & (offsets < stop)] - at
+        code, words = _hashed(data[at:stop], inside, between)
+        parts.append((code, words + at))
+        at = stop
+    code, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return code, np.searchsorted(offsets, words, "right") - 1, words
+
+
+def _hashed(data: np.ndarray, firsts: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first place) of each word of a window; firsts: where texts begin."""
     gap = between[data]
     start = ~gap & np.concatenate([[True], gap[:-1]])[: len(data)]
-    firsts = offsets[:-1][np.diff(offsets) > 0]
     start[firsts] = ~gap[firsts]
     words = np.flatnonzero(start)
     if not len(words):
-        return np.zeros(0, np.uint64), words, words
+        return np.zeros(0, np.uint64), words
     place = np.arange(len(data)) - np.maximum.accumulate(np.where(start, np.arange(len(data)), 0))
     at = _PLACE[place & 4095]
     if (long := place > 4095).any():
         at = at + np.where(long, place >> 12, 0).astype(np.uint64) * _PLACE[17]
     mixed = np.where(gap, np.uint64(0), _LETTER[data] * at)
     code = np.add.reduceat(mixed, words)
-    return code ^ code >> np.uint64(29), np.searchsorted(offsets, words, "right") - 1, words
+    return code ^ code >> np.uint64(29), words

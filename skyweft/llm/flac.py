@@ -85,17 +85,17 @@ def _frame_header(number: int, samples: int) -> bytes:
     return head + bytes([crc8(head)])
 
 
-def encode(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """One stream for each stretch [offsets[i], offsets[i+1]) of payload bytes, none of them empty."""
-    sizes = np.diff(offsets)
-    counts = -(-sizes // FRAME)
-    doc = np.repeat(np.arange(len(sizes)), counts)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = offsets[doc] + number * FRAME
-    n = np.minimum(FRAME, offsets[doc + 1] - start)
+#: Frames that are worked on together; it affects memory only.
+GROUP = 4096
+
+
+def _frames(payload: np.ndarray, start: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of frames one after the other, size of each): n samples from start on, numbered within their streams."""
     inside = np.arange(FRAME)[None, :] < n[:, None]
-    padded = np.concatenate([payload, np.zeros(FRAME, np.uint8)])
-    x = padded[start[:, None] + np.arange(FRAME)].astype(np.int16) - 128
+    first = int(start[0])
+    own = payload[first : int(start[-1] + n[-1])]  # frames follow one another
+    padded = np.concatenate([own, np.zeros(FRAME, np.uint8)])
+    x = padded[start[:, None] - first + np.arange(FRAME)].astype(np.int16) - 128
     constant = ((x == x[:, :1]) | ~inside).all(axis=1)
     best, order, rice = np.where(constant, 16, 8 + 8 * n), np.where(constant, -2, -1), np.zeros(len(n), np.int64)
     residual, chosen = x, np.zeros(x.shape, np.uint16)
@@ -156,6 +156,20 @@ def encode(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         out[target] = packed
     crc = crc16(out, at[:-1], frame_size - 2)
     out[at[1:] - 2], out[at[1:] - 1] = crc >> 8, crc & 255
+    return out, frame_size
+
+
+def encode(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """One stream for each stretch [offsets[i], offsets[i+1]) of payload bytes, none of them empty."""
+    sizes = np.diff(offsets)
+    counts = -(-sizes // FRAME)
+    doc = np.repeat(np.arange(len(sizes)), counts)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = offsets[doc] + number * FRAME
+    n = np.minimum(FRAME, offsets[doc + 1] - start)
+    parts = [_frames(payload, start[i : i + GROUP], n[i : i + GROUP], number[i : i + GROUP]) for i in range(0, len(n), GROUP)]
+    out, frame_size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    at = np.concatenate([[0], np.cumsum(frame_size)])
     raw, samples = out.tobytes(), (payload ^ 0x80).tobytes()
     streams, first = [], 0
     for i, c in enumerate(counts.tolist()):
@@ -310,6 +324,62 @@ def decode_stream(data: bytes) -> list[list[int]]:
     return out
 
 
+def _samples(data: np.ndarray, begin: np.ndarray, body: np.ndarray, end: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Samples of 8-bit mono frames in step, a row each; CRC-16 is verified. data: the frames' bytes and eight more."""
+    crc = crc16(data, begin, end - begin - 2)
+    if ((crc >> 8) != data[end - 2]).any() or ((crc & 255) != data[end - 1]).any():
+        raise ValueError("a frame's CRC-16 fails")
+    kind = data[body].astype(np.int64) >> 1
+    order = kind - 8
+    parts = (data[body + 1 + np.clip(order, 0, 4)] >> 2) & 15
+    k = (data[body + 1 + np.clip(order, 0, 4)].astype(np.int64) & 3) << 2 | data[body + 2 + np.clip(order, 0, 4)] >> 6
+    rice = (order >= 0) & (order <= 2) & (data[body + 1 + np.clip(order, 0, 4)] >> 6 == 0) & (parts == 0) & (k < 15) & (data[body] & 1 == 0)
+    x = np.zeros((len(n), int(n.max())), np.int32)
+    for f in np.flatnonzero(~rice).tolist():
+        raw = data[body[f] : end[f] - 2]
+        if kind[f] == 1 and not raw[0] & 1:
+            x[f, : n[f]] = raw[1 : 1 + n[f]].view(np.int8)
+        else:
+            x[f, : n[f]] = _subframe(_Bits(raw.tobytes()), int(n[f]), 8)
+    rows = np.flatnonzero(rice)
+    if len(rows):
+        rows = rows[np.argsort(-(n - order)[rows], kind="stable")]
+        p, k, left = order[rows], k[rows], (n - order)[rows]
+        ones = np.flatnonzero(np.unpackbits(data))
+        nth = np.searchsorted(ones, 8 * (body[rows] + 1 + p) + 10)
+        pos = 8 * (body[rows] + 1 + p) + 10
+        window = data[:-3].astype(np.uint32) << 24 | data[1:-2].astype(np.uint32) << 16 | data[2:-1].astype(np.uint32) << 8 | data[3:]
+        residual = np.zeros((int(left[0]), len(rows)), np.int32)
+        upto = np.searchsorted(-left, -np.arange(int(left[0])), "left")  # lanes with more than t residuals
+        mask = (1 << k) - 1
+        for t in range(int(left[0])):
+            m = int(upto[t])
+            stop = ones[nth[:m]]
+            q = stop - pos[:m]
+            after = stop + 1
+            word = window[after >> 3].astype(np.int64)
+            low = (word >> (32 - (after & 7) - k[:m])) & mask[:m]
+            pos[:m] = after + k[:m]
+            nth[:m] += 1 + np.bitwise_count(low)
+            residual[t, :m] = q << k[:m] | low
+        z = residual.T
+        z = (z >> 1) ^ -(z & 1)
+        for o in range(3):
+            some = np.flatnonzero(p == o)
+            if not len(some):
+                continue
+            r = z[some]
+            if o == 2:  # first differences from the first warm-up difference on
+                warm = data[body[rows[some]] + 1].view(np.int8).astype(np.int32), data[body[rows[some]] + 2].view(np.int8).astype(np.int32)
+                r = np.cumsum(np.concatenate([(warm[1] - warm[0])[:, None], r], axis=1), axis=1)
+                r = np.cumsum(np.concatenate([warm[0][:, None], r], axis=1), axis=1)
+            elif o == 1:
+                r = np.cumsum(np.concatenate([data[body[rows[some]] + 1].view(np.int8).astype(np.int32)[:, None], r], axis=1), axis=1)
+            width = min(r.shape[1], x.shape[1])
+            x[rows[some], :width] = r[:, :width]
+    return x
+
+
 def decode(streams: list[bytes]) -> list[np.ndarray]:
     """8-bit mono streams to payload bytes, all frames in step; checksums are verified."""
     infos = [metadata(s) for s in streams]
@@ -329,61 +399,13 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
         base += len(s)
     payloads = [np.zeros(info["samples"], np.uint8) for info in infos]
     data = np.frombuffer(b"".join(streams) + bytes(8), np.uint8)
-    if lanes:
-        doc, begin, body, end, n, first = np.array(lanes, np.int64).T
-        crc = crc16(data, begin, end - begin - 2)
-        if ((crc >> 8) != data[end - 2]).any() or ((crc & 255) != data[end - 1]).any():
-            raise ValueError("a frame's CRC-16 fails")
-        kind = data[body].astype(np.int64) >> 1
-        order = kind - 8
-        parts = (data[body + 1 + np.clip(order, 0, 4)] >> 2) & 15
-        k = (data[body + 1 + np.clip(order, 0, 4)].astype(np.int64) & 3) << 2 | data[body + 2 + np.clip(order, 0, 4)] >> 6
-        rice = (order >= 0) & (order <= 2) & (data[body + 1 + np.clip(order, 0, 4)] >> 6 == 0) & (parts == 0) & (k < 15) & (data[body] & 1 == 0)
-        x = np.zeros((len(n), int(n.max())), np.int32)
-        for f in np.flatnonzero(~rice).tolist():
-            raw = data[body[f] : end[f] - 2]
-            if kind[f] == 1 and not raw[0] & 1:
-                x[f, : n[f]] = raw[1 : 1 + n[f]].view(np.int8)
-            else:
-                x[f, : n[f]] = _subframe(_Bits(raw.tobytes()), int(n[f]), 8)
-        rows = np.flatnonzero(rice)
-        if len(rows):
-            rows = rows[np.argsort(-(n - order)[rows], kind="stable")]
-            p, k, left = order[rows], k[rows], (n - order)[rows]
-            ones = np.flatnonzero(np.unpackbits(data))
-            nth = np.searchsorted(ones, 8 * (body[rows] + 1 + p) + 10)
-            pos = 8 * (body[rows] + 1 + p) + 10
-            window = data[:-3].astype(np.uint32) << 24 | data[1:-2].astype(np.uint32) << 16 | data[2:-1].astype(np.uint32) << 8 | data[3:]
-            residual = np.zeros((int(left[0]), len(rows)), np.int32)
-            upto = np.searchsorted(-left, -np.arange(int(left[0])), "left")  # lanes with more than t residuals
-            mask = (1 << k) - 1
-            for t in range(int(left[0])):
-                m = int(upto[t])
-                stop = ones[nth[:m]]
-                q = stop - pos[:m]
-                after = stop + 1
-                word = window[after >> 3].astype(np.int64)
-                low = (word >> (32 - (after & 7) - k[:m])) & mask[:m]
-                pos[:m] = after + k[:m]
-                nth[:m] += 1 + np.bitwise_count(low)
-                residual[t, :m] = q << k[:m] | low
-            z = residual.T
-            z = (z >> 1) ^ -(z & 1)
-            for o in range(3):
-                some = np.flatnonzero(p == o)
-                if not len(some):
-                    continue
-                r = z[some]
-                if o == 2:  # first differences from the first warm-up difference on
-                    warm = data[body[rows[some]] + 1].view(np.int8).astype(np.int32), data[body[rows[some]] + 2].view(np.int8).astype(np.int32)
-                    r = np.cumsum(np.concatenate([(warm[1] - warm[0])[:, None], r], axis=1), axis=1)
-                    r = np.cumsum(np.concatenate([warm[0][:, None], r], axis=1), axis=1)
-                elif o == 1:
-                    r = np.cumsum(np.concatenate([data[body[rows[some]] + 1].view(np.int8).astype(np.int32)[:, None], r], axis=1), axis=1)
-                width = min(r.shape[1], x.shape[1])
-                x[rows[some], :width] = r[:, :width]
-        for f, (i, m, at) in enumerate(zip(doc.tolist(), n.tolist(), first.tolist(), strict=True)):
-            payloads[i][at : at + m] = (x[f, :m] + 128).astype(np.uint8)
+    lanes = np.array(lanes, np.int64).reshape(-1, 6)
+    for at in range(0, len(lanes), GROUP):
+        doc, begin, body, end, n, first = lanes[at : at + GROUP].T
+        low, high = int(begin.min()), int(end.max())
+        x = _samples(data[low : high + 8], begin - low, body - low, end - low, n)
+        for f, (i, m, start) in enumerate(zip(doc.tolist(), n.tolist(), first.tolist(), strict=True)):
+            payloads[i][start : start + m] = (x[f, :m] + 128).astype(np.uint8)
     for i, (s, info) in enumerate(zip(streams, infos, strict=True)):
         if i in slow:
             payloads[i] = (np.array(decode_stream(s)[0]) + (1 << (info["bits"] - 1))).astype(np.uint8)
@@ -444,7 +466,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stop = max(start + 1, int(np.searchsorted(lengths, lengths[start] + (1 << 20), "right")) - 1)
             group = streams[start:stop]
             payloads = decode(group)
-            flat = np.concatenate(payloads).astype(np.int64)
+            flat = np.concatenate(payloads).astype(np.int16)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in payloads])])
             level = row_sums(np.abs(flat - 128), ends)
             step = np.abs(np.diff(flat, append=flat[-1:]))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import hashed_words, labelled_sample, platt, sigmoid, small_batches, text_chunks
+from .base import hashed_words, labelled_sample, platt, row_sums, sigmoid, small_batches, text_chunks
 from .toxicity import _flat
 
 BINS = 8
@@ -36,11 +36,6 @@ CLASSES = (
 )
 
 
-def _counts(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])
-    return np.diff(sums[edges])
-
-
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features by line, document of each line, its length). A text has one line more than line feeds."""
     breaks = np.flatnonzero(data == 10)
@@ -53,7 +48,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     length = np.maximum(size, 1).astype(np.float64)
     columns = [np.log1p(size)]
     for marks in CLASSES:
-        columns.append(_counts(marks[data], edges) / length)
+        columns.append(row_sums(marks[data], edges) / length)
     code, owner, words = hashed_words(data, offsets)
     line = np.searchsorted(edges, words, "right") - 1
     n_words = np.bincount(line, minlength=len(size))

@@ -14,6 +14,7 @@ copies share a fingerprint and are folded before any of this.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -33,19 +34,39 @@ PARTS = ((0, 21), (21, 21), (42, 22))
 CODE_BITS = 15
 
 
+#: Bytes of a text whose words are held together; it affects memory only.
+RUN = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_runs(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in runs of about RUN bytes."""
+    at = 0
+    while len(text) - at > RUN:
+        space = _SPACE.search(text, at + RUN)
+        if not space:
+            break
+        yield text[at : space.start()].split()
+        at = space.start()
+    yield text[at:].split()
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Majority of the bits of the XXH64 of word shingles; text without a word gives zero."""
-    words = text.lower().split()  # bytes: A-Z only, ASCII white space only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    of = xxhash.xxh64_intdigest
-    hashes = np.array([of(joined[s : e - 1], SEED) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(majority, bitorder="little").view(np.uint64)[0])
+    of, ones, count, kept = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for words in _word_runs(text.lower()):  # bytes: A-Z only, ASCII white space only
+        words = kept + words
+        if len(words) >= shingle:
+            joined = b" ".join(words)
+            ends = list(accumulate(len(w) + 1 for w in words))
+            starts = [0, *ends[:-1]]
+            hashes = np.array([of(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
+            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            count += len(hashes)
+        kept = words[max(0, len(words) - shingle + 1) :] if shingle > 1 else []
+    if not count:
+        return of(b" ".join(kept), SEED) if kept else 0
+    return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

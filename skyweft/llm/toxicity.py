@@ -23,6 +23,8 @@ SLOT_BITS = 18
 DIMENSIONS = 8
 WINDOW = 32
 ORDERS = (3, 4, 5)
+#: Bytes of windows that are scored together; it affects memory only.
+PIECE = 8 << 20
 #: Smaller bags are averaged as if filled up with zero vectors, so a short text isn't judged on a few n-grams; up to which
 #: size is learned with the rest, among these.
 FILLED = (1, 40, 80, 160, 320)
@@ -79,11 +81,19 @@ class Model:
         edges, doc = _windows(text, starts)
         if not len(doc):
             return np.zeros(0), np.zeros(0), doc, edges
-        total, count = np.zeros(len(text), np.float32), np.zeros(len(text), np.float32)
-        for slots, valid in _grams(text):
-            total += np.where(valid, self.slot[slots], np.float32(0))
-            count += valid
-        return row_sums(total, edges), row_sums(count, edges), doc, edges
+        sums, counts, first = [], [], 0
+        while first < len(doc):  # a long text by pieces of whole windows
+            last = max(first + 1, int(np.searchsorted(edges, edges[first] + PIECE, "right")) - 1)
+            part = text[edges[first] : edges[last]]
+            total, count = np.zeros(len(part), np.float32), np.zeros(len(part), np.float32)
+            for slots, valid in _grams(part):
+                total += np.where(valid, self.slot[slots], np.float32(0))
+                count += valid
+            here = edges[first : last + 1] - edges[first]
+            sums.append(row_sums(total, here))
+            counts.append(row_sums(count, here))
+            first = last
+        return np.concatenate(sums), np.concatenate(counts), doc, edges
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total, count, doc, _ = self.sums(data, offsets)
