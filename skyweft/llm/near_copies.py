@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .base import discard, durable, hashed_words, small_batches, text_chunks
+from .base import broadcast_if_small, discard, durable, hashed_words, small_batches, text_chunks
 from .components import roots
 
 SHINGLE = 5
@@ -159,7 +159,7 @@ def _candidates(most: int) -> Callable:
             for lag in range(1, min(int(count.max()), most)):
                 at = np.flatnonzero((group[lag:] == group[:-lag]) & ~large[lag:]) if lag > 1 else np.flatnonzero(group[1:] == group[:-1])
                 ends.append((at, at + lag))
-            centre = starts + (key[starts].view(np.uint64) % count.astype(np.uint64)).astype(np.int64)
+            centre = np.lexsort((ident, group))[starts]  # the smallest number, which keys of one group of copies have in common
             rest = np.flatnonzero(large)
             ends.append((rest, centre[group[rest]]))
             a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
@@ -311,7 +311,8 @@ def components(docs: DataFrame, most: int = 16, tile: int = 2048) -> DataFrame:
         return up
     placed = durable(hot.join(up.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("key", "id", "size_place", F.coalesce("root", "id").alias("root")))
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    placed = placed.join(mixed.select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks")), "key")
+    blocks = durable(mixed.select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks")))
+    placed = placed.join(broadcast_if_small(blocks), "key")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
     dealt = placed.select("key", F.explode(tiles).alias("tile"), "id", "size_place", "root").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
