@@ -104,17 +104,19 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int) -> list:
-    """At most `limit` labelled texts as (text, label), none from the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int, longest: int = 1 << 16) -> list:
+    """At most `limit` labelled texts as (text, label), none from the held-out fold and none of more than `longest` bytes.
 
-    The bounded sample takes the rows with the smallest hash of doc_id, so it is the same on every run.
+    The bounded sample takes the rows with the smallest hash of doc_id, so it is the same on every run; of rows with one
+    doc_id it takes one. What the driver gets is bounded by both numbers.
     """
     from pyspark.sql import functions as F
 
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where("_label in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != held_out)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")  # at most `limit` narrow rows
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).where(F.octet_length("_text") <= longest)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("_text").alias("_text"))  # at most `limit` narrow rows
     return [(r[1].encode(), int(r[2])) for r in sorted(rows.select("doc_id", "_text", "_label").collect())]
 
 

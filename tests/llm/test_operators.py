@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 from skyweft.llm import bpe_automaton, flac, license_scan, packing, pii, quality_crf, quality_rules, range_coder, simhash, token_store, toxicity
-from skyweft.llm.base import fold
+from skyweft.llm.base import fold, labelled_sample
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -147,6 +147,9 @@ def test_classifiers(spark, table, empty, module, label, modulus, kept):
     assert kept_rows.schema == table.schema and module.score(empty, model).count() == 0
     split = sum(r.score < 0.5 for r in again)
     assert kept_rows.count() == (split if module is toxicity else len(again) - split)
+    long = spark.createDataFrame([(5, "x" * 70000), (7, "one text"), (7, "another"), (11, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality long, toxic long")
+    assert labelled_sample(long, marks, label, 99, 98, 20) == [(b"another", 1), (b"", 1)]
     one = module.train([(b"only one label", 1)])
     assert one.scores(np.frombuffer(b"x", np.uint8), np.array([0, 1]))[0] > 0.5
     assert module.train([]).scores(np.zeros(0, np.uint8), np.array([0, 0]))[0] == 0.5
