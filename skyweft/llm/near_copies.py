@@ -173,13 +173,21 @@ def _candidates(most: int) -> Callable:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, tile, id, size_place, root) -> the possible pairs of each tile that are in different components."""
-    for key, tile, ident, sp, root in _groups(batches, 2):
+    """Sorted (key, tile, id, size_place, root, counts) -> the pairs of each tile that are in different components and may be
+    similar by place, size and counts."""
+    for key, tile, ident, sp, root, counts in _groups(batches, 2):
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
+        few, full = np.zeros((len(key), BUCKETS), np.int64), np.zeros(len(key), bool)
+        for i, raw in enumerate(counts):
+            x = np.frombuffer(raw, np.uint8)
+            few[i], full[i] = x.reshape(-1, BUCKETS).sum(axis=0, dtype=np.int64), (x == 255).any()
+        size = sp >> _SIZE
         for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
             for i in range(s, e):
                 some = i + 1 + np.flatnonzero((root[i + 1 : e] != root[i]) & _possible(sp[i], sp[i + 1 : e]))
                 if len(some):
+                    both = np.minimum(few[some], few[i]).sum(axis=1)
+                    some = some[((PART + WHOLE) * both >= PART * (size[some] + size[i])) | full[some] | full[i]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ident[some], ident[i])), pa.array(np.maximum(ident[some], ident[i]))], ["a", "b"])
 
 
@@ -312,10 +320,10 @@ def components(docs: DataFrame, most: int = 16, tile: int = 2048) -> DataFrame:
     placed = durable(hot.join(up.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("key", "id", "size_place", F.coalesce("root", "id").alias("root")))
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     blocks = durable(mixed.select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks")))
-    placed = placed.join(broadcast_if_small(blocks), "key")
+    placed = placed.join(broadcast_if_small(blocks), "key").join(marks.select("id", "counts"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
-    dealt = placed.select("key", F.explode(tiles).alias("tile"), "id", "size_place", "root").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
+    dealt = placed.select("key", F.explode(tiles).alias("tile"), "id", "size_place", "root", "counts").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
     return roots(links.union(_verified(texts, marks, dealt.mapInArrow(_across, "a long, b long"))))
 
 
