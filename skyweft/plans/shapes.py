@@ -57,7 +57,7 @@ def power_norm(read):
 
 
 #: A distortion to be fitted on an image of 64 pixels: what a detector's own map adds to a straight one.
-FIT = """p as (select o_orderkey % 200 as img, (o_orderkey * 7919 % 640) / 10.0::double - 32 u, (o_custkey * 104729 % 640) / 10.0::double - 32 v from orders),
+FIT = """p as (select o_orderkey // 256 as img, (o_orderkey * 7919 % 640) / 10.0::double - 32 u, (o_custkey * 104729 % 640) / 10.0::double - 32 v from orders),
 d as (select *, 2e-3 * u * u - 1e-3 * u * v + 0.01 * u + (img % 5) * 1e-3 * v * v as du from p)"""
 
 
@@ -68,7 +68,7 @@ def distortion_fit(read):
     import numpy as np
     import pandas as pd
 
-    o = read("orders").select((F.col("o_orderkey") % 200).alias("img"), (F.col("o_orderkey") * 7919 % 640 / 10.0 - 32).alias("u"), (F.col("o_custkey") * 104729 % 640 / 10.0 - 32).alias("v"))
+    o = read("orders").select(F.expr("o_orderkey div 256").alias("img"), (F.col("o_orderkey") * 7919 % 640 / 10.0 - 32).alias("u"), (F.col("o_custkey") * 104729 % 640 / 10.0 - 32).alias("v"))
     d = o.withColumn("du", F.expr("2e-3D * u * u - 1e-3D * u * v + 0.01D * u + (img % 5) * 1e-3D * v * v"))
     basis = [F.lit(1.0), F.col("u") / 32, F.col("v") / 32, F.expr("u * u / 1024"), F.expr("u * v / 1024"), F.expr("v * v / 1024")]
     sums = [F.sum(a * b) for i, a in enumerate(basis) for b in basis[i:]] + [F.sum(a * F.col("du")) for a in basis]
