@@ -67,6 +67,14 @@ def broadcast_if_small(table: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores after it until docs has no column of that name in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, UTF-8 bytes of their texts, offsets) for runs of rows of about `limit` bytes.
 

@@ -17,23 +17,41 @@ centre, then, in tiles of bounded size, only texts that the first step left in d
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import simhash
-from .base import broadcast_if_small, discard, durable, hashed_words, small_batches, text_chunks
+from .base import broadcast_if_small, discard, durable, free_name, hashed_words, small_batches, text_chunks
 from .components import roots
 
-SHINGLE = 5
-#: Jaccard similarity from which two texts are near copies, as a fraction.
-PART, WHOLE = 4, 5
+
+class Rule(NamedTuple):
+    """Words of a shingle, and the Jaccard similarity from which two texts are alike, as a fraction."""
+
+    shingle: int
+    part: int
+    whole: int
+
+    def alike(self, both: np.ndarray | int, m: np.ndarray | int, n: np.ndarray | int):
+        """Whether sets of m and n shingles with so many in common are similar enough."""
+        return (self.part + self.whole) * both >= self.part * (m + n)
+
+    def first(self, size: np.ndarray | int):
+        """Shingles of a set, in the common order, of which two sets that are alike share one."""
+        return size - -(-self.part * size // self.whole) + 1
+
+
+NEAR = Rule(5, 4, 5)
 #: One set in so many is asked for frequent shingles: those in at least COMMON of them, MOST at most.
 SAMPLE, COMMON, MOST = 16, 8, 1 << 17
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_SIZE = 32
+#: A set's size and a place in it are one number.
+SIZE_BITS = 32
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -42,18 +60,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingles text by text, ends of the texts' shares, number of each set). A text of one to four words is one shingle."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = NEAR.shingle) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles text by text, ends of the texts' shares, number of each set). A text of fewer words than a shingle is one shingle."""
     n = len(offsets) - 1
     lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     code, doc, _ = hashed_words(lower, offsets)
-    padded = np.concatenate([_mixed(code), np.zeros(SHINGLE, np.uint64)])
-    owner = np.concatenate([doc, np.full(SHINGLE, -1)])
+    padded = np.concatenate([_mixed(code), np.zeros(shingle, np.uint64)])
+    owner = np.concatenate([doc, np.full(shingle, -1)])
     mixed = np.zeros(len(code), np.uint64)
-    for k in range(SHINGLE):
+    for k in range(shingle):
         mixed = mixed * _MIX[0] + np.where(owner[k : k + len(code)] == doc, padded[k : k + len(code)], np.uint64(0))
     first = np.searchsorted(doc, np.arange(n))
-    whole = (owner[SHINGLE - 1 : SHINGLE - 1 + len(code)] == doc) | (np.arange(len(code)) == first[doc])
+    whole = (owner[shingle - 1 : shingle - 1 + len(code)] == doc) | (np.arange(len(code)) == first[doc])
     mixed, doc = _mixed(mixed[whole]), doc[whole]
     order = np.lexsort((mixed, doc))
     mixed, doc = mixed[order], doc[order]
@@ -65,25 +83,24 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return mixed, ends, number.view(np.int64)
 
 
-def numbered(docs: DataFrame, name: str = "_set") -> DataFrame:
-    """docs with one more column: the number of the text's set of shingles."""
+def numbered(docs: DataFrame, name: str = "_set", rule: Rule = NEAR) -> DataFrame:
+    """docs with one more column, whose name must be free: the number of the text's set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches):
-            _, _, number = shingle_sets(data, offsets)
+            _, _, number = shingle_sets(data, offsets, rule.shingle)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(number)], [*rows.schema.names, name])
 
     small_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{name}` long")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def _common(texts: DataFrame) -> np.ndarray:
+def common_shingles(texts: DataFrame, rule: Rule) -> np.ndarray:
     """Shingles in many sets of the sample, by falling count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in text_chunks(batches):
-            codes, ends, number = shingle_sets(data, offsets)
+            codes, ends, number = shingle_sets(data, offsets, rule.shingle)
             of = np.repeat(number, np.diff(ends))
             some = of % SAMPLE == 0
             yield pa.RecordBatch.from_arrays([pa.array(of[some]), pa.array(codes[some].view(np.int64))], ["id", "key"])
@@ -92,13 +109,15 @@ def _common(texts: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in found.orderBy(F.desc("count"), "key").limit(MOST).collect()], np.int64)
 
 
-def _prefixes(common) -> Callable:
+def prefixes(common, rule: Rule, more: int = 0) -> Callable:
+    """Texts -> (key, id, size_place) of the first shingles of their sets, and of `more` after those."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = common.value.view(np.uint64)
         order = np.argsort(late)
         late = late[order]
         for _, data, offsets in text_chunks(batches):
-            codes, ends, number = shingle_sets(data, offsets)
+            codes, ends, number = shingle_sets(data, offsets, rule.shingle)
             size = np.diff(ends)
             _, once = np.unique(number, return_index=True)
             taken = np.zeros(len(size), bool)
@@ -110,22 +129,21 @@ def _prefixes(common) -> Callable:
                 rank = np.where(late[at] == codes, len(late) - order[at], 0)  # the most frequent last
             codes = codes[np.lexsort((codes, rank, doc))]
             place = np.arange(len(codes)) - ends[doc]
-            long = size - -(-PART * size // WHOLE) + 1
-            some = taken[doc] & (place < long[doc])
+            some = taken[doc] & (place < rule.first(size)[doc] + more)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(codes[some].view(np.int64)), pa.array(number[doc[some]]), pa.array(size[doc[some]] << _SIZE | place[some])], ["key", "id", "size_place"]
+                [pa.array(codes[some].view(np.int64)), pa.array(number[doc[some]]), pa.array(size[doc[some]] << SIZE_BITS | place[some])], ["key", "id", "size_place"]
             )
 
     return run
 
 
-def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether two sets can be similar enough if this is the first shingle of both; a, b: size and place."""
-    (m, i), (n, j) = ((x >> _SIZE, x & ((1 << _SIZE) - 1)) for x in (a, b))
-    return (PART + WHOLE) * np.minimum(m - i, n - j) >= PART * (m + n)
+def possible(a: np.ndarray, b: np.ndarray, rule: Rule, before: int | np.ndarray = 0) -> np.ndarray:
+    """Whether two sets can be alike if they share this shingle and at most `before` earlier ones; a, b: size and place."""
+    (m, i), (n, j) = ((x >> SIZE_BITS, x & ((1 << SIZE_BITS) - 1)) for x in (a, b))
+    return rule.alike(np.minimum(m - i, n - j) + before, m, n)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[list[np.ndarray]]:
+def groups_of(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[list[np.ndarray]]:
     """Columns of sorted batches again, cut only where the first `names` columns change."""
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -142,11 +160,11 @@ def _groups(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[list[np.n
         yield held
 
 
-def _candidates(most: int) -> Callable:
+def _candidates(most: int, rule: Rule) -> Callable:
     """Sorted (key, id, size_place) -> pairs (id, other), and the rows of keys with more than `most` sets, other null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ident, sp in _groups(batches, 1):
+        for key, ident, sp in groups_of(batches, 1):
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])])
             key, ident, sp = key[new], ident[new], sp[new]
             order = np.lexsort((ident, sp, key))
@@ -163,7 +181,7 @@ def _candidates(most: int) -> Callable:
             rest = np.flatnonzero(large)
             ends.append((rest, centre[group[rest]]))
             a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
-            good = _possible(sp[a], sp[b]) & (ident[a] != ident[b])
+            good = possible(sp[a], sp[b], rule) & (ident[a] != ident[b])
             a, b = ident[a[good]], ident[b[good]]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 1])], ["key", "id", "size_place", "other"])
@@ -172,23 +190,27 @@ def _candidates(most: int) -> Callable:
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(rule: Rule, before: int) -> Callable:
     """Sorted (key, tile, id, size_place, root, counts) -> the pairs of each tile that are in different components and may be
-    similar by place, size and counts."""
-    for key, tile, ident, sp, root, counts in _groups(batches, 2):
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
-        few, full = np.zeros((len(key), BUCKETS), np.int64), np.zeros(len(key), bool)
-        for i, raw in enumerate(counts):
-            x = np.frombuffer(raw, np.uint8)
-            few[i], full[i] = x.reshape(-1, BUCKETS).sum(axis=0, dtype=np.int64), (x == 255).any()
-        size = sp >> _SIZE
-        for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
-            for i in range(s, e):
-                some = i + 1 + np.flatnonzero((root[i + 1 : e] != root[i]) & _possible(sp[i], sp[i + 1 : e]))
-                if len(some):
-                    both = np.minimum(few[some], few[i]).sum(axis=1)
-                    some = some[((PART + WHOLE) * both >= PART * (size[some] + size[i])) | full[some] | full[i]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ident[some], ident[i])), pa.array(np.maximum(ident[some], ident[i]))], ["a", "b"])
+    similar by place, size and counts, if at most `before` shingles that they share come before this one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, tile, ident, sp, root, counts in groups_of(batches, 2):
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
+            few, full = np.zeros((len(key), BUCKETS), np.int64), np.zeros(len(key), bool)
+            for i, raw in enumerate(counts):
+                x = np.frombuffer(raw, np.uint8)
+                few[i], full[i] = x.reshape(-1, BUCKETS).sum(axis=0, dtype=np.int64), (x == 255).any()
+            size = sp >> SIZE_BITS
+            for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
+                for i in range(s, e):
+                    some = i + 1 + np.flatnonzero((root[i + 1 : e] != root[i]) & possible(sp[i], sp[i + 1 : e], rule, before))
+                    if len(some):
+                        both = np.minimum(few[some], few[i]).sum(axis=1)
+                        some = some[rule.alike(both, size[some], size[i]) | full[some] | full[i]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ident[some], ident[i])), pa.array(np.maximum(ident[some], ident[i]))], ["a", "b"])
+
+    return run
 
 
 #: Buckets of the smallest count of shingles; a larger set has so many that about four shingles meet in one.
@@ -203,7 +225,7 @@ def bucket_counts(codes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((codes >> np.uint64(40)).astype(np.int64) & (many - 1), minlength=many), 255).astype(np.uint8)
 
 
-def may_agree(x: np.ndarray, y: np.ndarray, m: int, n: int) -> bool:
+def may_agree(x: np.ndarray, y: np.ndarray, m: int, n: int, rule: Rule = NEAR) -> bool:
     """Whether sets of m and n shingles with these counts can be similar enough. Never false for a pair that is."""
     if (x == 255).any() or (y == 255).any():
         return True
@@ -211,47 +233,60 @@ def may_agree(x: np.ndarray, y: np.ndarray, m: int, n: int) -> bool:
         x = x.reshape(2, -1).sum(axis=0, dtype=np.int64)
     while len(y) > len(x):
         y = y.reshape(2, -1).sum(axis=0, dtype=np.int64)
-    return (PART + WHOLE) * int(np.minimum(x, y).sum()) >= PART * (m + n)
+    return bool(rule.alike(int(np.minimum(x, y).sum()), m, n))
+
 
+def marks_of(rule: Rule, prints: bool = True) -> Callable:
+    """Texts -> (id, fp, size, counts) of the distinct sets of a run of them; without fingerprints if they aren't asked for."""
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, fp, size, counts) of the distinct sets of a run of texts."""
-    for _, data, offsets in text_chunks(batches):
-        codes, ends, number = shingle_sets(data, offsets)
-        _, once = np.unique(number, return_index=True)
-        raw = data.tobytes()
-        prints = np.array([simhash.fingerprint(raw[offsets[i] : offsets[i + 1]], SHINGLE) for i in once], np.uint64)
-        counts = [bucket_counts(codes[ends[i] : ends[i + 1]]).tobytes() for i in once]
-        yield pa.RecordBatch.from_arrays([pa.array(number[once]), pa.array(prints.view(np.int64)), pa.array(np.diff(ends)[once]), pa.array(counts, pa.binary())], ["id", "fp", "size", "counts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in text_chunks(batches):
+            codes, ends, number = shingle_sets(data, offsets, rule.shingle)
+            _, once = np.unique(number, return_index=True)
+            counts = [bucket_counts(codes[ends[i] : ends[i + 1]]).tobytes() for i in once]
+            found = [pa.array(number[once]), pa.array(np.diff(ends)[once]), pa.array(counts, pa.binary())]
+            if prints:
+                raw = data.tobytes()
+                fp = np.array([simhash.fingerprint(raw[offsets[i] : offsets[i + 1]], rule.shingle) for i in once], np.uint64)
+                found.insert(1, pa.array(fp.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(found, ["id", "fp", "size", "counts"] if prints else ["id", "size", "counts"])
 
+    return run
 
-def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sift(rule: Rule) -> Callable:
     """(a, b, m, x, n, y) -> the pairs that may be similar enough."""
-    for batch in batches:
-        m, n = (np.asarray(batch.column(i)) for i in (2, 4))
-        keep = (PART + WHOLE) * np.minimum(m, n) >= PART * (m + n)
-        for i in np.flatnonzero(keep).tolist():
-            x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (3, 5))
-            keep[i] = may_agree(x, y, int(m[i]), int(n[i]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (np.asarray(batch.column(i)) for i in (2, 4))
+            keep = rule.alike(np.minimum(m, n), m, n)
+            for i in np.flatnonzero(keep).tolist():
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (3, 5))
+                keep[i] = may_agree(x, y, int(m[i]), int(n[i]), rule)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append((PART + WHOLE) * both >= PART * (len(x) + len(y)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+def _verify(rule: Rule) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                keep.append(bool(rule.alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _sets(asked) -> Callable:
+    return run
+
+
+def _sets(asked, rule: Rule) -> Callable:
     """(id, codes) of the sets of a run of texts; with `asked`, sorted numbers, only of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in text_chunks(batches):
-            codes, ends, number = shingle_sets(data, offsets)
+            codes, ends, number = shingle_sets(data, offsets, rule.shingle)
             _, once = np.unique(number, return_index=True)
             if asked is not None:
                 at = np.searchsorted(asked.value, number[once])
@@ -268,22 +303,22 @@ def _ends(table: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
 
 
-def _verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough.
 
     Sets are made where the texts lie and only of the numbers asked for, if those are at most ASKED; of more, the texts
     are joined with them first.
     """
-    sifted = durable(_ends(marks, pairs.distinct(), "size", "counts").mapInArrow(_sift, "a long, b long"))
+    sifted = durable(_ends(marks, pairs.distinct(), "size", "counts").mapInArrow(_sift(rule), "a long, b long"))
     asked = durable(sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct())
     if asked.limit(ASKED + 1).count() <= ASKED:
         few = texts.sparkSession.sparkContext.broadcast(np.sort(asked.toArrow().column("id").to_numpy().astype(np.int64)))
-        found = texts.mapInArrow(_sets(few), "id long, codes binary")
+        found = texts.mapInArrow(_sets(few, rule), "id long, codes binary")
     else:
-        once = numbered(texts).join(asked, F.col("_set") == F.col("id"), "left_semi").dropDuplicates(["_set"])
-        found = once.select("text").mapInArrow(_sets(None), "id long, codes binary")
+        once = numbered(texts, rule=rule).join(asked, F.col("_set") == F.col("id"), "left_semi").dropDuplicates(["_set"])
+        found = once.select("text").mapInArrow(_sets(None, rule), "id long, codes binary")
     sets = durable(found.dropDuplicates(["id"]))
-    out = durable(_ends(sets, sifted, "codes").mapInArrow(_verify, "a long, b long"))
+    out = durable(_ends(sets, sifted, "codes").mapInArrow(_verify(rule), "a long, b long"))
     discard(sets, sifted, asked)
     return out
 
@@ -297,7 +332,7 @@ def _by_fingerprint(marks: DataFrame) -> DataFrame:
     return ends.select("x", "y").union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def components(docs: DataFrame, most: int = 16, tile: int = 2048) -> DataFrame:
+def components(docs: DataFrame, most: int = 16, tile: int = 2048, rule: Rule = NEAR) -> DataFrame:
     """docs(text) -> (a, b): the number of each set that isn't its component's smallest, and that smallest number.
 
     Null texts count as empty; texts without a word are one set. `most` and `tile` affect speed only.
@@ -305,15 +340,25 @@ def components(docs: DataFrame, most: int = 16, tile: int = 2048) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("text")
-    marks = durable(texts.mapInArrow(_marks, "id long, fp long, size long, counts binary").dropDuplicates(["id"]))
-    near = _verified(texts, marks, _by_fingerprint(marks))
-    common = spark.sparkContext.broadcast(_common(texts))
-    rows = texts.mapInArrow(_prefixes(common), "key long, id long, size_place long")
+    marks = durable(texts.mapInArrow(marks_of(rule), "id long, fp long, size long, counts binary").dropDuplicates(["id"]))
+    near = verified(texts, marks, _by_fingerprint(marks), rule)
+    common = spark.sparkContext.broadcast(common_shingles(texts, rule))
+    rows = texts.mapInArrow(prefixes(common, rule), "key long, id long, size_place long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = durable(rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_candidates(most), "key long, id long, size_place long, other long"))
+    found = durable(rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_candidates(most, rule), "key long, id long, size_place long, other long"))
     pairs = _apart(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), roots(near))
-    links = near.union(_verified(texts, marks, pairs))
-    hot = found.where("other is null").select("key", "id", "size_place")
+    links = near.union(verified(texts, marks, pairs, rule))
+    return settled(texts, marks, links, found.where("other is null").select("key", "id", "size_place"), tile, rule)
+
+
+def settled(texts: DataFrame, marks: DataFrame, links: DataFrame, hot: DataFrame, tile: int, rule: Rule, before: int = 0) -> DataFrame:
+    """Components of links and of what is alike among the sets (key, id, size_place) that share a frequent shingle.
+
+    Such sets are compared in tiles of bounded size, but for those that the links have in one component. `before`: how
+    many shingles two sets may share, in the common order, before the first frequent one without being linked yet.
+    """
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     up = roots(links)
     if hot.isEmpty():
         return up
@@ -324,7 +369,7 @@ def components(docs: DataFrame, most: int = 16, tile: int = 2048) -> DataFrame:
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
     dealt = placed.select("key", F.explode(tiles).alias("tile"), "id", "size_place", "root", "counts").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
-    return roots(links.union(_verified(texts, marks, dealt.mapInArrow(_across, "a long, b long"))))
+    return roots(links.union(verified(texts, marks, dealt.mapInArrow(_across(rule, before), "a long, b long"), rule)))
 
 
 def _apart(pairs: DataFrame, up: DataFrame) -> DataFrame:
@@ -339,10 +384,13 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each component of near copies: the smallest id, nulls last, then the smallest hash of the row.
 
     Rows of equal or no ids are told apart by their texts and other columns; nothing is dropped for its id alone.
+    Columns of any name and type come back as they were.
     """
-    up = components(docs)
-    row = F.xxhash64(*docs.columns)
-    narrow = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("_row"))).select("doc_id", "_row", "_set")
-    placed = narrow.join(up, narrow._set == up.a, "left").select("doc_id", "_row", "_set", F.coalesce("b", "_set").alias("_root"))
-    least = placed.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "_set")).alias("_least")).select("_least._row", "_least._set")
-    return numbered(docs.withColumn("_row", row)).join(least, ["_row", "_set"], "left_semi").dropDuplicates(["_row", "_set"]).select(*docs.columns)
+    up = broadcast_if_small(components(docs).withColumnsRenamed({"a": "_of", "b": "_root"}))
+    row, held = free_name(docs, "_row"), free_name(docs, "_set")
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields])
+    narrow = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", hashed.alias(row)), held).select("doc_id", row, held)
+    placed = narrow.join(up, F.col(held) == F.col("_of"), "left").withColumn("_root", F.coalesce("_root", held))
+    least = placed.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row, held)).alias("_least")).select(f"_least.{row}", f"_least.{held}")
+    kept = numbered(docs.withColumn(row, hashed), held).join(broadcast_if_small(durable(least)), [row, held], "left_semi")
+    return kept.dropDuplicates([row, held]).drop(row, held)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, flac, license_scan, packing, pii, quality_crf, quality_rules, simhash, token_store, toxicity
+from . import bpe_automaton, filter_audit, flac, hard_negatives, license_scan, ngram_join, packing, pii, quality_crf, quality_rules, simhash, token_store, toxicity
 from .base import durable, held_out, read, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,6 +75,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_and_decode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and smallest linked doc_id of every document; null and empty texts have no shingle and no link."""
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the five filters in every order, by source; null texts count as empty, null sources as the empty string."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best negatives in the window of every anchor's positives; rows without label or whole vector take no part."""
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline applied to documents."""
     import corpus_pipeline
@@ -83,11 +98,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_license_scan, op2_simhash, op3_toxicity, op4_packing, op5_pii, op6_quality_rules, op7_flac, op8_token_store, op9_quality_crf, op10_bpe, pipeline)
+    named = (
+        op1_license_scan, op2_simhash, op3_toxicity, op4_packing, op5_pii, op6_quality_rules, op7_flac, op8_token_store, op9_quality_crf, op10_bpe,
+        op11_ngram_join, op12_filter_audit, op13_hard_negatives, pipeline,
+    )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these rows can be had in SQL over whole tables: they rest on trained models, XXH64 with a seed,
-    tokenizer ids or media bytes. tests/llm holds them against brute-force versions."""
-    return {}
+    """SQL of the three whose rows DuckDB can have from whole tables. The others rest on trained models, XXH64 with a seed,
+    tokenizer ids or media bytes; tests/llm holds them against brute-force versions."""
+    return {"op11_ngram_join": ngram_join.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
