@@ -10,8 +10,11 @@ that the fingerprints have joined already are left out.
 Candidates are verified in two steps: by counts of shingles in a few buckets, which bound the intersection from above
 and are small to shuffle, and then by the whole sets. Texts of equal sets are folded before any of this.
 
-Pairs of a shingle with many texts are taken in two steps: each text with its neighbours by size and with one
-centre, then, in tiles of bounded size, only texts that the first step left in different components.
+Pairs of a shingle with many texts are taken in three steps: each text with its neighbours by size and with one
+centre, then with the texts that share most frequent shingles with others, then, in tiles of bounded size, only texts
+that these steps left in different components.
+
+Each text is known by a 64-bit hash of it, so whole sets are made again only of the texts that a candidate pair asks for.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +50,7 @@ class Rule(NamedTuple):
 
 
 NEAR = Rule(5, 4, 5)
-#: One set in so many is asked for frequent shingles: those in at least COMMON of them, MOST at most.
+#: One text in so many is asked for frequent shingles: those in at least COMMON of them, MOST at most.
 SAMPLE, COMMON, MOST = 16, 8, 1 << 17
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: A set's size and a place in it are one number.
@@ -83,29 +86,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = NEAR.shin
     return mixed, ends, number.view(np.int64)
 
 
-def numbered(docs: DataFrame, name: str = "_set", rule: Rule = NEAR) -> DataFrame:
-    """docs with one more column, whose name must be free: the number of the text's set of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_chunks(batches):
-            _, _, number = shingle_sets(data, offsets, rule.shingle)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(number)], [*rows.schema.names, name])
-
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+def hashed(docs: DataFrame, *columns) -> DataFrame:
+    """docs(text) -> the columns given, text, and th, the hash by which it is known. A null text counts as empty."""
+    return docs.select(*columns, F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
 
 
 def common_shingles(texts: DataFrame, rule: Rule) -> np.ndarray:
-    """Shingles in many sets of the sample, by falling count."""
+    """Shingles in many sets of a sample of the texts, by falling count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in text_chunks(batches):
             codes, ends, number = shingle_sets(data, offsets, rule.shingle)
-            of = np.repeat(number, np.diff(ends))
-            some = of % SAMPLE == 0
-            yield pa.RecordBatch.from_arrays([pa.array(of[some]), pa.array(codes[some].view(np.int64))], ["id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(number, np.diff(ends))), pa.array(codes.view(np.int64))], ["id", "key"])
 
-    found = texts.mapInArrow(run, "id long, key long").distinct().groupBy("key").count().where(F.col("count") >= COMMON)
+    some = texts.where(F.pmod("th", F.lit(SAMPLE)) == 0).select("text")
+    found = some.mapInArrow(run, "id long, key long").distinct().groupBy("key").count().where(F.col("count") >= COMMON)
     return np.array([r[0] for r in found.orderBy(F.desc("count"), "key").limit(MOST).collect()], np.int64)
 
 
@@ -215,7 +210,7 @@ def _across(rule: Rule, before: int) -> Callable:
 
 #: Buckets of the smallest count of shingles; a larger set has so many that about four shingles meet in one.
 BUCKETS, SHARED = 64, 4
-#: Numbers of sets, of eight bytes each, that go to all tasks at once.
+#: Hashes of texts, of eight bytes each, that go to all tasks at once.
 ASKED = 1 << 20
 
 
@@ -237,23 +232,29 @@ def may_agree(x: np.ndarray, y: np.ndarray, m: int, n: int, rule: Rule = NEAR) -
 
 
 def marks_of(rule: Rule, prints: bool = True) -> Callable:
-    """Texts -> (id, fp, size, counts) of the distinct sets of a run of them; without fingerprints if they aren't asked for."""
+    """Texts (text, th) -> (th, id, size, counts, fp) of the different ones of a run; fp is null if it isn't asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in text_chunks(batches):
+        for rows, data, offsets in text_chunks(batches):
+            th = np.asarray(rows.column(1))
+            _, once = np.unique(th, return_index=True)
             codes, ends, number = shingle_sets(data, offsets, rule.shingle)
-            _, once = np.unique(number, return_index=True)
             counts = [bucket_counts(codes[ends[i] : ends[i + 1]]).tobytes() for i in once]
-            found = [pa.array(number[once]), pa.array(np.diff(ends)[once]), pa.array(counts, pa.binary())]
+            fp = pa.nulls(len(once), pa.int64())
             if prints:
                 raw = data.tobytes()
-                fp = np.array([simhash.fingerprint(raw[offsets[i] : offsets[i + 1]], rule.shingle) for i in once], np.uint64)
-                found.insert(1, pa.array(fp.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(found, ["id", "fp", "size", "counts"] if prints else ["id", "size", "counts"])
+                fp = pa.array(np.array([simhash.fingerprint(raw[offsets[i] : offsets[i + 1]], rule.shingle) for i in once], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(th[once]), pa.array(number[once]), pa.array(np.diff(ends)[once]), pa.array(counts, pa.binary()), fp], ["th", "id", "size", "counts", "fp"])
 
     return run
 
 
+def known(texts: DataFrame, rule: Rule, prints: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(th, id, size, ...) of each different text, and the same of one text of each set; both durable."""
+    seen = durable(texts.mapInArrow(marks_of(rule, prints), "th long, id long, size long, counts binary, fp long").dropDuplicates(["th"]))
+    return seen, durable(seen.dropDuplicates(["id"]))
+
+
 def _sift(rule: Rule) -> Callable:
     """(a, b, m, x, n, y) -> the pairs that may be similar enough."""
 
@@ -281,16 +282,13 @@ def _verify(rule: Rule) -> Callable:
     return run
 
 
-def _sets(asked, rule: Rule) -> Callable:
-    """(id, codes) of the sets of a run of texts; with `asked`, sorted numbers, only of those."""
+def _sets(rule: Rule) -> Callable:
+    """(id, codes) of the sets of a run of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in text_chunks(batches):
             codes, ends, number = shingle_sets(data, offsets, rule.shingle)
             _, once = np.unique(number, return_index=True)
-            if asked is not None:
-                at = np.searchsorted(asked.value, number[once])
-                once = once[np.append(asked.value, 0)[at] == number[once]] if len(asked.value) else once[:0]
             yield pa.RecordBatch.from_arrays([pa.array(number[once]), pa.array([codes[ends[i] : ends[i + 1]].tobytes() for i in once], pa.binary())], ["id", "codes"])
 
     return run
@@ -304,19 +302,11 @@ def _ends(table: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
 
 
 def verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough.
-
-    Sets are made where the texts lie and only of the numbers asked for, if those are at most ASKED; of more, the texts
-    are joined with them first.
-    """
+    """The pairs (a, b) whose whole sets are similar enough. Sets are made of the texts that marks name for them."""
     sifted = durable(_ends(marks, pairs.distinct(), "size", "counts").mapInArrow(_sift(rule), "a long, b long"))
-    asked = durable(sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct())
-    if asked.limit(ASKED + 1).count() <= ASKED:
-        few = texts.sparkSession.sparkContext.broadcast(np.sort(asked.toArrow().column("id").to_numpy().astype(np.int64)))
-        found = texts.mapInArrow(_sets(few, rule), "id long, codes binary")
-    else:
-        once = numbered(texts, rule=rule).join(asked, F.col("_set") == F.col("id"), "left_semi").dropDuplicates(["_set"])
-        found = once.select("text").mapInArrow(_sets(None, rule), "id long, codes binary")
+    asked = sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct()
+    asked = durable(marks.join(asked, "id").select("th"))
+    found = texts.join(broadcast_if_small(asked, ASKED), "th", "left_semi").select("text").mapInArrow(_sets(rule), "id long, codes binary")
     sets = durable(found.dropDuplicates(["id"]))
     out = durable(_ends(sets, sifted, "codes").mapInArrow(_verify(rule), "a long, b long"))
     discard(sets, sifted, asked)
@@ -332,40 +322,65 @@ def _by_fingerprint(marks: DataFrame) -> DataFrame:
     return ends.select("x", "y").union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def components(docs: DataFrame, most: int = 16, tile: int = 2048, rule: Rule = NEAR) -> DataFrame:
-    """docs(text) -> (a, b): the number of each set that isn't its component's smallest, and that smallest number.
+def components(docs: DataFrame, most: int = 16, tile: int = 2048, rule: Rule = NEAR) -> tuple[DataFrame, DataFrame]:
+    """docs(text) -> (th, id) of each different text, and (a, b): the id of each set that isn't its component's smallest,
+    and that smallest id.
 
     Null texts count as empty; texts without a word are one set. `most` and `tile` affect speed only.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select("text")
-    marks = durable(texts.mapInArrow(marks_of(rule), "id long, fp long, size long, counts binary").dropDuplicates(["id"]))
+    texts = hashed(docs)
+    seen, marks = known(texts, rule)
     near = verified(texts, marks, _by_fingerprint(marks), rule)
     common = spark.sparkContext.broadcast(common_shingles(texts, rule))
-    rows = texts.mapInArrow(prefixes(common, rule), "key long, id long, size_place long")
+    rows = texts.select("text").mapInArrow(prefixes(common, rule), "key long, id long, size_place long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = durable(rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_candidates(most, rule), "key long, id long, size_place long, other long"))
     pairs = _apart(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), roots(near))
     links = near.union(verified(texts, marks, pairs, rule))
-    return settled(texts, marks, links, found.where("other is null").select("key", "id", "size_place"), tile, rule)
+    up = settled(texts, marks, links, found.where("other is null").select("key", "id", "size_place"), tile, rule)
+    return seen.select("th", "id"), up
+
+
+#: Sets of a frequent shingle that all others of it are compared with before tiles are.
+CENTRES = 4
+
+
+def _apart_at(hot: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components of the links, hot rows of the keys whose sets are in several (with their root), and (key, n) of those keys."""
+    up = roots(links)
+    placed = hot.join(up.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("key", "id", "size_place", F.coalesce("root", "id").alias("root"))
+    placed = durable(placed)
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    keys = durable(mixed.select("key", "n"))
+    return up, placed.join(broadcast_if_small(keys), "key"), keys
 
 
 def settled(texts: DataFrame, marks: DataFrame, links: DataFrame, hot: DataFrame, tile: int, rule: Rule, before: int = 0) -> DataFrame:
     """Components of links and of what is alike among the sets (key, id, size_place) that share a frequent shingle.
 
-    Such sets are compared in tiles of bounded size, but for those that the links have in one component. `before`: how
-    many shingles two sets may share, in the common order, before the first frequent one without being linked yet.
+    Sets are first compared with a few centres of each shingle, which share most frequent shingles with other sets, and
+    then in tiles of bounded size, but for those that are in one component by then. `before`: how many shingles two sets
+    may share, in the common order, before the first frequent one without being linked yet.
     """
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    up = roots(links)
-    if hot.isEmpty():
+    up, placed, keys = _apart_at(hot, links)
+    if keys.isEmpty():
         return up
-    placed = durable(hot.join(up.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("key", "id", "size_place", F.coalesce("root", "id").alias("root")))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    blocks = durable(mixed.select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks")))
-    placed = placed.join(broadcast_if_small(blocks), "key").join(marks.select("id", "counts"), "id")
+    central = placed.groupBy("id").agg(F.sum("n").alias("weight"))
+    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
+    top = placed.join(central, "id").withColumn("nth", F.row_number().over(by_weight)).where(F.col("nth") <= CENTRES)
+    top = durable(top.select("key", F.col("id").alias("centre"), F.col("root").alias("other"), F.shiftright("size_place", SIZE_BITS).alias("wide")))
+    size = F.shiftright("size_place", SIZE_BITS)
+    wanted = (placed.key == top.key) & (F.col("root") != F.col("other")) & rule.alike(F.least(size, "wide"), size, F.col("wide"))
+    pairs = placed.join(broadcast_if_small(top), wanted).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    links = links.union(verified(texts, marks, pairs, rule))
+    up, placed, keys = _apart_at(hot, links)
+    if keys.isEmpty():
+        return up
+    placed = placed.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).join(marks.select("id", "counts"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
     dealt = placed.select("key", F.explode(tiles).alias("tile"), "id", "size_place", "root", "counts").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
@@ -386,11 +401,12 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Rows of equal or no ids are told apart by their texts and other columns; nothing is dropped for its id alone.
     Columns of any name and type come back as they were.
     """
-    up = broadcast_if_small(components(docs).withColumnsRenamed({"a": "_of", "b": "_root"}))
-    row, held = free_name(docs, "_row"), free_name(docs, "_set")
-    hashed = F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields])
-    narrow = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", hashed.alias(row)), held).select("doc_id", row, held)
-    placed = narrow.join(up, F.col(held) == F.col("_of"), "left").withColumn("_root", F.coalesce("_root", held))
-    least = placed.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row, held)).alias("_least")).select(f"_least.{row}", f"_least.{held}")
-    kept = numbered(docs.withColumn(row, hashed), held).join(broadcast_if_small(durable(least)), [row, held], "left_semi")
-    return kept.dropDuplicates([row, held]).drop(row, held)
+    seen, up = components(docs)
+    of = seen.join(up, seen.id == up.a, "left").select("th", F.coalesce("b", "id").alias("root"))
+    row, th = free_name(docs, "_row"), free_name(docs, "_th")
+    column = lambda f: F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    marked = docs.withColumn(row, F.xxhash64(*map(column, docs.schema.fields))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(th).alias("th"))
+    placed = rows.join(broadcast_if_small(durable(of)), "th")
+    least = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "th")).alias("least")).select(F.col("least.row").alias(row), F.col("least.th").alias(th))
+    return marked.join(broadcast_if_small(durable(least)), [row, th], "left_semi").dropDuplicates([row, th]).drop(row, th)

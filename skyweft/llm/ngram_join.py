@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import broadcast_if_small, discard, durable, small_batches, text_chunks
+from .base import broadcast_if_small, discard, durable, small_batches
 from .components import with_least
-from .near_copies import SIZE_BITS, Rule, common_shingles, groups_of, marks_of, possible, prefixes, settled, shingle_sets, verified
+from .near_copies import SIZE_BITS, Rule, common_shingles, groups_of, hashed, known, possible, prefixes, settled, verified
 
 #: Three words, nine tenths.
 CLOSE = Rule(3, 9, 10)
@@ -35,17 +35,6 @@ LONGEST = 4
 CANDIDATE, THOUSAND = 4.0, 20.0
 
 
-def members(docs: DataFrame, rule: Rule = CLOSE) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, id, size): the number and size of each row's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_chunks(batches):
-            _, ends, number = shingle_sets(data, offsets, rule.shingle)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(number), pa.array(np.diff(ends))], ["doc_id", "id", "size"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, id long, size long")
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (key, id, size_place) -> the same rows, once each, with the number of sets of their key, if there are two or more."""
     for key, ident, sp in groups_of(batches, 1):
@@ -114,17 +103,18 @@ def _pairs(most: int, rule: Rule) -> Callable:
     return run
 
 
-def components(docs: DataFrame, most: int = 48, tile: int = 2048, rule: Rule = CLOSE) -> DataFrame:
-    """docs(text) -> (a, b): the number of each set that isn't its component's smallest, and that smallest number.
+def components(docs: DataFrame, most: int = 48, tile: int = 2048, rule: Rule = CLOSE) -> tuple[DataFrame, DataFrame]:
+    """docs(text) -> (th, id, size) of each different text, and (a, b): the id of each set that isn't its component's
+    smallest, and that smallest id.
 
     `most`, the sets of an n-gram beyond which it counts as frequent, and `tile` affect speed only.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts, parts = docs.select("text"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = durable(texts.mapInArrow(marks_of(rule, prints=False), "id long, size long, counts binary").dropDuplicates(["id"]))
+    texts, parts = hashed(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen, marks = known(texts, rule, prints=False)
     common = spark.sparkContext.broadcast(common_shingles(texts, rule))
-    rows = texts.mapInArrow(prefixes(common, rule, LONGEST - 1), "key long, id long, size_place long")
+    rows = texts.select("text").mapInArrow(prefixes(common, rule, LONGEST - 1), "key long, id long, size_place long")
     posted = durable(rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_counted, "key long, id long, size_place long, sets long"))
     place = F.col("size_place").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
     size = F.shiftright("size_place", SIZE_BITS)
@@ -136,7 +126,7 @@ def components(docs: DataFrame, most: int = 48, tile: int = 2048, rule: Rule = C
     links = verified(texts, marks, pairs, rule)
     out = settled(texts, marks, links, found.where("other is null").select("key", "id", "size_place"), tile, rule, LONGEST - 1)
     discard(posted)
-    return out
+    return seen.select("th", "id", "size"), out
 
 
 def join(docs: DataFrame, rule: Rule = CLOSE) -> DataFrame:
@@ -146,14 +136,15 @@ def join(docs: DataFrame, rule: Rule = CLOSE) -> DataFrame:
     with nothing, so their component is their own id. Rows of equal texts are linked whatever their ids; a row without an
     id gets its component's smallest id, null if there is none. Repeated rows stay; an empty table gives no rows.
     """
-    up = components(docs, rule=rule)
-    rows = durable(members(docs, rule))
-    some = rows.where("size > 0")
-    sets = some.groupBy("id").agg(F.min("doc_id").alias("least"))  # one row a set
-    placed = sets.join(up.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    of = broadcast_if_small(durable(with_least(placed, "root", "least", "component_id").select("id", "component_id")))
-    linked = some.join(of, "id").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    seen, up = components(docs, rule=rule)
+    rows = hashed(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "th")
+    least = rows.groupBy("th").agg(F.min("doc_id").alias("least"))  # one row a text
+    roots = seen.join(up, seen.id == up.a, "left").select("th", "size", F.coalesce("b", "id").alias("root"))
+    placed = durable(least.join(roots, "th"))
+    of = with_least(placed.where("size > 0"), "root", "least", "component_id").select("th", "size", "component_id")
+    of = of.unionByName(placed.where("size = 0").select("th", "size", F.lit(None).cast("long").alias("component_id")))
+    linked = rows.join(broadcast_if_small(durable(of)), "th")
+    return linked.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 ORACLE = r"""

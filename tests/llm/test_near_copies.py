@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skyweft.llm import near_copies
@@ -53,15 +54,15 @@ def test_components(spark, monkeypatch, most, tile, asked):
     monkeypatch.setattr(near_copies, "ASKED", asked)
     mine = texts()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(mine)], "doc_id long, text string")
-    up = {r.a: r.b for r in near_copies.components(docs, most, tile).collect()}
-    found = {}
-    for r in near_copies.numbered(docs).collect():
-        found.setdefault(up.get(r._set, r._set), set()).add(r.doc_id)
+    seen, links = near_copies.components(docs, most, tile)
+    up, of, found = dict(links.collect()), dict(seen.collect()), {}
+    for r in near_copies.hashed(docs, "doc_id").collect():
+        found.setdefault(up.get(of[r.th], of[r.th]), set()).add(r.doc_id)
     groups, wanted = brute_groups(mine), {}
     for i, t in enumerate(mine):
         wanted.setdefault(groups[brute_set(t)], set()).add(i)
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
-    assert near_copies.components(docs.limit(0)).count() == 0
+    assert [x.count() for x in near_copies.components(docs.limit(0))] == [0, 0]
 
 
 def test_stage_finds_copies_at_similarity(spark):
@@ -84,6 +85,18 @@ def test_stage_keeps_a_row_of_each_group(spark):
     assert Counter(map(tuple, found.collect())) == Counter([(None, b), (5, c), (5, d), (7, a + " end"), (9, "")])
 
 
+def test_stage_leaves_columns_alone(spark):
+    """Columns with the operator's own names, and of a type that can't be hashed, come back as they were."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, a), (3, b), (None, "")], "doc_id long, text string")
+    for name in ("_row", "_th", "_set", "ROOT", "least", "id", "th", "row", "a", "b"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    docs = docs.withColumn("facts", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("two words", F.array(F.struct(F.col("facts"))))
+    found = corpus_pipeline.deduplicated(spark, docs, SF)
+    assert found.schema == docs.schema
+    assert sorted(map(repr, found.collect())) == sorted(repr(r) for r in docs.collect() if r.doc_id != 2)
+
+
 def test_counts_never_rule_out_similar_sets():
     random = np.random.default_rng(9)
     ruled_out = 0
