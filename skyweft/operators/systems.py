@@ -47,6 +47,22 @@ def gaussian_system(out: np.ndarray, inputs: np.ndarray, width: float, target: f
     return overlap(inputs, inputs, width, width), overlap(out, inputs, target, width), float(1 / (4 * np.pi * target**2))
 
 
+def outputs(j: int, i: int, out: np.ndarray, places: np.ndarray, image: np.ndarray, value: np.ndarray, system: tuple, radius: float, kernel: str, kappas: list[float], most_leak: float, most_noise: float) -> pd.DataFrame:
+    """Rows of SCHEMA of a stamp whose system (A, B, C) is known; out, places: of outputs and inputs."""
+    distance = np.sqrt(((out[:, None, :] - places[None, :, :]) ** 2).sum(axis=2))
+    found = kernels.solve(kernel, *system, distance, radius, kappas, most_leak, most_noise)
+    _, image = np.unique(image, return_inverse=True)
+    by_image = np.zeros((len(out), image.max() + 1))
+    np.add.at(by_image.T, image, found.t.T)
+    squares = (by_image**2).sum(axis=1)
+    neff = np.divide(np.abs(by_image).sum(axis=1) ** 2, squares, out=np.zeros(len(out)), where=squares > 0)
+    whole = out.astype(np.int64)
+    return pd.DataFrame({
+        "j_st": j, "i_st": i, "oy": whole[:, 0], "ox": whole[:, 1], "inputs": len(places), "kappa": found.kappa, "sigma": found.sigma,
+        "leakage": found.leakage, "value": found.t @ value, "constant": found.t.sum(axis=1), "neff": neff,
+    })
+
+
 def solve_stamps(pixels: DataFrame, side: int, radius: float, kernel: str, kappas: list[float], width: float = 1.0, target: float = 1.2, most_leak: float = 1e-6, most_noise: float = 0.5) -> DataFrame:
     """pixels(img, py, px, v) -> SCHEMA, a row for every output pixel of every stamp that has pixels of its own.
 
@@ -61,14 +77,7 @@ def solve_stamps(pixels: DataFrame, side: int, radius: float, kernel: str, kappa
         oy, ox = (x.ravel() for x in np.mgrid[j * side : (j + 1) * side, i * side : (i + 1) * side])
         out, inputs = np.stack([oy, ox], axis=1).astype(float), group[["py", "px"]].to_numpy(float)
         a, b, c = gaussian_system(out, inputs, width, target)
-        distance = np.sqrt(((out[:, None, :] - inputs[None, :, :]) ** 2).sum(axis=2))
-        found = kernels.solve(kernel, a, b, c, distance, radius, kappas, most_leak, most_noise)
-        _, image = np.unique(group["img"].to_numpy(), return_inverse=True)
-        by_image = np.zeros((len(out), image.max() + 1))
-        np.add.at(by_image.T, image, found.t.T)
-        squares = (by_image**2).sum(axis=1)
-        neff = np.divide(np.abs(by_image).sum(axis=1) ** 2, squares, out=np.zeros(len(out)), where=squares > 0)
-        return pd.DataFrame({"j_st": j, "i_st": i, "oy": oy, "ox": ox, "inputs": len(inputs), "kappa": found.kappa, "sigma": found.sigma, "leakage": found.leakage, "value": found.t @ group["v"].to_numpy(float), "constant": found.t.sum(axis=1), "neff": neff})
+        return outputs(j, i, out, inputs, group["img"].to_numpy(), group["v"].to_numpy(float), (a, b, c), radius, kernel, kappas, most_leak, most_noise)
 
     own = (F.floor((F.col("py") + 0.5) / side) == F.col("j_st")) & (F.floor((F.col("px") + 0.5) / side) == F.col("i_st"))
     sent = near_stamps(pixels, side, radius).withColumn("own", own)
