@@ -337,8 +337,9 @@ def components(docs: DataFrame, most: int = 16, tile: int = 2048, rule: Rule = N
     rows = texts.select("text").mapInArrow(prefixes(common, rule), "key long, id long, size_place long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = durable(rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_candidates(most, rule), "key long, id long, size_place long, other long"))
-    pairs = _apart(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), roots(near))
-    links = near.union(verified(texts, marks, pairs, rule))
+    up = roots(near)
+    pairs = _apart(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), up)
+    links = up.union(verified(texts, marks, pairs, rule))
     up = settled(texts, marks, links, found.where("other is null").select("key", "id", "size_place"), tile, rule)
     return seen.select("th", "id"), up
 
@@ -376,15 +377,14 @@ def settled(texts: DataFrame, marks: DataFrame, links: DataFrame, hot: DataFrame
     size = F.shiftright("size_place", SIZE_BITS)
     wanted = (placed.key == top.key) & (F.col("root") != F.col("other")) & rule.alike(F.least(size, "wide"), size, F.col("wide"))
     pairs = placed.join(broadcast_if_small(top), wanted).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    links = links.union(verified(texts, marks, pairs, rule))
-    up, placed, keys = _apart_at(hot, links)
+    up, placed, keys = _apart_at(hot, up.union(verified(texts, marks, pairs, rule)))  # stars take fewer rounds than the links they stand for
     if keys.isEmpty():
         return up
     placed = placed.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).join(marks.select("id", "counts"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
     dealt = placed.select("key", F.explode(tiles).alias("tile"), "id", "size_place", "root", "counts").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
-    return roots(links.union(verified(texts, marks, dealt.mapInArrow(_across(rule, before), "a long, b long"), rule)))
+    return roots(up.union(verified(texts, marks, dealt.mapInArrow(_across(rule, before), "a long, b long"), rule)))
 
 
 def _apart(pairs: DataFrame, up: DataFrame) -> DataFrame:
