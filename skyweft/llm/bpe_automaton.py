@@ -20,20 +20,46 @@ Nothing is tried and taken back. Decoding emits arc labels.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenizers import Regex, pre_tokenizers
+
 from .base import small_batches, text_chunks
 
-#: Fixed: the pre-split pattern of this public byte-level vocabulary.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed: the pre-split pattern of this public byte-level vocabulary, with its letters, numbers and spaces left open.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: Code points by blocks, those of no character (surrogates) left out.
+BLOCK = 2048
+BLOCKS = [at for at in range(0, 0x110000, BLOCK) if not 0xD800 <= at < 0xE000]
+
+
+@functools.cache
+def pre_split(wide: bool) -> re.Pattern:
+    """The pre-split with the classes of the installed tokenizers library, read from it block by block.
+
+    Other packages class thousands of code points otherwise. Without `wide` the classes end at U+FFFF, which is
+    much faster and right for texts that hold no character beyond.
+    """
+    classes = {}
+    for name, of in (("L", r"\p{L}+"), ("N", r"\p{N}+"), ("S", r"\s+")):
+        found = pre_tokenizers.Split(Regex(of), "removed", invert=True)
+        spans = [(at + a, at + b - 1) for at in BLOCKS if wide or at < 0x10000 for _, (a, b) in found.pre_tokenize_str("".join(map(chr, range(at, at + BLOCK))))]
+        classes[name] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+    return re.compile(SPLIT.format(**classes))
+
+
+def splitter(text: str) -> re.Pattern:
+    """The pattern that splits this text."""
+    return pre_split(not text.isascii() and re.search("[\U00010000-\U0010ffff]", text) is not None)
 
 
 START = -1
@@ -180,11 +206,12 @@ class Automaton:
             self.words[word] = found
         return found
 
-    def encode(self, text: str, split=regex.compile(SPLIT)) -> bytes:
+    def encode(self, text: str) -> bytes:
         """ids of a text, packed; special tokens in it are tokens."""
+        split = splitter(text)
         if self.special and any(x in text for x in self.special):
             out = []
-            for piece in regex.split("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")", text):
+            for piece in re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text):
                 out.append(np.array([self.special[piece]], "<u4").tobytes() if piece in self.special else self._plain(piece, split))
             return b"".join(out)
         return self._plain(text, split)
