@@ -20,7 +20,7 @@ def test_every_code_point_is_split_as_the_library_does():
     library = Tokenizer.from_file(PATH).pre_tokenizer
     for at in bpe_automaton.BLOCKS:
         for few in range(at, at + bpe_automaton.BLOCK, 64):
-            _same("".join(f"x{c}x 5{c}5 !{c}! {c}  {c} {c}'s\n" for c in map(chr, range(few, few + 64))), library)
+            _same("".join(f"a{c}1{c}!{c} {c}'s" for c in map(chr, range(few, few + 64))), library)
 
 
 def test_random_texts_encode_as_the_library_does():
