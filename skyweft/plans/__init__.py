@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import aggregates, blocks, coadds, codes, interp, maps, more, overlaps, selection, shapes, solve, sphere, spot_systems, texts  # noqa: F401
+from . import aggregates, blocks, coadds, codes, footprints, interp, maps, more, overlaps, selection, shapes, solve, sphere, spot_systems, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 
