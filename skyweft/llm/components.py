@@ -1,17 +1,25 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
 Every round is two grouped minimums and two joins, written to the shared folder; a node with very many links
-has them dealt out by salts. Neither the links nor the components pass through the driver; it sees one row of
-counts a round.
+has them dealt out by salts. Before a round is written, each task replaces the links that it holds by stars of the
+components that they make, so chains that lie together need no rounds. Neither the links nor the components pass
+through the driver; it sees one row of counts a round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import discard, durable
 
+#: Links that a task joins at once; more are joined in turns, which affects the number of rounds only.
+HELD = 1 << 18
+
 
 def with_least(rows: DataFrame, key: str, value: str, name: str = "m") -> DataFrame:
     """rows with the least `value` of their `key`, however many rows one key has.
@@ -37,16 +45,55 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rows.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links -> (member, smallest) for every member of a component but its smallest."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(ids))
+    while True:
+        low = np.minimum(up[x], up[y])
+        new = up.copy()
+        np.minimum.at(new, up[x], low)
+        np.minimum.at(new, up[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == up).all():
+            break
+        up = new
+    some = up != np.arange(len(ids))
+    return ids[some], ids[up[some]]
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a task as stars, HELD or a batch at a time."""
+
+    def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*(np.concatenate(x) for x in zip(*held, strict=True)))], ["a", "b"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        if sum(len(x) for x, _ in held) >= HELD:
+            yield joined(held)
+            held = []
+    if held:
+        yield joined(held)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    return edges.mapInArrow(_held, "a long, b long")
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def roots(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a, b) of long ids -> (a, b): each id that isn't its component's smallest, and that smallest id."""
-    edges = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = durable(_contracted(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()))
     before = _state(edges)
     for _ in range(most_rounds):
-        old, edges = edges, durable(_small_star(_large_star(edges)))
+        old, edges = edges, durable(_contracted(_small_star(_large_star(edges))))
         after = _state(edges)
         discard(old)
         if after == before:
