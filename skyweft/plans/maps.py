@@ -51,9 +51,11 @@ def residual_maps(images: DataFrame) -> DataFrame:
     nodes = nodes.select("img", "j", "i", (F.col("i") * STEP - EDGE).cast("double").alias("u"), (F.col("j") * STEP - EDGE).cast("double").alias("v")).withColumn("du", F.expr(TRUTH))
     basis = [F.expr(f"{b} / {EDGE ** (len(b) // 4 + (b != '1'))}D") for b in BASIS]
     sums = [F.sum(p * q) for k, p in enumerate(basis) for q in basis[k:]] + [F.sum(p * F.col("du")) for p in basis]
-    raw = F.transform(F.sort_array(F.collect_list(F.struct("j", "i", "u", "v", "du"))), lambda x: x)  # NODES squared rows an image
-    totals = nodes.groupBy("img").agg(F.array(*sums).alias("s"), raw.alias("nodes"))
+    raw = F.transform(F.sort_array(F.collect_list(F.struct("j", "i", "du"))), lambda x: x["du"])  # NODES squared rows an image
+    totals = nodes.groupBy("img").agg(F.array(*sums).alias("s"), raw.alias("du"))
     upper = np.triu_indices(len(BASIS))
+    v, u = (g.ravel() * float(STEP) - EDGE for g in np.mgrid[:NODES, :NODES])
+    at_nodes = np.stack([np.ones_like(u), u, v, u * u, u * v, v * v])
 
     def solve(batches):
         for pdf in batches:
@@ -62,12 +64,12 @@ def residual_maps(images: DataFrame) -> DataFrame:
                 m = np.zeros((len(BASIS), len(BASIS)))
                 m[upper] = s[: len(upper[0])]
                 m = m + np.triu(m, 1).T
-                found.append((np.linalg.solve(m, np.asarray(s[len(upper[0]) :])) / [EDGE ** (len(b) // 4 + (b != "1")) for b in BASIS]).tolist())
-            yield pd.DataFrame({"img": pdf["img"], "c": found})
+                found.append(np.linalg.solve(m, np.asarray(s[len(upper[0]) :])) / [EDGE ** (len(b) // 4 + (b != "1")) for b in BASIS])
+            left = [du - c @ at_nodes for du, c in zip(pdf["du"], found, strict=True)]
+            yield pd.DataFrame({"img": pdf["img"], "c": [c.tolist() for c in found], "left": left})
 
-    fit = totals.select("img", "s").mapInPandas(solve, "img long, c array<double>")
-    model = lambda x: sum((F.col("c")[k] * t for k, t in enumerate((F.lit(1.0), x["u"], x["v"], x["u"] * x["u"], x["u"] * x["v"], x["v"] * x["v"]))), F.lit(0.0))
-    left = totals.join(fit, "img").select("img", "c", F.transform("nodes", lambda x: x["du"] - model(x)).alias("left"))
+    # what is left at the nodes goes along with the fit: a join of both by image would broadcast all nodes
+    left = totals.mapInPandas(solve, "img long, c array<double>, left array<double>")
     return left.select("img", "c", D.padded(F.col("left"), NODES).alias("map"))
 
 
@@ -80,7 +82,7 @@ select k, round(2e-3 * u * u - 1e-3 * u * v + (0.01 + c3 * slope) * u, 6) fitted
 def distortion_residuals(read):
     """A cubic distortion by a quadratic fit and a map of what it leaves, looked up between nodes and beyond the edge."""
     p = read("orders").select(F.expr("o_orderkey div 256").alias("img"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919 % 720 / 10.0 - 36).alias("u"), (F.col("o_custkey") * 104729 % 720 / 10.0 - 36).alias("v"))
-    found = p.join(residual_maps(p.select("img").distinct()), "img")
+    found = p.join(residual_maps(p.select("img").distinct()).hint("merge"), "img")  # as many maps as images: never broadcast
     fitted = F.expr("c[0] + c[1] * u + c[2] * v + c[3] * u * u + c[4] * u * v + c[5] * v * v")
     place = lambda c: (F.col(c) + EDGE) / STEP + 1
     residual = D.bilinear(F.col("map"), NODES + 2, place("v"), place("u"))
