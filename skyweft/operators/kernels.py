@@ -91,6 +91,22 @@ def eigen_bisected(a: np.ndarray, b: np.ndarray, c: float, low: float, high: flo
     return Solution(weight @ np.swapaxes(vectors, -1, -2), kappa, sigma, leakage)
 
 
+def _node_weights(system: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Weights of the nodes; rank may be short where their solutions nearly agree: the least-norm weights then.
+
+    Two nodes by their determinant: it keeps the digits that eigenvalues far apart lose.
+    """
+    if system.shape[-1] != 2:
+        return (np.linalg.pinv(system, rcond=1e-13, hermitian=True) @ d[..., None])[..., 0]
+    p, q, r = system[..., 0, 0], system[..., 0, 1], system[..., 1, 1]
+    det = p * r - q * q
+    whole = np.abs(det) > 1e-13 * (p + r) ** 2
+    w = np.stack([r * d[..., 0] - q * d[..., 1], p * d[..., 1] - q * d[..., 0]], axis=-1) / np.where(whole, det, 1)[..., None]
+    if not whole.all():
+        w[~whole] = (np.linalg.pinv(system[~whole], rcond=1e-13, hermitian=True) @ d[~whole][..., None])[..., 0]
+    return w
+
+
 def _between_nodes(nodes_t: np.ndarray, a: np.ndarray, b: np.ndarray, c: float, kappas: np.ndarray, target: float, most: float, exact: bool) -> Solution:
     """Weights within the span of the nodes' solutions, kappa of every output bracketed by the nodes and bisected.
 
@@ -113,9 +129,7 @@ def _between_nodes(nodes_t: np.ndarray, a: np.ndarray, b: np.ndarray, c: float,
         going &= (leakage > target) & (noise[..., node, node] < most)
     kappa, factor = np.sqrt(kappas[at] * kappas[at + 1]), (kappas[at + 1] / kappas[at]) ** 0.25
     for _ in range(12):
-        # rank may be short where nodes' solutions nearly agree: the least-norm weights then
-        system = signal + kappa[..., None, None] * noise
-        w = (np.linalg.pinv(system, rcond=1e-13, hermitian=True) @ d[..., None])[..., 0]
+        w = _node_weights(signal + kappa[..., None, None] * noise, d)
         sigma = _overlap((noise @ w[..., None])[..., 0], w)
         leakage = 1 - kappa * sigma - _overlap(d, w)
         kappa = kappa * np.where((leakage > target) & (sigma < most), 1 / factor, factor)
