@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import copies
 from .registry import long, query, r6
 
 SKY = "sky as (select c_custkey as obsid, c_nationkey as filter, 53.0 + (c_custkey * 37 % 4000) / 1000.0::double - 2 as ra, -40.0 + (c_custkey * 91 % 4000) / 1000.0::double - 2 as dec, (c_custkey * 17 % 360)::double as pa from customer)"
@@ -94,10 +95,11 @@ v as (select id, p, cos(dec) * cos(ra) x, cos(dec) * sin(ra) y, sin(dec) z from
 @query(f"""with {CAPS} select a.id id_a, b.id id_b, round(2 * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2, 6) chord2 from v a join v b on a.id < b.id
 and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < 2 * (a.p + b.p - a.p * b.p + sqrt(a.p * b.p * (2 - a.p) * (2 - b.p)))""")
 def sphere_overlap(read):
-    """Pairs of overlapping caps: unit vectors meet by cells no smaller than two of the largest caps' reach."""
+    """Pairs of overlapping caps: unit vectors meet by cells no smaller than two of the largest caps' reach, equal caps as one."""
     k = F.col("c_custkey")
     ra, dec = F.radians(k * 37 % 3600 / 10.0), F.radians(k * 91 % 1700 / 10.0 - 85)
-    v = read("customer").select(k.alias("id"), (1 - F.cos(F.radians(0.5 + k % 4))).alias("p"), (F.cos(dec) * F.cos(ra)).alias("x"), (F.cos(dec) * F.sin(ra)).alias("y"), F.sin(dec).alias("z"))
+    caps = read("customer").select(k.alias("id"), (1 - F.cos(F.radians(0.5 + k % 4))).alias("p"), (F.cos(dec) * F.cos(ra)).alias("x"), (F.cos(dec) * F.sin(ra)).alias("y"), F.sin(dec).alias("z"))
+    v = copies.kinds(caps)
     cell = 0.125
     cells = [F.floor(F.col(c) / cell).alias(f"c{c}") for c in "xyz"]
     home = v.select("*", *cells)
@@ -105,10 +107,11 @@ def sphere_overlap(read):
     sent = home
     for c in "xyz":
         sent = sent.withColumn(f"d{c}", F.explode(around)).withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"d{c}"))
-    sent = sent.select("cx", "cy", "cz", *[F.col(c).alias(f"{c}_b") for c in ("id", "p", "x", "y", "z")])
+    sent = sent.select("cx", "cy", "cz", *[F.col(c).alias(f"{c}_b") for c in ("ids", "p", "x", "y", "z")])
     chord = F.expr("(x - x_b) * (x - x_b) + (y - y_b) * (y - y_b) + (z - z_b) * (z - z_b)")
-    pairs = home.join(sent, ["cx", "cy", "cz"]).where("id < id_b").withColumn("chord2", chord)
-    return pairs.where("chord2 < 2 * (p + p_b - p * p_b + sqrt(p * p_b * (2 - p) * (2 - p_b)))").select(F.col("id").alias("id_a"), "id_b", r6("chord2", "chord2"))
+    pairs = home.join(sent.hint("merge"), ["cx", "cy", "cz"]).where(copies.some_rise("ids", "ids_b")).withColumn("chord2", chord)
+    met = pairs.where("chord2 < 2 * (p + p_b - p * p_b + sqrt(p * p_b * (2 - p) * (2 - p_b)))").select("ids", "ids_b", r6("chord2", "chord2"))
+    return copies.members(met, "ids", "ids_b", "chord2")
 
 
 @query("""with o as (select o_orderkey, (o_custkey % 400) / 10.0::double x, (o_orderkey % 300) / 10.0::double y from orders)
