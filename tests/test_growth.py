@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyweft import plans
+from skyweft.operators import copies
 from skyweft.operators import kernels as K
 from skyweft.operators import lags as L
 
@@ -56,3 +57,38 @@ def test_two_nodes_keep_their_digits():
     assert round(float(found.t[0, 1]), 6) == 0.57346
     same = K.cholesky_nodes(a, np.zeros((1, 2)), 1.25, [1e-3, 0.1], 0.3, 0.45)
     assert not same.t.any() and np.isfinite(same.leakage).all()
+
+
+@pytest.mark.parametrize("name", ["sphere_overlap", "overlap_fractions", "overlap_pixels"])
+def test_copies_are_met_as_one(spark, name, tmp_path):
+    """All pairs of copies are told, but no join makes more rows than the kinds have pairs."""
+    one = spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey < 40")
+    one.write.parquet(f"{tmp_path}/1/customer.parquet")
+    copied = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("c_custkey", F.col("c_custkey") + F.col("k") * 61200).drop("k")
+    copied.write.parquet(f"{tmp_path}/12/customer.parquet")
+    few, many = (plans.queries()[name](spark, f"{tmp_path}/{c}").collect() for c in (1, 12))
+    met = {(r.id_a, r.id_b): tuple(r)[2:] for r in few}
+    wanted = sum(1 for a in range(40 * 12) for b in range(a % 40, 40 * 12, 40) if a < b) + 144 * len(met)
+    assert len({(r.id_a, r.id_b) for r in many}) == len(many) == wanted
+    assert all(met[pair] == tuple(r)[2:] for r in many if (pair := (r.id_a % 61200, r.id_b % 61200)) in met and r.id_a < r.id_b and r.id_a % 61200 < r.id_b % 61200)
+    frame = plans.queries()[name](spark, f"{tmp_path}/12")
+    assert "ids" in _plan(frame) and "BroadcastHashJoin" not in _plan(frame)
+
+
+def test_large_kinds_go_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(copies, "PIECE", 3)
+    rows = spark.createDataFrame([(i, i % 2) for i in range(20)], "id long, v int")
+    found = copies.kinds(rows)
+    assert sorted(len(r.ids) for r in found.collect()) == [1, 1, 3, 3, 3, 3, 3, 3]
+    both = found.select("v", "ids").crossJoin(found.select(F.col("v").alias("w"), F.col("ids").alias("others"))).where("v = w").where(copies.some_rise("ids", "others"))
+    pairs = [(r.id_a, r.id_b) for r in copies.members(both, "ids", "others").collect()]
+    assert sorted(pairs) == [(a, b) for a in range(20) for b in range(a + 2, 20, 2)]
+
+
+def test_circles_about_one_place_are_one(spark, tmp_path):
+    """A hundred suppliers at one place, of five radii, and customers of one place are looked up once."""
+    spark.range(100).selectExpr("id * 1000 + id % 5 * 5000 + 7 as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(60).selectExpr("id * 997000 + 11 as c_custkey").union(spark.range(60).selectExpr("id as c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    frame = plans.queries()["mask_caps"](spark, str(tmp_path))
+    assert frame.count() == 120
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
