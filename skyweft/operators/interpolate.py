@@ -25,6 +25,8 @@ ODD = (
     (-4.336085507644610966e-04, 1.537862263741893339e-02, -1.925091434770601628e-01, 8.993141455798455697e-01, -1.213035309579723942e00),
 )
 TAPS, BEFORE = 10, 4
+#: Taps that are held at once.
+MOST_TAPS = 1 << 20
 
 
 def tap_weights(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +43,11 @@ def _inside(whole: np.ndarray, size: int) -> np.ndarray:
 
 
 def scattered(cube: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """cube (n, ny, nx) at places y, x (n, p); zero where the ten by ten taps don't lie in the cube."""
+    """cube (n, ny, nx) at places y, x (n, p); zero where the ten by ten taps don't lie in the cube. So many stamps at a time that
+    their taps take little memory, however large a batch is."""
+    piece = max(1, MOST_TAPS // max(1, y.shape[-1] * TAPS * TAPS))
+    if len(cube) > piece:
+        return np.concatenate([scattered(*(a[i : i + piece] for a in (cube, y, x))) for i in range(0, len(cube), piece)])
     (yi, wy), (xi, wx) = tap_weights(y), tap_weights(x)
     good = _inside(yi, cube.shape[1]) & _inside(xi, cube.shape[2])
     step = np.arange(TAPS) - BEFORE

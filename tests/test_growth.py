@@ -1,13 +1,17 @@
 """What must not grow: broadcasts of tables that follow the input, rows of copies, memory of a batch."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skyweft import plans
-from skyweft.operators import copies
+from skyweft.operators import copies, fourier, spots
+from skyweft.operators import interpolate as I
 from skyweft.operators import kernels as K
 from skyweft.operators import lags as L
+from skyweft.plans import solve, spot_systems
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +96,37 @@ def test_circles_about_one_place_are_one(spark, tmp_path):
     frame = plans.queries()["mask_caps"](spark, str(tmp_path))
     assert frame.count() == 120
     assert frame._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
+
+
+def test_taps_of_a_batch_take_little_memory():
+    """Ten thousand stamps, which a batch of Arrow may have: their taps alone are 512 MB."""
+    random = np.random.default_rng(7)
+    cube, (y, x) = random.normal(size=(10000, 20, 20)), random.uniform(3, 16, (2, 10000, 64))
+    tracemalloc.start()
+    found = I.scattered(cube, y, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    some = [0, 163, 164, 9999]
+    for n in some:
+        assert found[n] == pytest.approx(I.scattered(cube[n : n + 1], y[n : n + 1], x[n : n + 1])[0], abs=1e-12)
+
+
+def test_stamps_are_sent_planes_not_correlations(spark):
+    read = lambda table: spark.read.parquet(f"{SF}/{table}.parquet")
+    pixels, found = solve.mosaic(read), spot_systems.planes(read)
+    rows = spots.stamp_systems(pixels, found, solve.SIDE, solve.RADIUS)
+    assert rows.columns == ["j_st", "i_st", "inputs", "spots"]
+    planes = np.random.default_rng(9).normal(size=(5, 8, 8))
+    for (i, j), lags in zip(zip(*np.triu_indices(5)), fourier.correlations(planes, 7), strict=True):
+        assert lags == pytest.approx(fourier.correlate(planes[i : i + 1], planes[j : j + 1], 7)[0], abs=1e-12)
+
+
+def test_stamps_are_solved_many_at_a_time(spark):
+    """No task is called once a stamp, and stamps without pixels of their own don't reach one."""
+    read = lambda table: spark.read.parquet(f"{SF}/{table}.parquet")
+    frame = plans.queries()["mosaic_empirical"](spark, SF)
+    assert "FlatMapGroupsInPandas" not in _plan(frame)
+    side = solve.SIDE
+    own = {(int((r.py + 0.5) // side), int((r.px + 0.5) // side)) for r in solve.mosaic(read).collect()}
+    assert {(r.oy // side, r.ox // side) for r in frame.collect()} == own
