@@ -21,6 +21,16 @@ def correlate(first: np.ndarray, second: np.ndarray, reach: int) -> np.ndarray:
     return whole[:, lags[:, None], lags[None, :]]
 
 
+def correlations(stamps: np.ndarray, reach: int) -> np.ndarray:
+    """correlate() of each stamp with itself and all later ones, in the order of np.triu_indices; each is transformed once."""
+    size = 2 * stamps.shape[1], 2 * stamps.shape[2]
+    modes = np.fft.rfft2(stamps, size)
+    first, second = np.triu_indices(len(stamps))
+    whole = np.fft.irfft2(np.conj(modes[first]) * modes[second], size)
+    lags = np.arange(-reach, reach + 1)
+    return whole[:, lags[:, None], lags[None, :]]
+
+
 def autocorrelation(stamps: DataFrame, name: str, pixels: str, side: int, reach: int) -> DataFrame:
     """(name, dy, dx, overlap) of every stamp of side x side pixels in an array column.
 

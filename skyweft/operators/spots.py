@@ -2,8 +2,9 @@
 
 A group is two by two stamps. Each exposure that has pixels in a group has one plane there: its spot, sampled on the
 mosaic's grid under the exposure's own map near the group's centre. Planes are keyed by (group, exposure) and made once,
-however many stamps look them up. Planes that meet at a stamp are correlated once a pair, and a stamp's matrices are
-those correlations at the separations of its pixels. What a stamp holds is bounded by geometry and depth.
+however many stamps look them up. A stamp correlates the planes that meet there, each transformed once, and its matrices
+are those correlations at the separations of its pixels: planes are shuffled, not their far more numerous correlations.
+What a stamp holds is bounded by geometry and depth.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from . import interpolate as I
 #: Pixels of a plane's side, zeros around it for ten taps, and the largest lag of a correlation.
 SIDE, PAD, REACH = 8, 6, 7
 MIDDLE = (SIDE - 1) / 2
+#: Planes that a task works on at once.
+PIECE = 1024
 Map = Callable[[Column, Column], tuple[Column, Column]]
 
 
@@ -65,8 +68,9 @@ def planes(pixels: DataFrame, spots: DataFrame, side: int, mapped: Map, linear:
     rows = used.join(spots, "img").select("gj", "gi", "img", "spot", ys.alias("ys"), xs.alias("xs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
+        for whole in batches:
+            for start in range(0, len(whole), PIECE):
+                pdf = whole[start : start + PIECE]
                 y, x = (np.stack(pdf[c].to_numpy()) + MIDDLE + PAD for c in ("ys", "xs"))
                 yield pdf[["gj", "gi", "img"]].assign(plane=list(I.scattered(I.cubes(pdf["spot"], SIDE, PAD), y, x)))
 
@@ -88,8 +92,9 @@ def correlations(found: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
+        for whole in batches:
+            for start in range(0, len(whole), PIECE):
+                pdf = whole[start : start + PIECE]
                 lags = fourier.correlate(*(I.cubes(pdf[f"plane_{e}"], SIDE, 0) for e in "ab"), REACH)
                 yield pdf[[f"{e}_{k}" for e in "ab" for k in KEY]].assign(lags=list(lags.reshape(len(pdf), -1)))
 
@@ -126,9 +131,9 @@ def assembled(spot: np.ndarray, y: np.ndarray, x: np.ndarray, between: dict, own
 
 
 def stamp_systems(pixels: DataFrame, found: DataFrame, side: int, radius: float) -> DataFrame:
-    """A row a stamp: its inputs, the planes they look up, and the correlations of those, each made once.
+    """A row a stamp: its inputs and the planes they look up.
 
-    pixels(img, py, px, v), found: planes. -> (j_st, i_st, inputs array<struct>, spots array<struct>, pairs array<struct>)
+    pixels(img, py, px, v), found: planes. -> (j_st, i_st, inputs array<struct>, spots array<struct>)
     """
     sent = systems.near_stamps(with_group(pixels, side), side, radius).join(found.select(*KEY), list(KEY), "left_semi")
     own = (stamp_of("py", side) == F.col("j_st")) & (stamp_of("px", side) == F.col("i_st"))
@@ -136,9 +141,7 @@ def stamp_systems(pixels: DataFrame, found: DataFrame, side: int, radius: float)
     keyed = found.select(F.struct(*KEY).alias("spot"), "plane")
     used = met(pixels, side, radius).join(keyed.select("spot"), "spot", "left_semi")
     spots = used.join(keyed, "spot").groupBy("j_st", "i_st").agg(F.sort_array(F.collect_list(F.struct("spot", "plane"))).alias("spots"))
-    pairs = used.withColumnRenamed("spot", "a").join(used.withColumnRenamed("spot", "b"), ["j_st", "i_st"]).where("a <= b")
-    lags = pairs.join(correlations(found, pairs), ["a", "b"]).groupBy("j_st", "i_st").agg(F.collect_list(F.struct("a", "b", "lags")).alias("pairs"))
-    return inputs.join(spots, ["j_st", "i_st"]).join(lags, ["j_st", "i_st"])
+    return inputs.join(spots, ["j_st", "i_st"])
 
 
 def matrices(row, side: int, target: np.ndarray) -> tuple:
@@ -146,7 +149,7 @@ def matrices(row, side: int, target: np.ndarray) -> tuple:
     number = {tuple(s["spot"][k] for k in KEY): n for n, s in enumerate(row.spots)}
     own = np.stack([np.asarray(s["plane"]).reshape(SIDE, SIDE) for s in row.spots])
     key = lambda s: number[tuple(s[k] for k in KEY)]
-    between = {(key(p["a"]), key(p["b"])): np.asarray(p["lags"]).reshape(2 * REACH + 1, -1) for p in row.pairs}
+    between = dict(zip(zip(*np.triu_indices(len(own)), strict=True), fourier.correlations(own, REACH), strict=True))
     y, x = (np.array([p[c] for p in row.inputs]) for c in ("py", "px"))
     out = np.stack([g.ravel() for g in np.mgrid[row.j_st * side : (row.j_st + 1) * side, row.i_st * side : (row.i_st + 1) * side]], axis=1).astype(float)
     return *assembled(np.array([key(p) for p in row.inputs]), y, x, between, own, out, target), out, np.stack([y, x], axis=1)
@@ -156,12 +159,15 @@ def solve_stamps(pixels: DataFrame, found: DataFrame, side: int, radius: float,
     """pixels(img, py, px, v), found: planes -> systems.SCHEMA, a row for every output of every stamp with pixels of its own."""
     plane = target_plane(target)
 
+    def solved(rows) -> Iterator[dict[str, np.ndarray]]:
+        for row in rows:
+            if any(p["own"] for p in row.inputs):
+                a, b, c, out, places = matrices(row, side, plane)
+                image, value = (np.array([p[k] for p in row.inputs]) for k in ("img", "v"))
+                yield systems.outputs(row.j_st, row.i_st, out, places, image, value, (a, b, c), radius, kernel, kappas, most_leak, most_noise)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if any(p["own"] for p in row.inputs):
-                    a, b, c, out, places = matrices(row, side, plane)
-                    image, value = (np.array([p[k] for p in row.inputs]) for k in ("img", "v"))
-                    yield systems.outputs(row.j_st, row.i_st, out, places, image, value, (a, b, c), radius, kernel, kappas, most_leak, most_noise)
+            yield from systems.tables(solved(pdf.itertuples(index=False)))
 
     return stamp_systems(pixels, found, side, radius).mapInPandas(run, systems.SCHEMA)

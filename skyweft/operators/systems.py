@@ -5,6 +5,9 @@ A stamp's inputs lie within a radius of it, so the size of a system is bounded b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,8 +50,8 @@ def gaussian_system(out: np.ndarray, inputs: np.ndarray, width: float, target: f
     return overlap(inputs, inputs, width, width), overlap(out, inputs, target, width), float(1 / (4 * np.pi * target**2))
 
 
-def outputs(j: int, i: int, out: np.ndarray, places: np.ndarray, image: np.ndarray, value: np.ndarray, system: tuple, radius: float, kernel: str, kappas: list[float], most_leak: float, most_noise: float) -> pd.DataFrame:
-    """Rows of SCHEMA of a stamp whose system (A, B, C) is known; out, places: of outputs and inputs."""
+def outputs(j: int, i: int, out: np.ndarray, places: np.ndarray, image: np.ndarray, value: np.ndarray, system: tuple, radius: float, kernel: str, kappas: list[float], most_leak: float, most_noise: float) -> dict[str, np.ndarray]:
+    """Columns of SCHEMA of a stamp whose system (A, B, C) is known; out, places: of outputs and inputs."""
     distance = np.sqrt(((out[:, None, :] - places[None, :, :]) ** 2).sum(axis=2))
     found = kernels.solve(kernel, *system, distance, radius, kappas, most_leak, most_noise)
     _, image = np.unique(image, return_inverse=True)
@@ -57,10 +60,17 @@ def outputs(j: int, i: int, out: np.ndarray, places: np.ndarray, image: np.ndarr
     squares = (by_image**2).sum(axis=1)
     neff = np.divide(np.abs(by_image).sum(axis=1) ** 2, squares, out=np.zeros(len(out)), where=squares > 0)
     whole = out.astype(np.int64)
-    return pd.DataFrame({
-        "j_st": j, "i_st": i, "oy": whole[:, 0], "ox": whole[:, 1], "inputs": len(places), "kappa": found.kappa, "sigma": found.sigma,
+    return {
+        "j_st": np.full(len(out), j), "i_st": np.full(len(out), i), "oy": whole[:, 0], "ox": whole[:, 1], "inputs": np.full(len(out), len(places)), "kappa": found.kappa, "sigma": found.sigma,
         "leakage": found.leakage, "value": found.t @ value, "constant": found.t.sum(axis=1), "neff": neff,
-    })
+    }
+
+
+def tables(stamps: Iterator[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """Tables of many stamps each, from the columns of single ones."""
+    stamps = iter(stamps)
+    while some := list(islice(stamps, 256)):
+        yield pd.DataFrame({c: np.concatenate([s[c] for s in some]) for c in some[0]})
 
 
 def solve_stamps(pixels: DataFrame, side: int, radius: float, kernel: str, kappas: list[float], width: float = 1.0, target: float = 1.2, most_leak: float = 1e-6, most_noise: float = 0.5) -> DataFrame:
@@ -69,16 +79,19 @@ def solve_stamps(pixels: DataFrame, side: int, radius: float, kernel: str, kappa
     value and constant are the image and a layer of ones under the same weights; neff is the effective coverage.
     """
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        j, i = key
-        if not group["own"].any():
-            return pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        group = group.sort_values(["img", "py", "px"], kind="stable")
-        oy, ox = (x.ravel() for x in np.mgrid[j * side : (j + 1) * side, i * side : (i + 1) * side])
-        out, inputs = np.stack([oy, ox], axis=1).astype(float), group[["py", "px"]].to_numpy(float)
-        a, b, c = gaussian_system(out, inputs, width, target)
-        return outputs(j, i, out, inputs, group["img"].to_numpy(), group["v"].to_numpy(float), (a, b, c), radius, kernel, kappas, most_leak, most_noise)
+    oy, ox = (x.ravel() for x in np.mgrid[:side, :side])
+
+    def solved(rows) -> Iterator[dict[str, np.ndarray]]:
+        for row in rows:
+            out, inputs = np.stack([row.j_st * side + oy, row.i_st * side + ox], axis=1).astype(float), np.stack([row.py, row.px], axis=1).astype(float)
+            a, b, c = gaussian_system(out, inputs, width, target)
+            yield outputs(row.j_st, row.i_st, out, inputs, row.img, np.asarray(row.v, float), (a, b, c), radius, kernel, kappas, most_leak, most_noise)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield from tables(solved(pdf.itertuples(index=False)))
 
     own = (F.floor((F.col("py") + 0.5) / side) == F.col("j_st")) & (F.floor((F.col("px") + 0.5) / side) == F.col("i_st"))
-    sent = near_stamps(pixels, side, radius).withColumn("own", own)
-    return sent.groupBy("j_st", "i_st").applyInPandas(run, SCHEMA)
+    # a row a stamp, so that a task takes many stamps at a time; stamps without pixels of their own don't reach it
+    lists = near_stamps(pixels, side, radius).groupBy("j_st", "i_st").agg(F.bool_or(own).alias("own"), F.sort_array(F.collect_list(F.struct("img", "py", "px", "v"))).alias("inputs"))
+    return lists.where("own").select("j_st", "i_st", *[F.col(f"inputs.{c}").alias(c) for c in ("img", "py", "px", "v")]).mapInPandas(run, SCHEMA)
