@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .base import broadcast_if_small, discard, durable, free_name, hashed_words, small_batches, text_chunks
+from .base import broadcast_if_small, discard, durable, free_name, hashed_words, merged, parts_for, small_batches, text_chunks
 from .components import roots
 
 
@@ -249,10 +249,11 @@ def marks_of(rule: Rule, prints: bool = True) -> Callable:
     return run
 
 
-def known(texts: DataFrame, rule: Rule, prints: bool = True) -> tuple[DataFrame, DataFrame]:
+def known(texts: DataFrame, rule: Rule, prints: bool = True, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(th, id, size, ...) of each different text, and the same of one text of each set; both durable."""
-    seen = durable(texts.mapInArrow(marks_of(rule, prints), "th long, id long, size long, counts binary, fp long").dropDuplicates(["th"]))
-    return seen, durable(seen.dropDuplicates(["id"]))
+    seen = texts.mapInArrow(marks_of(rule, prints), "th long, id long, size long, counts binary, fp long").dropDuplicates(["th"])
+    seen = durable(merged(seen, parts))
+    return seen, durable(merged(seen.dropDuplicates(["id"]), parts))
 
 
 def _sift(rule: Rule) -> Callable:
@@ -294,21 +295,22 @@ def _sets(rule: Rule) -> Callable:
     return run
 
 
-def _ends(table: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+def _ends(table: DataFrame, pairs: DataFrame, *columns: str, parts: int | None) -> DataFrame:
     """pairs (a, b) with `columns` of either end, of a table with one row an id."""
     left = table.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
     right = table.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    return pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
+    met = merged(merged(pairs.join(left, "a"), parts).join(right, "b"), parts)
+    return met.select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
 
 
-def verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+def verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame, rule: Rule, parts: int | None = None) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. Sets are made of the texts that marks name for them."""
-    sifted = durable(_ends(marks, pairs.distinct(), "size", "counts").mapInArrow(_sift(rule), "a long, b long"))
-    asked = sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct()
-    asked = durable(marks.join(asked, "id").select("th"))
+    sifted = durable(_ends(marks, merged(pairs.distinct(), parts), "size", "counts", parts=parts).mapInArrow(_sift(rule), "a long, b long"))
+    asked = sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct().transform(merged, parts)
+    asked = durable(merged(marks.join(asked, "id").select("th"), parts))
     found = texts.join(broadcast_if_small(asked, ASKED), "th", "left_semi").select("text").mapInArrow(_sets(rule), "id long, codes binary")
-    sets = durable(found.dropDuplicates(["id"]))
-    out = durable(_ends(sets, sifted, "codes").mapInArrow(_verify(rule), "a long, b long"))
+    sets = durable(merged(found.dropDuplicates(["id"]), parts))
+    out = durable(_ends(sets, sifted, "codes", parts=parts).mapInArrow(_verify(rule), "a long, b long"))
     discard(sets, sifted, asked)
     return out
 
@@ -331,16 +333,17 @@ def components(docs: DataFrame, most: int = 16, tile: int = 2048, rule: Rule = N
     spark = docs.sparkSession
     small_batches(spark)
     texts = hashed(docs)
-    seen, marks = known(texts, rule)
-    near = verified(texts, marks, _by_fingerprint(marks), rule)
+    few = parts_for(docs)
+    seen, marks = known(texts, rule, parts=few)
+    near = verified(texts, marks, _by_fingerprint(marks), rule, few)
     common = spark.sparkContext.broadcast(common_shingles(texts, rule))
     rows = texts.select("text").mapInArrow(prefixes(common, rule), "key long, id long, size_place long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = durable(rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_candidates(most, rule), "key long, id long, size_place long, other long"))
-    up = roots(near)
-    pairs = _apart(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), up)
-    links = up.union(verified(texts, marks, pairs, rule))
-    up = settled(texts, marks, links, found.where("other is null").select("key", "id", "size_place"), tile, rule)
+    found = durable(merged(rows.repartition(parts, "key").sortWithinPartitions("key", "id"), few).mapInArrow(_candidates(most, rule), "key long, id long, size_place long, other long"))
+    up = roots(near, parts=few)
+    pairs = _apart(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct().transform(merged, few), up, few)
+    links = up.union(verified(texts, marks, pairs, rule, few))
+    up = settled(texts, marks, links, found.where("other is null").select("key", "id", "size_place"), tile, rule, parts=few)
     return seen.select("th", "id"), up
 
 
@@ -348,50 +351,50 @@ def components(docs: DataFrame, most: int = 16, tile: int = 2048, rule: Rule = N
 CENTRES = 4
 
 
-def _apart_at(hot: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _apart_at(hot: DataFrame, links: DataFrame, parts: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Components of the links, hot rows of the keys whose sets are in several (with their root), and (key, n) of those keys."""
-    up = roots(links)
+    up = roots(links, parts=parts)
     placed = hot.join(up.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("key", "id", "size_place", F.coalesce("root", "id").alias("root"))
-    placed = durable(placed)
+    placed = durable(merged(placed, parts))
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    keys = durable(mixed.select("key", "n"))
-    return up, placed.join(broadcast_if_small(keys), "key"), keys
+    keys = durable(merged(mixed.select("key", "n"), parts))
+    return up, merged(placed.join(broadcast_if_small(keys), "key"), parts), keys
 
 
-def settled(texts: DataFrame, marks: DataFrame, links: DataFrame, hot: DataFrame, tile: int, rule: Rule, before: int = 0) -> DataFrame:
+def settled(texts: DataFrame, marks: DataFrame, links: DataFrame, hot: DataFrame, tile: int, rule: Rule, before: int = 0, parts: int | None = None) -> DataFrame:
     """Components of links and of what is alike among the sets (key, id, size_place) that share a frequent shingle.
 
     Sets are first compared with a few centres of each shingle, which share most frequent shingles with other sets, and
     then in tiles of bounded size, but for those that are in one component by then. `before`: how many shingles two sets
-    may share, in the common order, before the first frequent one without being linked yet.
+    may share, in the common order, before the first frequent one without being linked yet. `parts`: see parts_for.
     """
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    up, placed, keys = _apart_at(hot, links)
+    dealt_in = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    up, placed, keys = _apart_at(hot, links, parts)
     if keys.isEmpty():
         return up
-    central = placed.groupBy("id").agg(F.sum("n").alias("weight"))
+    central = merged(placed.groupBy("id").agg(F.sum("n").alias("weight")), parts)
     by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
-    top = placed.join(central, "id").withColumn("nth", F.row_number().over(by_weight)).where(F.col("nth") <= CENTRES)
-    top = durable(top.select("key", F.col("id").alias("centre"), F.col("root").alias("other"), F.shiftright("size_place", SIZE_BITS).alias("wide")))
+    top = merged(placed.join(central, "id"), parts).withColumn("nth", F.row_number().over(by_weight)).where(F.col("nth") <= CENTRES)
+    top = durable(merged(top.select("key", F.col("id").alias("centre"), F.col("root").alias("other"), F.shiftright("size_place", SIZE_BITS).alias("wide")), parts))
     size = F.shiftright("size_place", SIZE_BITS)
     wanted = (placed.key == top.key) & (F.col("root") != F.col("other")) & rule.alike(F.least(size, "wide"), size, F.col("wide"))
     pairs = placed.join(broadcast_if_small(top), wanted).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    up, placed, keys = _apart_at(hot, up.union(verified(texts, marks, pairs, rule)))  # stars take fewer rounds than the links they stand for
+    up, placed, keys = _apart_at(hot, up.union(verified(texts, marks, pairs, rule, parts)), parts)  # stars take fewer rounds than the links they stand for
     if keys.isEmpty():
         return up
-    placed = placed.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).join(marks.select("id", "counts"), "id")
+    placed = placed.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).join(marks.select("id", "counts"), "id").transform(merged, parts)
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
-    dealt = placed.select("key", F.explode(tiles).alias("tile"), "id", "size_place", "root", "counts").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
-    return roots(up.union(verified(texts, marks, dealt.mapInArrow(_across(rule, before), "a long, b long"), rule)))
+    dealt = placed.select("key", F.explode(tiles).alias("tile"), "id", "size_place", "root", "counts").repartition(dealt_in, "key", "tile").sortWithinPartitions("key", "tile")
+    pairs = merged(dealt, parts).mapInArrow(_across(rule, before), "a long, b long")
+    return roots(up.union(verified(texts, marks, pairs, rule, parts)), parts=parts)
 
 
-def _apart(pairs: DataFrame, up: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, up: DataFrame, parts: int | None) -> DataFrame:
     """The pairs whose ends aren't in one component yet."""
     for end in ("a", "b"):
         root = up.select(F.col("a").alias(end), F.col("b").alias(f"_{end}"))
-        pairs = pairs.join(root, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+        pairs = merged(pairs.join(root, end, "left"), parts).withColumn(f"_{end}", F.coalesce(f"_{end}", end))
     return pairs.where("_a <> _b").select("a", "b")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import broadcast_if_small, discard, durable, small_batches
+from .base import broadcast_if_small, discard, durable, merged, parts_for, small_batches
 from .components import with_least
 from .near_copies import SIZE_BITS, Rule, common_shingles, groups_of, hashed, known, possible, prefixes, settled, verified
 
@@ -112,19 +112,20 @@ def components(docs: DataFrame, most: int = 48, tile: int = 2048, rule: Rule = C
     spark = docs.sparkSession
     small_batches(spark)
     texts, parts = hashed(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen, marks = known(texts, rule, prints=False)
+    few = parts_for(docs)
+    seen, marks = known(texts, rule, prints=False, parts=few)
     common = spark.sparkContext.broadcast(common_shingles(texts, rule))
     rows = texts.select("text").mapInArrow(prefixes(common, rule, LONGEST - 1), "key long, id long, size_place long")
-    posted = durable(rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_counted, "key long, id long, size_place long, sets long"))
+    posted = durable(merged(rows.repartition(parts, "key").sortWithinPartitions("key", "id"), few).mapInArrow(_counted, "key long, id long, size_place long, sets long"))
     place = F.col("size_place").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
     size = F.shiftright("size_place", SIZE_BITS)
-    taken = posted.join(matches_asked(posted, rule, LONGEST), "id").where(place < size - F.ceil(rule.part * size / rule.whole) + F.col("need"))
+    taken = merged(posted.join(merged(matches_asked(posted, rule, LONGEST), few), "id"), few).where(place < size - F.ceil(rule.part * size / rule.whole) + F.col("need"))
     dealt = taken.select("key", "id", "size_place", F.col("need").cast("long").alias("need")).repartition(parts, "key").sortWithinPartitions("key", "id")
-    found = durable(dealt.mapInArrow(_pairs(most, rule), "key long, id long, size_place long, other long, need long"))
-    met = found.where("other is not null").groupBy("id", "other").agg(F.count("*").alias("met"), F.min("need").alias("need"))
+    found = durable(merged(dealt, few).mapInArrow(_pairs(most, rule), "key long, id long, size_place long, other long, need long"))
+    met = found.where("other is not null").groupBy("id", "other").agg(F.count("*").alias("met"), F.min("need").alias("need")).transform(merged, few)
     pairs = met.where("met >= need").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    links = verified(texts, marks, pairs, rule)
-    out = settled(texts, marks, links, found.where("other is null").select("key", "id", "size_place"), tile, rule, LONGEST - 1)
+    links = verified(texts, marks, pairs, rule, few)
+    out = settled(texts, marks, links, found.where("other is null").select("key", "id", "size_place"), tile, rule, LONGEST - 1, few)
     discard(posted)
     return seen.select("th", "id", "size"), out
 
@@ -138,10 +139,11 @@ def join(docs: DataFrame, rule: Rule = CLOSE) -> DataFrame:
     """
     seen, up = components(docs, rule=rule)
     rows = hashed(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "th")
-    least = rows.groupBy("th").agg(F.min("doc_id").alias("least"))  # one row a text
+    few = parts_for(docs)
+    least = merged(rows.groupBy("th").agg(F.min("doc_id").alias("least")), few)  # one row a text
     roots = seen.join(up, seen.id == up.a, "left").select("th", "size", F.coalesce("b", "id").alias("root"))
-    placed = durable(least.join(roots, "th"))
-    of = with_least(placed.where("size > 0"), "root", "least", "component_id").select("th", "size", "component_id")
+    placed = durable(merged(least.join(roots, "th"), few))
+    of = with_least(placed.where("size > 0"), "root", "least", "component_id", few).select("th", "size", "component_id")
     of = of.unionByName(placed.where("size = 0").select("th", "size", F.lit(None).cast("long").alias("component_id")))
     linked = rows.join(broadcast_if_small(durable(of)), "th")
     return linked.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from skyweft.llm import components
+from skyweft.llm import base, components
 
 
 def brute(links):
@@ -54,3 +54,29 @@ def test_roots(spark, coalesce):
         spark.conf.unset(key)
     assert {r.a: r.b for r in found} == brute(links) and len(found) == len({r.a for r in found})
     assert components.roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_small_graphs_go_by_few_tasks(spark, monkeypatch):
+    """As many shuffle partitions as a large job has don't make as many tasks and files of a few links, and stars need no round."""
+    monkeypatch.setattr(components, "_held", lambda batches: batches)  # tasks join nothing, so that rounds are needed
+    links = [(k + 1, k) for k in range(40)] + [(1000 + k, 1000) for k in range(1, 30)]
+    written = []
+
+    def durable(table):
+        written.append(base.durable(table))
+        return written[-1]
+
+    monkeypatch.setattr(components, "durable", durable)
+    monkeypatch.setattr(components, "discard", lambda *tables: None)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        found = components.roots(spark.createDataFrame(links, "a long, b long"), parts=3)
+        assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(1, 41)} | {(1000 + k, 1000) for k in range(1, 30)}
+        assert len(written) > 2 and all(len(table.inputFiles()) <= 3 for table in written)
+        written.clear()
+        assert components.roots(found, parts=3).count() == 69 and len(written) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    some = spark.range(100, numPartitions=7)
+    assert base.parts_for(some) == spark.sparkContext.defaultParallelism
+    assert base.merged(some, None).rdd.getNumPartitions() == 7 and base.merged(some, 2).rdd.getNumPartitions() == 2
