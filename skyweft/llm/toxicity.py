@@ -69,11 +69,12 @@ def _windows(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 @dataclass
 class Model:
     """slot: softmax margin of each n-gram slot, already times embeddings; bias: margin of an empty bag; filled: size up
-    to which bags are filled with zero vectors."""
+    to which bags are filled with zero vectors; share: of toxic texts in training, 1/2 if it had one label only."""
 
     slot: np.ndarray
     bias: float
     filled: int = FILLED[0]
+    share: float = 0.5
 
     def sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(sum of the margins of each window's n-grams, their number, its document, its first place)."""
@@ -127,7 +128,7 @@ def train(rows: list[tuple[bytes, int]], rounds: int = 3, epochs: int = 2, rate:
     softmax = np.stack([-along, along], axis=1) * 10
     bias = np.zeros(2)
     squares = np.full(slots, 1e-3)
-    model = Model(np.zeros(slots, np.float32), 0.0)
+    model = Model(np.zeros(slots, np.float32), 0.0, share=float(n1 / len(rows)))
     for turn in range(rounds + 1):
         # Sums of every window under the model so far; the filling, scale and bias that fit the labels best.
         model.slot = (embedding @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
@@ -202,6 +203,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def even(model: Model) -> float:
+    """The score from which a text speaks more for toxic than for clean, however rare toxic texts are: their share in training, one
+    half at most. At one half, a rare label needs that much more evidence."""
+    return min(model.share, 0.5)
+
+
 def keep(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose score is under `below`; null texts score as empty ones. An empty table stays
     empty."""

@@ -431,3 +431,15 @@ def test_pipeline(spark, tmp_path):
 def test_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+
+
+def test_rare_toxic_texts_go_at_even_evidence(spark):
+    """With one toxic text in ten, a score of a fifth speaks for toxic; without both labels the stage keeps to one half."""
+    docs = spark.createDataFrame([(1, "so ein text"), (2, None)], "doc_id long, text string")
+    model = toxicity.Model(np.zeros(1 << toxicity.SLOT_BITS, np.float32), float(np.log(0.2 / 0.8)), share=0.1)
+    assert toxicity.keep(docs, model, toxicity.even(model)).count() == 0 and toxicity.keep(docs, model).count() == 2
+    model.share = 0.9
+    assert toxicity.even(model) == 0.5
+    assert toxicity.train([(b"dumm", 1), *[(b"gut und schoen %d" % i, 0) for i in range(3)]]).share == 0.25
+    clean = toxicity.train([(b"gut", 0)])
+    assert toxicity.keep(docs, clean, toxicity.even(clean)).count() == 2
