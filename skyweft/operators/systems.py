@@ -40,6 +40,54 @@ def near_stamps(pixels: DataFrame, side: int, radius: float) -> DataFrame:
     return out.select((F.col("_j") + F.col("_dj")).alias("j_st"), (F.col("_i") + F.col("_di")).alias("i_st"), *pixels.columns)
 
 
+#: Stamps along a side of a tile whose inputs meet in one call, and distances that a call holds at once.
+TILE, HELD = 8, 1 << 20
+
+
+def _met(y: np.ndarray, x: np.ndarray, img: np.ndarray, one: slice, other: slice, same: bool) -> tuple[int, float]:
+    """Number and overlaps of the pairs of two runs of inputs, of one run with itself each pair once; by blocks of bounded size."""
+    n, total, step = 0, 0.0, max(1, HELD // max(1, other.stop - other.start))
+    for at in range(one.start, one.stop, step):
+        a = np.arange(at, min(at + step, one.stop))
+        w = np.exp(-((y[a, None] - y[None, other]) ** 2 + (x[a, None] - x[None, other]) ** 2) / 4)
+        if same:  # inputs are sorted; those of one place and image meet both ways
+            b = np.arange(other.start, other.stop)
+            up = a[:, None] <= b[None, :]
+            up |= (y[a, None] == y[None, other]) & (x[a, None] == x[None, other]) & (img[a, None] == img[None, other])
+            n, total = n + int(up.sum()), total + float(w[up].sum())
+        else:
+            n, total = n + w.size, total + float(w.sum())
+    return n, total
+
+
+def stamp_overlaps(pixels: DataFrame, side: int) -> DataFrame:
+    """pixels(img, py, px) -> (j, i, dj, di, n, overlap): pairs of the inputs of stamp (j, i) with those of the one dj, di on, each pair
+    of stamps within five by five once, and the sum of their overlaps.
+
+    A task gets tiles of TILE by TILE stamps with a margin of two, so an input is sent to two tiles on average and no pair has a row.
+    """
+    h = pixels.select("img", "py", "px", *[F.floor((F.col(c) + 0.5) / side).cast("long").alias(k) for c, k in (("py", "j"), ("px", "i"))])
+    # rows of stamp j are wanted by tiles that hold j - 2 to j, columns by those that hold i - 2 to i + 2
+    over = lambda low, high: F.explode(F.sequence(F.floor(low / TILE), F.floor(high / TILE)))
+    sent = h.select("*", over(F.col("j") - 2, F.col("j")).alias("tj")).select("*", over(F.col("i") - 2, F.col("i") + 2).alias("ti"))
+    steps = [(dj, di) for dj in range(3) for di in range(-2, 3) if dj or di >= 0]
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["j", "i", "img", "py", "px"])
+        j, i, img, y, x = (group[c].to_numpy() for c in ("j", "i", "img", "py", "px"))
+        first = np.flatnonzero(np.concatenate([[True], (j[1:] != j[:-1]) | (i[1:] != i[:-1])]))
+        runs = {(int(j[s]), int(i[s])): slice(int(s), int(e)) for s, e in zip(first, [*first[1:], len(j)], strict=True)}
+        rows = []
+        for (sj, si), one in runs.items():
+            if sj // TILE == key[0] and si // TILE == key[1]:
+                for dj, di in steps:
+                    if (other := runs.get((sj + dj, si + di))) is not None:
+                        rows.append((sj, si, dj, di, *_met(y, x, img, one, other, not (dj or di))))
+        return pd.DataFrame(rows, columns=["j", "i", "dj", "di", "n", "overlap"])
+
+    return sent.groupBy("tj", "ti").applyInPandas(run, "j long, i long, dj long, di long, n long, overlap double")
+
+
 def gaussian_system(out: np.ndarray, inputs: np.ndarray, width: float, target: float) -> tuple[np.ndarray, np.ndarray, float]:
     """A, B and C of Gaussian spots: inputs of one width, the target of another; C is the target's own overlap."""
 

@@ -155,13 +155,7 @@ from h a, range(3) u(dj), range(-2, 3) w(di), h b where (u.dj > 0 or w.di >= 0)
 select j, i, cast(dj as bigint) dj, cast(di as bigint) di, count(*) n, round(sum(w), 4) overlap from p group by all""")
 def ii_overlaps(read):
     """Overlaps of inputs with each other, unordered, at the thirteen distances within five by five stamps."""
-    h = mosaic(read).select("img", "py", "px", F.floor((F.col("py") + 0.5) / SIDE).cast("long").alias("j"), F.floor((F.col("px") + 0.5) / SIDE).cast("long").alias("i"))
-    steps = F.array(*[F.struct(F.lit(dj).alias("dj"), F.lit(di).alias("di")) for dj in range(3) for di in range(-2, 3) if dj or di >= 0])
-    a = h.withColumn("d", F.explode(steps)).select("j", "i", F.col("d.dj").cast("long").alias("dj"), F.col("d.di").cast("long").alias("di"), (F.col("j") + F.col("d.dj")).alias("j_b"), (F.col("i") + F.col("d.di")).alias("i_b"), F.struct("img", "py", "px").alias("a"))
-    b = h.select(F.col("j").alias("j_b"), F.col("i").alias("i_b"), F.struct("img", "py", "px").alias("b"))
-    pairs = a.join(b, ["j_b", "i_b"]).where("dj > 0 or di > 0 or a <= b")
-    w = F.exp(-F.expr("(a.py - b.py) * (a.py - b.py) + (a.px - b.px) * (a.px - b.px)") / 4)
-    return pairs.groupBy("j", "i", "dj", "di").agg(F.count("*").alias("n"), F.round(F.sum(w), 4).alias("overlap"))
+    return S.stamp_overlaps(mosaic(read), SIDE).select("j", "i", "dj", "di", "n", F.round("overlap", 4).alias("overlap"))
 
 
 @query(f"""with {SENT}, near as (select oy, ox, img, v, {RADIUS} - sqrt((py - oy) ** 2 + (px - ox) ** 2) w from o join sent using (j_st, i_st)),

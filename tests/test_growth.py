@@ -11,6 +11,7 @@ from skyweft.operators import copies, fourier, spots
 from skyweft.operators import interpolate as I
 from skyweft.operators import kernels as K
 from skyweft.operators import lags as L
+from skyweft.operators import systems
 from skyweft.plans import solve, spot_systems
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +131,23 @@ def test_stamps_are_solved_many_at_a_time(spark):
     side = solve.SIDE
     own = {(int((r.py + 0.5) // side), int((r.px + 0.5) // side)) for r in solve.mosaic(read).collect()}
     assert {(r.oy // side, r.ox // side) for r in frame.collect()} == own
+
+
+def test_inputs_meet_without_rows(spark, monkeypatch):
+    """Overlaps of inputs against plain loops, across edges of tiles, with repeated inputs; the plan has no join and sends no input thirteen times."""
+    monkeypatch.setattr(systems, "HELD", 40)
+    random = np.random.default_rng(3)
+    rows = [(int(n % 7), float(y), float(x)) for n, (y, x) in enumerate(random.integers(-20, 60, (300, 2)) * 0.9)]
+    rows += rows[:9]
+    wanted = {}
+    at = [(int((y + 0.5) // 4), int((x + 0.5) // 4)) for _, y, x in rows]
+    for a, p in zip(rows, at, strict=True):
+        for b, q in zip(rows, at, strict=True):
+            dj, di = q[0] - p[0], q[1] - p[1]
+            if 0 <= dj <= 2 and abs(di) <= 2 and (dj or di >= 0) and (dj or di or a <= b):
+                n, w = wanted.get((*p, dj, di), (0, 0.0))
+                wanted[(*p, dj, di)] = n + 1, w + np.exp(-((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) / 4)
+    frame = systems.stamp_overlaps(spark.createDataFrame(rows, "img long, py double, px double"), 4)
+    found = {tuple(r)[:4]: (r.n, r.overlap) for r in frame.collect()}
+    assert found.keys() == wanted.keys() and all(found[k] == pytest.approx(wanted[k]) for k in wanted)
+    assert "Join" not in _plan(frame) and "Join" not in _plan(plans.queries()["ii_overlaps"](spark, SF))
