@@ -185,9 +185,11 @@ def _candidates(most: int, rule: Rule) -> Callable:
     return run
 
 
-def _across(rule: Rule, before: int) -> Callable:
+def _across(rule: Rule, before: int, nearest: int | None = None) -> Callable:
     """Sorted (key, tile, id, size_place, root, counts) -> the pairs of each tile that are in different components and may be
-    similar by place, size and counts, if at most `before` shingles that they share come before this one."""
+    similar by place, size and counts, if at most `before` shingles that they share come before this one.
+
+    With `nearest`, only so many likeliest ones of each set, and a row of its key alone for a set that had more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, tile, ident, sp, root, counts in groups_of(batches, 2):
@@ -202,33 +204,63 @@ def _across(rule: Rule, before: int) -> Callable:
                     some = i + 1 + np.flatnonzero((root[i + 1 : e] != root[i]) & possible(sp[i], sp[i + 1 : e], rule, before))
                     if len(some):
                         both = np.minimum(few[some], few[i]).sum(axis=1)
-                        some = some[rule.alike(both, size[some], size[i]) | full[some] | full[i]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ident[some], ident[i])), pa.array(np.maximum(ident[some], ident[i]))], ["a", "b"])
+                        may = rule.alike(both, size[some], size[i]) | full[some] | full[i]
+                        some = some[may]
+                        both = _most_shared(counts[i], counts[some].tolist())
+                        may = rule.alike(both, size[some], size[i])
+                        some, both = some[may], both[may]
+                        more = nearest is not None and len(some) > nearest
+                        if more:
+                            some = some[np.argsort(-both / (size[some] + size[i]), kind="stable")[:nearest]]
+                        ends = pa.array(np.minimum(ident[some], ident[i])), pa.array(np.maximum(ident[some], ident[i]))
+                        yield pa.RecordBatch.from_arrays([*ends, pa.nulls(len(some), pa.int64())], ["a", "b", "key"])
+                        if more:
+                            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key[i]])], ["a", "b", "key"])
 
     return run
 
 
-#: Buckets of the smallest count of shingles; a larger set has so many that about four shingles meet in one.
-BUCKETS, SHARED = 64, 4
+#: Buckets of the smallest count of shingles; a larger set has one to two buckets for each of its shingles.
+BUCKETS = 64
+#: Sets whose counts are compared at once.
+RUN = 256
 #: Hashes of texts, of eight bytes each, that go to all tasks at once.
 ASKED = 1 << 20
 
 
 def bucket_counts(codes: np.ndarray) -> np.ndarray:
     """How many shingles of a set fall in each bucket (at most 255 are counted); the buckets are a power of two."""
-    many = max(BUCKETS, 1 << max(0, (len(codes) // SHARED)).bit_length())
+    many = max(BUCKETS, 1 << len(codes).bit_length())
     return np.minimum(np.bincount((codes >> np.uint64(40)).astype(np.int64) & (many - 1), minlength=many), 255).astype(np.uint8)
 
 
 def may_agree(x: np.ndarray, y: np.ndarray, m: int, n: int, rule: Rule = NEAR) -> bool:
     """Whether sets of m and n shingles with these counts can be similar enough. Never false for a pair that is."""
+    return bool(rule.alike(_shared(x, y), m, n))
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """The most shingles that sets with these counts can have in common."""
     if (x == 255).any() or (y == 255).any():
-        return True
+        return 1 << SIZE_BITS
     while len(x) > len(y):
         x = x.reshape(2, -1).sum(axis=0, dtype=np.int64)
     while len(y) > len(x):
         y = y.reshape(2, -1).sum(axis=0, dtype=np.int64)
-    return bool(rule.alike(int(np.minimum(x, y).sum()), m, n))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
+def _most_shared(one: bytes, others: list[bytes]) -> np.ndarray:
+    """_shared() of one set's counts with each of the others'."""
+    x, out = np.frombuffer(one, np.uint8), np.zeros(len(others), np.int64)
+    alike = [k for k, y in enumerate(others) if len(y) == len(one)]
+    for start in range(0, len(alike), RUN):
+        run = alike[start : start + RUN]
+        y = np.frombuffer(b"".join([others[k] for k in run]), np.uint8).reshape(len(run), -1)
+        out[run] = np.where((y == 255).any(axis=1) | (x == 255).any(), 1 << SIZE_BITS, np.minimum(x, y).sum(axis=1, dtype=np.int64))
+    for k in set(range(len(others))).difference(alike):
+        out[k] = _shared(x, np.frombuffer(others[k], np.uint8))
+    return out
 
 
 def marks_of(rule: Rule, prints: bool = True) -> Callable:
@@ -349,6 +381,8 @@ def components(docs: DataFrame, most: int = 16, tile: int = 2048, rule: Rule = N
 
 #: Sets of a frequent shingle that all others of it are compared with before tiles are.
 CENTRES = 4
+#: Likeliest partners of a set in a tile that are verified before all others that are still in different components.
+NEAREST = 4
 
 
 def _apart_at(hot: DataFrame, links: DataFrame, parts: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -365,10 +399,11 @@ def settled(texts: DataFrame, marks: DataFrame, links: DataFrame, hot: DataFrame
     """Components of links and of what is alike among the sets (key, id, size_place) that share a frequent shingle.
 
     Sets are first compared with a few centres of each shingle, which share most frequent shingles with other sets, and
-    then in tiles of bounded size, but for those that are in one component by then. `before`: how many shingles two sets
-    may share, in the common order, before the first frequent one without being linked yet. `parts`: see parts_for.
+    then in tiles of bounded size, but for those that are in one component by then. A tile gives the likeliest partners of
+    each set first, which join a dense group by a few links a set and not by all of its pairs; where sets had more of
+    them, what is still in different components is compared in full. `before`: how many shingles two sets may share, in
+    the common order, before the first frequent one without being linked yet. `parts`: see parts_for.
     """
-    dealt_in = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     up, placed, keys = _apart_at(hot, links, parts)
     if keys.isEmpty():
         return up
@@ -382,12 +417,26 @@ def settled(texts: DataFrame, marks: DataFrame, links: DataFrame, hot: DataFrame
     up, placed, keys = _apart_at(hot, up.union(verified(texts, marks, pairs, rule, parts)), parts)  # stars take fewer rounds than the links they stand for
     if keys.isEmpty():
         return up
+    first = durable(_in_tiles(placed, marks, tile, parts).mapInArrow(_across(rule, before, NEAREST), "a long, b long, key long"))
+    links = up.union(verified(texts, marks, first.where("a is not null").select("a", "b"), rule, parts))
+    crowded = durable(merged(first.where("a is null").select("key").distinct(), parts))
+    if crowded.isEmpty():
+        return roots(links, parts=parts)
+    up, placed, keys = _apart_at(hot.join(broadcast_if_small(crowded), "key", "left_semi"), links, parts)
+    if keys.isEmpty():
+        return up
+    pairs = _in_tiles(placed, marks, tile, parts).mapInArrow(_across(rule, before), "a long, b long, key long").select("a", "b")
+    return roots(up.union(verified(texts, marks, pairs, rule, parts)), parts=parts)
+
+
+def _in_tiles(placed: DataFrame, marks: DataFrame, tile: int, parts: int | None) -> DataFrame:
+    """(key, id, size_place, root, n) -> (key, tile, id, size_place, root, counts), sorted: any two sets of a key meet in a tile."""
+    dealt_in = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).join(marks.select("id", "counts"), "id").transform(merged, parts)
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
     dealt = placed.select("key", F.explode(tiles).alias("tile"), "id", "size_place", "root", "counts").repartition(dealt_in, "key", "tile").sortWithinPartitions("key", "tile")
-    pairs = merged(dealt, parts).mapInArrow(_across(rule, before), "a long, b long")
-    return roots(up.union(verified(texts, marks, pairs, rule, parts)), parts=parts)
+    return merged(dealt, parts)
 
 
 def _apart(pairs: DataFrame, up: DataFrame, parts: int | None) -> DataFrame:

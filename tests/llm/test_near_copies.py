@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,23 @@ def test_counts_never_rule_out_similar_sets():
     assert ruled_out > 8
     one = np.full(3000, 1 << 41, np.uint64)  # more in one bucket than can be counted
     assert near_copies.may_agree(near_copies.bucket_counts(one), near_copies.bucket_counts(one), 3000, 3000)
+
+
+def test_dense_tiles_give_few_pairs_a_set():
+    """Sets of a tile that are all alike give a few likely pairs each, and their key for a second look; the pairs in full are a square.
+    Sets that fail by a third of their shingles give none."""
+    random = np.random.default_rng(11)
+    shared, n = random.integers(0, 2**64, 130, dtype=np.uint64), 120
+
+    def found(own, nearest):
+        sets = [np.concatenate([shared[own:], random.integers(0, 2**64, own, dtype=np.uint64)]) for _ in range(n)]
+        counts = [near_copies.bucket_counts(x).tobytes() for x in sets]
+        ids, size_place = np.arange(n), np.full(n, len(shared) << near_copies.SIZE_BITS)
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, 5), np.zeros(n, np.int64), ids, size_place, ids)] + [pa.array(counts, pa.binary())], ["key", "tile", "id", "size_place", "root", "counts"])
+        out = [tuple(r.values()) for x in near_copies._across(near_copies.NEAR, 0, nearest)(iter([batch])) for r in x.to_pylist()]
+        return [x for x in out if x[0] is not None], {x[2] for x in out if x[0] is None}
+
+    pairs, keys = found(4, near_copies.NEAREST)
+    assert n - 1 <= len(pairs) <= near_copies.NEAREST * n and keys == {5}
+    assert len(found(4, None)[0]) == n * (n - 1) // 2
+    assert found(40, None) == ([], set())
