@@ -28,7 +28,8 @@ MAGIC = b"CMR3"
 HASHED = 1 << 16
 RENEW = 32
 FLAG_BITS, SPAN_BITS = 12, 18
-STEPS_UP = np.array([2, 2, 2, 1], np.int64)
+#: What an entry changes by, at confidence * 2 + whether it was wrong.
+STEPS = np.array([1, -1, 1, -1, 1, -1, 0, -1], np.int64)
 SHIFT, WIDE, LOW = np.uint64(32), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 
 
@@ -91,7 +92,8 @@ class _Model:
         """(start, size) of ids that are no guess of their lanes: order 0 without the guesses, behind them."""
         own, below = self.span(ids)
         before = below - self.own2[at] * (self.guess2[at] < ids) - self.own1[at] * (self.guess1[at] < ids)
-        return self.all2[at] + self.all1[at] + self.rest[at] * before, self.rest[at] * own
+        rest = self.rest[at]
+        return self.all2[at] + self.all1[at] + rest * before, rest * own
 
     def other(self, at: np.ndarray, point: np.ndarray) -> np.ndarray:
         """The ids at places behind both guesses."""
@@ -101,19 +103,19 @@ class _Model:
         gap2 = (self.shares[guess2] & LOW) - own1 * (guess1 < guess2)
         gap1 = (self.shares[guess1] & LOW) - own2 * (guess2 < guess1)
         place = place + own2 * (place >= gap2) + own1 * (place >= gap1)
-        return self.holder[place.astype(np.int64)].astype(np.int64)
+        return self.holder[place.view(np.int64)].astype(np.int64)
 
     def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(order-0 share, shares of the ids before it) of each id."""
         both = self.shares[ids]
         return both >> SHIFT, both & LOW
 
-    def learn(self, ids: np.ndarray, entry: np.ndarray, flag: np.ndarray, escaped: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, entry: np.ndarray, flag: np.ndarray, escaped: np.ndarray, wrong2: np.ndarray, wrong1: np.ndarray) -> None:
         """Take in what all lanes coded in this step. Lanes that share a slot: the last one's entry stays."""
-        for table, slot, held, sure in ((self.first, self.last, self.held1, self.sure1), (self.second, self.slot, self.held2, self.sure2)):
-            right = ((held ^ entry) < 4).astype(np.int64)
+        for table, slot, held, sure, wrong in ((self.first, self.last, self.held1, self.sure1, wrong1), (self.second, self.slot, self.held2, self.sure2, wrong2)):
+            at = (sure << 1) + wrong
             # right: surer; wrong: less sure, and replaced where it wasn't sure at all
-            table[slot] = np.where((right | sure) > 0, held - 1 + right * STEPS_UP[sure], entry)
+            table[slot] = np.where(at == 1, entry, held + STEPS[at])
         self.escaped.append(escaped)
         self.step += 1
         young = self.step <= RENEW
@@ -162,7 +164,7 @@ def _encoded(block: np.ndarray) -> bytes:
         spot[at] = places + 1
         low[at] = held << SHIFT
         width[at] <<= SHIFT
-        model.learn(now, entry, flag, escaped)
+        model.learn(now, entry, flag, escaped, wrong2, wrong1)
     top = low + (WIDE - np.uint64(1))  # one more word names a point of the last range
     carry = np.flatnonzero(top < low)
     flat[spot[carry] - 1] += np.uint64(1)
@@ -215,7 +217,7 @@ def _decoded(raw: bytes) -> np.ndarray:
         spot[at] = places + 1
         width[at] <<= SHIFT
         ids[t] = now
-        model.learn(ids[t], entry, flag, escaped)
+        model.learn(ids[t], entry, flag, escaped, wrong2, (model.held1 ^ entry) > 3)
     out = letters[ids.T.reshape(-1)[:length]]
     if zlib.crc32(out.astype("<u4").tobytes()) != crc:
         raise ValueError("decoded ids don't match their checksum")

@@ -23,6 +23,8 @@ from .base import small_batches, text_chunks
 from .word_ids import word_ids
 
 END = 0
+#: Bytes of texts whose pieces are looked up together, each distinct one once; it affects speed and memory only.
+RUN = 1 << 22
 SEGMENT = "part int, segment int, n_docs long, n_ids long, body binary"
 
 
@@ -57,7 +59,7 @@ def _writer(path: str, ids_a_segment: int):
             row = [[part], [made], [len(ids)], [held], [_segment(ids, tokens)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "n_docs", "n_ids", "body"])
 
-        for rows, data, offsets in text_chunks(batches):
+        for rows, data, offsets in text_chunks(batches, RUN):
             found, places = of.ids(data, offsets)
             found = np.insert(found.astype(np.uint16), places[1:], END)
             places = (places + np.arange(len(places))).tolist()
