@@ -66,18 +66,19 @@ def symmetric(cube: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def gridded(cube: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """cube (n, ny, nx) at the crossings of rows y (n, q) and columns x (n, p): one matrix product for each axis."""
+def axis_weights(place: np.ndarray, size: int) -> np.ndarray:
+    """Weights of all `size` pixels of an axis at each place, on a last axis; none where the ten taps don't lie on it."""
+    whole, w = tap_weights(place)
+    good = _inside(whole, size)
+    out = np.zeros((*place.shape, size))
+    at = np.where(good, whole, BEFORE)[..., None] + np.arange(TAPS) - BEFORE
+    np.put_along_axis(out, at, np.where(good[..., None], w, 0.0), axis=-1)
+    return out
 
-    def matrix(place: np.ndarray, size: int) -> np.ndarray:
-        whole, w = tap_weights(place)
-        good = _inside(whole, size)
-        out = np.zeros((*place.shape, size))
-        at = np.where(good, whole, BEFORE)[..., None] + np.arange(TAPS) - BEFORE
-        np.put_along_axis(out, at, np.where(good[..., None], w, 0.0), axis=-1)
-        return out
 
-    return matrix(y, cube.shape[1]) @ cube @ np.swapaxes(matrix(x, cube.shape[2]), -1, -2)
+def gridded(cube: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """cube (n, ny, nx) at the crossings of rows y (n, q) and columns x (n, p): one matrix product for each axis."""
+    return axis_weights(y, cube.shape[1]) @ cube @ np.swapaxes(axis_weights(x, cube.shape[2]), -1, -2)
 
 
 def cubes(pixels: pd.Series, side: int, pad: int) -> np.ndarray:

@@ -52,9 +52,21 @@ def factored(a: np.ndarray) -> np.ndarray:
                 margin *= 10
 
 
+def _inverse(low: np.ndarray) -> np.ndarray:
+    """Inverse of a lower triangle, by halves where it is large: a general inverse would work on its zeros as well."""
+    n = low.shape[-1]
+    if n <= 32:
+        return np.linalg.inv(low)
+    first, rest = slice(0, n // 2), slice(n // 2, n)
+    out = np.zeros_like(low)
+    out[..., first, first], out[..., rest, rest] = _inverse(low[..., first, first]), _inverse(low[..., rest, rest])
+    out[..., rest, first] = -out[..., rest, rest] @ low[..., rest, first] @ out[..., first, first]
+    return out
+
+
 def _solved(low: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Rows of b through (L L^T)^-1; L is inverted once, for all outputs."""
-    inverse = np.linalg.inv(low)
+    inverse = _inverse(low)
     return b @ np.swapaxes(inverse, -1, -2) @ inverse
 
 

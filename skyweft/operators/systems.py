@@ -40,8 +40,9 @@ def near_stamps(pixels: DataFrame, side: int, radius: float) -> DataFrame:
     return out.select((F.col("_j") + F.col("_dj")).alias("j_st"), (F.col("_i") + F.col("_di")).alias("i_st"), *pixels.columns)
 
 
-#: Stamps along a side of a tile whose inputs meet in one call, and distances that a call holds at once.
-TILE, HELD = 8, 1 << 20
+#: Stamps along a side of a tile whose inputs meet in one call, distances or elements of matrices that a call holds at once, and stamps
+#: that are solved together.
+TILE, HELD, TOGETHER = 8, 1 << 20, 32
 
 
 def _met(y: np.ndarray, x: np.ndarray, img: np.ndarray, one: slice, other: slice, same: bool) -> tuple[int, float]:
@@ -98,22 +99,52 @@ def gaussian_system(out: np.ndarray, inputs: np.ndarray, width: float, target: f
     return overlap(inputs, inputs, width, width), overlap(out, inputs, target, width), float(1 / (4 * np.pi * target**2))
 
 
-def outputs(j: int, i: int, out: np.ndarray, places: np.ndarray, image: np.ndarray, value: np.ndarray, system: tuple, radius: float, kernel: str, kappas: list[float], most_leak: float, most_noise: float) -> dict[str, np.ndarray]:
-    """Columns of SCHEMA of a stamp whose system (A, B, C) is known; out, places: of outputs and inputs."""
-    distance = np.sqrt(((out[:, None, :] - places[None, :, :]) ** 2).sum(axis=2))
-    found = kernels.solve(kernel, *system, distance, radius, kappas, most_leak, most_noise)
-    _, image = np.unique(image, return_inverse=True)
-    by_image = np.zeros((len(out), image.max() + 1))
-    np.add.at(by_image.T, image, found.t.T)
+def described(j: int, i: int, out: np.ndarray, image: np.ndarray, value: np.ndarray, found: kernels.Solution) -> dict[str, np.ndarray]:
+    """Columns of SCHEMA of a stamp whose solution is known; image, value: of its inputs."""
+    images, image = np.unique(image, return_inverse=True)
+    by_image = found.t @ (image[:, None] == np.arange(len(images))).astype(float)
     squares = (by_image**2).sum(axis=1)
     neff = np.divide(np.abs(by_image).sum(axis=1) ** 2, squares, out=np.zeros(len(out)), where=squares > 0)
     whole = out.astype(np.int64)
     return {
-        "j_st": np.full(len(out), j), "i_st": np.full(len(out), i), "oy": whole[:, 0], "ox": whole[:, 1], "inputs": np.full(len(out), len(places)), "kappa": found.kappa, "sigma": found.sigma,
+        "j_st": np.full(len(out), j), "i_st": np.full(len(out), i), "oy": whole[:, 0], "ox": whole[:, 1], "inputs": np.full(len(out), len(value)), "kappa": found.kappa, "sigma": found.sigma,
         "leakage": found.leakage, "value": found.t @ value, "constant": found.t.sum(axis=1), "neff": neff,
     }
 
 
+def outputs(j: int, i: int, out: np.ndarray, places: np.ndarray, image: np.ndarray, value: np.ndarray, system: tuple, radius: float, kernel: str, kappas: list[float], most_leak: float, most_noise: float) -> dict[str, np.ndarray]:
+    """Columns of SCHEMA of a stamp whose system (A, B, C) is known; out, places: of outputs and inputs."""
+    distance = np.sqrt(((out[:, None, :] - places[None, :, :]) ** 2).sum(axis=2))
+    return described(j, i, out, image, value, kernels.solve(kernel, *system, distance, radius, kappas, most_leak, most_noise))
+
+
+def solved(stamps: Iterator[tuple], radius: float, kernel: str, kappas: list[float], most_leak: float, most_noise: float) -> Iterator[dict[str, np.ndarray]]:
+    """outputs() of stamps (j, i, out, places, image, value, (A, B, C)); those of equal shape are solved together, so that what a call
+    costs is shared. Of matrices, HELD elements and one stamp are kept at most."""
+
+    def flushed(some: list[tuple]) -> Iterator[dict[str, np.ndarray]]:
+        a, b = (np.stack([s[6][k] for s in some]) for k in (0, 1))
+        distance = np.sqrt(((np.stack([s[2] for s in some])[:, :, None] - np.stack([s[3] for s in some])[:, None]) ** 2).sum(axis=3))
+        found = kernels.solve(kernel, a, b, some[0][6][2], distance, radius, kappas, most_leak, most_noise)
+        for n, (j, i, out, _, image, value, _) in enumerate(some):
+            yield described(j, i, out, image, value, kernels.Solution(found.t[n], found.kappa[n], found.sigma[n], found.leakage[n]))
+
+    waiting, held = {}, 0
+    for stamp in stamps:
+        a, b, c = stamp[6]
+        some = waiting.setdefault((b.shape, c), [])
+        some.append(stamp)
+        held += a.size
+        while held > HELD or len(some) == TOGETHER:
+            most = max(waiting, key=lambda k: len(waiting[k]) * k[0][1] ** 2)
+            full = waiting.pop((b.shape, c) if len(some) == TOGETHER else most)
+            held -= sum(s[6][0].size for s in full)
+            some = []
+            yield from flushed(full)
+    for some in waiting.values():
+        yield from flushed(some)
+
+
 def tables(stamps: Iterator[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
     """Tables of many stamps each, from the columns of single ones."""
     stamps = iter(stamps)

@@ -17,8 +17,9 @@ def spots(read) -> DataFrame:
         y, x = F.floor(i / P.SIDE) - P.MIDDLE, i % P.SIDE - P.MIDDLE
         return F.exp(-(y * y + x * x) / 3.38) * (1 + 0.4 * v.cast("double"))
 
-    raw = F.transform("embedding", value)
-    return read("embeddings").select(F.col("vec_id").alias("img"), F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda s, w: s + w)).alias("spot"))
+    raw = read("embeddings").select(F.col("vec_id").alias("img"), F.transform("embedding", value).alias("raw"))
+    summed = raw.select("img", "raw", F.aggregate("raw", F.lit(0.0), lambda s, w: s + w).alias("total"))  # once a spot, not once a pixel
+    return summed.select("img", F.transform("raw", lambda v: v / F.col("total")).alias("spot"))
 
 
 def mapped(y: Column, x: Column) -> tuple[Column, Column]:

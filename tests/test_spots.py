@@ -115,3 +115,57 @@ def test_registered_spots_differ(spark):
     read = lambda table: spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
     rows = spot_systems.spots(read).limit(50).collect()
     assert all(sum(r.spot) == pytest.approx(1) for r in rows) and len({round(r.spot[27], 6) for r in rows}) > 40
+
+
+def _stamp(images, places, seed):
+    """Inputs in ascending order of their spots, as a stamp has them, with planes of their own and sixteen outputs."""
+    random = np.random.default_rng(seed)
+    spot = np.repeat(np.arange(images), [len(places(n)) for n in range(images)])
+    y, x = np.concatenate([places(n) for n in range(images)]).T
+    return spot, y, x, random.normal(size=(images, 8, 8)), np.stack([g.ravel() for g in np.mgrid[8:12, 4:8]], axis=1).astype(float)
+
+
+def _grid(n):
+    return [(8 + i + 0.31 * n, 3 + j + 0.23 * n) for i in range(-2, 5) for j in range(2 + n % 3)]
+
+
+def _scattered(n):
+    return np.random.default_rng(n).uniform(4, 14, (9, 2))
+
+
+@pytest.mark.parametrize("places", [_grid, _scattered])
+def test_assembled_shifts_planes_and_not_pixels(places, monkeypatch):
+    """A and B against overlaps summed place by place; no hundred taps for each pair of pixels."""
+    monkeypatch.setattr(P, "HELD", 2000)  # by several pieces
+    spot, y, x, own, out = _stamp(5, places, 4)
+    target = P.target_plane(1.6)
+    a, b, c = direct(dict(enumerate(own)), target, list(zip(spot.tolist(), y, x, strict=True)), out)
+    monkeypatch.setattr(I, "scattered", None)
+    found = P.assembled(spot, y, x, own, out, target)
+    # the taps of a whole place differ by 1e-9 on its two sides
+    assert found[0] == pytest.approx((a + a.T) / 2, abs=1e-8) and found[1] == pytest.approx(b, abs=1e-8) and found[2] == pytest.approx(c)
+
+
+def test_pixels_apart_by_more_than_the_lags(monkeypatch):
+    """Both ways agree at every separation, those at the ends of a correlation and beyond it too."""
+    spot, y, x, own, out = _stamp(2, lambda n: [(i + 0.5 * n, 2 * i + 0.25 * n) for i in range(-14, 15)], 6)
+    found = P.assembled(spot, y, x, own, out, P.target_plane(1.6))
+    assert P._by_steps(spot, y, x + 0.1 * (np.arange(len(y)) == 3), len(y), np.zeros((3, 15, 15)), np.zeros((2, 2), int)) is None
+    monkeypatch.setattr(P, "_by_steps", lambda *_: None)
+    for one, other in zip(found, P.assembled(spot, y, x, own, out, P.target_plane(1.6)), strict=True):
+        assert one == pytest.approx(other, abs=1e-12)
+
+
+def test_planes_are_made_once_and_dealt_out(spark):
+    """One call that makes planes and one that solves; neither is left to the few tasks that bytes would give it, nothing is broadcast."""
+    from skyweft import plans
+
+    plan = plans.queries()["spots_cholesky"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and plan.count("REPARTITION_BY_NUM") == 2 and "Broadcast" not in plan
+
+
+def test_two_spots_of_one_exposure(spark, scene):
+    """An exposure whose spot comes twice has its inputs once, under one of its planes."""
+    _, _, pixels, table = scene
+    once, twice = ({(r.j_st, r.i_st): len(r.inputs) for r in P.stamp_systems(pixels, P.planes(pixels, t, SIDE, identity), SIDE, RADIUS).collect()} for t in (table, table.union(table.limit(1))))
+    assert once == twice
