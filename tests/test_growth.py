@@ -151,3 +151,24 @@ def test_inputs_meet_without_rows(spark, monkeypatch):
     found = {tuple(r)[:4]: (r.n, r.overlap) for r in frame.collect()}
     assert found.keys() == wanted.keys() and all(found[k] == pytest.approx(wanted[k]) for k in wanted)
     assert "Join" not in _plan(frame) and "Join" not in _plan(plans.queries()["ii_overlaps"](spark, SF))
+
+
+@pytest.mark.parametrize("kernel", ["Cholesky", "Eigen", "Iterative", "Empirical"])
+def test_stamps_of_one_shape_are_solved_together(kernel, monkeypatch):
+    """The same columns as stamp by stamp, one call of the kernel for many stamps, few matrices kept where shapes are many."""
+    random = np.random.default_rng(2)
+    out = np.stack([g.ravel() for g in np.mgrid[:4, :4]], axis=1).astype(float)
+    stamps = []
+    for j, n in enumerate([60] * 20 + [45, 33] + [60] * 20):
+        places = random.uniform(-1.5, 5, (n, 2))
+        stamps.append((j, 0, out, places, random.integers(0, 4, n), random.normal(size=n), systems.gaussian_system(out, places, 1.0, 1.2)))
+    rest = (1.5, kernel, [1e-2, 1e-1][: 1 if kernel == "Empirical" else 2], 1e-3, 0.5)
+    wanted = {s[0]: systems.outputs(*s, *rest) for s in stamps}
+    calls, solve_ = [], K.solve
+    monkeypatch.setattr(K, "solve", lambda *a: calls.append(a[1].shape) or solve_(*a))
+    for held, most in ((1 << 20, 4), (4 * 3600, 14)):
+        monkeypatch.setattr(systems, "HELD", held)
+        calls.clear()
+        found = {int(s["j_st"][0]): s for s in systems.solved(iter(stamps), *rest)}
+        assert found.keys() == wanted.keys() and len(calls) <= most and max(np.prod(c) for c in calls) <= held + 3600
+        assert all(found[j][c] == pytest.approx(wanted[j][c], abs=1e-6) for j in wanted for c in wanted[j])
