@@ -156,11 +156,12 @@ def test_pixels_apart_by_more_than_the_lags(monkeypatch):
         assert one == pytest.approx(other, abs=1e-12)
 
 
-def test_planes_are_made_once_and_dealt_out(spark):
+@pytest.mark.parametrize("name", ["spots_cholesky", "spots_eigen", "spots_iterative"])
+def test_planes_are_made_once_and_dealt_out(spark, name):
     """One call that makes planes and one that solves; neither is left to the few tasks that bytes would give it, nothing is broadcast."""
     from skyweft import plans
 
-    plan = plans.queries()["spots_cholesky"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 2 and plan.count("REPARTITION_BY_NUM") == 2 and "Broadcast" not in plan
 
 
