@@ -172,3 +172,14 @@ def test_stamps_of_one_shape_are_solved_together(kernel, monkeypatch):
         found = {int(s["j_st"][0]): s for s in systems.solved(iter(stamps), *rest)}
         assert found.keys() == wanted.keys() and len(calls) <= most and max(np.prod(c) for c in calls) <= held + 3600
         assert all(found[j][c] == pytest.approx(wanted[j][c], abs=1e-6) for j in wanted for c in wanted[j])
+
+
+def test_members_are_told_from_both_sides(spark):
+    """Kinds met once tell each pair of members once, with the value of its own direction; a kind with itself and pieces of a kind too."""
+    rows = spark.createDataFrame([([1, 4, 9],), ([2, 3, 10],), ([9, 9, 12],)], "ids array<long>")
+    both = rows.selectExpr("ids as a").crossJoin(rows.selectExpr("ids as b")).where("a <= b")
+    found = copies.members_both(both, "a", "b", side=(F.lit("forth"), F.lit("back")))
+    kinds = [r.ids for r in rows.collect()]
+    wanted = [(min(x, y), max(x, y), "forth" if x < y else "back") for n, p in enumerate(kinds) for q in kinds[n + 1 :] for x in p for y in q if x != y]
+    wanted += [(x, y, "forth") for p in kinds for x in p for y in p if x < y]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
